@@ -38,8 +38,10 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "position", part
 def number_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "position") -> DataFrame:
     """1-based positions per key group; a group may span tasks."""
     placed = number_rows(df, [F.col(k) for k in keys] + order, "_global")
-    starts = placed.groupBy(*keys).agg((F.min("_global") - 1).alias("_start"))
-    return placed.join(starts, keys).select(*df.columns, (F.col("_global") - F.col("_start")).alias(name))
+    first = placed.groupBy(*keys).agg((F.min("_global") - 1).alias("_start"))
+    first = first.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return placed.join(first, same).select(*df.columns, (F.col("_global") - F.col("_start")).alias(name))
 
 
 def allocate_numbers(

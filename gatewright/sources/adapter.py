@@ -313,3 +313,59 @@ def with_views(names: str, body: str) -> str:
     if body.upper().startswith("WITH "):
         return f"WITH {ctes}, {body[5:]}"
     return f"WITH {ctes} {body}"
+
+
+# Submissions of stage answers, one per event: the user stands for a customer, whose first or last product is edited.
+SUBMISSION = {
+    "submission_id": "lpad(CAST(event_id AS string), 12, '0')",
+    "data_product_id": "CASE WHEN event_id % 71 = 0 THEN 'dp-unknown' WHEN event_id % 2 = 0 THEN "
+                       "concat('dp-', CAST(first_order AS string)) ELSE concat('dp-', CAST(last_order AS string)) END",
+    "stage_id": "CASE WHEN event_id % 53 = 0 THEN 'nowhere' WHEN event_type = 'view' THEN 'intake' WHEN event_type = 'click' "
+                "THEN 'reuse_domain' WHEN event_type = 'signup' THEN 'ownership' WHEN event_type = 'purchase' THEN "
+                "CASE event_id % 3 WHEN 0 THEN 'requirements' WHEN 1 THEN 'architecture_review' ELSE 'build_validate' END "
+                "ELSE CASE event_id % 2 WHEN 0 THEN 'publish' ELSE 'operate' END END",
+    "status_id": f"CASE event_id % 9 WHEN 0 THEN 'blocked' WHEN 1 THEN 'In Progress' WHEN 2 THEN '' ELSE {_NULL} END",
+    "updated_by": "CASE event_id % 31 WHEN 0 THEN 'not-an-email' WHEN 1 THEN '' ELSE "
+                  "concat('User', CAST(user_id AS string), '@example.com') END",
+    "submitted_at": "concat(replace(substring(CAST(ts AS string), 1, 19), ' ', 'T'), '+00:00')",
+}
+SUBMITTED_VALUE = (
+    "CASE WHEN input_type = 'checkbox' THEN CASE WHEN event_id % 13 = sort_order THEN 'no' ELSE 'TRUE' END "
+    "WHEN (event_id + sort_order) % 47 = 0 THEN ' ' "
+    "WHEN input_type = 'number' THEN CASE WHEN event_id % 37 = 0 THEN '-1' ELSE CAST(event_id % 40 AS string) END "
+    "WHEN input_type = 'date' THEN CASE WHEN event_id % 41 = 0 THEN '2024-02-30' ELSE '2024-07-01' END "
+    "WHEN requirement_key IN ('jira_link', 'alation_link') THEN concat('https://links.example.com/', CAST(event_id % 5 AS string)) "
+    "WHEN master_data_type = 'productTypes' THEN CASE event_id % 2 WHEN 0 THEN 'Mixed' ELSE 'structured' END "
+    "WHEN master_data_type = 'expectedOutputs' THEN CASE event_id % 2 WHEN 0 THEN 'dashboard' ELSE 'api' END "
+    "WHEN master_data_type = 'platforms' THEN CASE WHEN event_id % 43 = 0 THEN 'mainframe' ELSE 'both' END "
+    "WHEN master_data_type = 'priorities' THEN concat('p', CAST(1 + event_id % 3 AS string)) "
+    "WHEN master_data_type = 'scopeOptions' THEN CASE event_id % 2 WHEN 0 THEN 'Latin America' ELSE 'europe' END "
+    "WHEN master_data_type = 'domains' THEN CASE event_id % 3 WHEN 0 THEN 'Asia' WHEN 1 THEN 'middle east' ELSE 'europe' END "
+    "WHEN master_data_type = 'subdomains' THEN concat('Nation ', CAST(event_id % 25 AS string)) "
+    "WHEN master_data_type = 'dataDomainOwners' THEN concat('user_', CAST(2 + 6 * (event_id % 2) AS string)) "
+    "WHEN master_data_type = 'domainDeliveryLeads' THEN concat('user_', CAST(3 + 6 * (event_id % 2) AS string)) "
+    "WHEN master_data_type = 'hubOwners' THEN 'user_4' WHEN master_data_type = 'lynxPms' THEN 'user_5' "
+    "WHEN master_data_type = 'sourceSystems' THEN 'Salesforce' WHEN master_data_type = 'buildStatuses' THEN 'in_uat' "
+    "ELSE concat(requirement_key, ' ', CAST(event_id % 7 AS string)) END"
+)
+
+
+def submissions(v: Views) -> DataFrame:
+    t = v.tables
+    owners = t.orders.groupBy(F.col("o_custkey").alias("user_id")).agg(
+        F.min("o_orderkey").alias("first_order"), F.max("o_orderkey").alias("last_order"))
+    return v._shape(t.events.join(owners, "user_id"), SUBMISSION)
+
+
+def submitted_answers(v: Views) -> DataFrame:
+    """All answers of the submitted stage, in form order; plus one unknown requirement, which is ignored."""
+    rules = F.array(*[
+        F.struct(F.lit(r.stage_id).alias("rule_stage"), F.lit(r.rule_id).alias("requirement_id"),
+                 F.lit(r.key).alias("requirement_key"), F.lit(r.input_type).alias("input_type"),
+                 F.lit(r.master_type).cast("string").alias("master_data_type"), F.lit(r.sort_order).alias("sort_order"))
+        for r in model.RULES
+    ])
+    heads = v.tables.events.selectExpr(
+        f"{SUBMISSION['submission_id']} AS submission_id", "event_id", f"{SUBMISSION['stage_id']} AS stage_id")
+    return heads.select("*", F.inline(rules)).where("rule_stage = stage_id").selectExpr(
+        "submission_id", "sort_order AS position", "requirement_id", f"{SUBMITTED_VALUE} AS answer_value")
