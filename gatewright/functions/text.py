@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from gatewright.model import LOG_TEXT_LIMIT
 
 # The full Unicode white-space set; engines' own \s and trim() know fewer characters.
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 WS = r"[\t\n\x0B\f\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
@@ -16,8 +20,8 @@ def _col(c) -> Column:
 
 
 def strip(c) -> Column:
-    """Null-safe strip: NULL becomes ''."""
-    return F.regexp_replace(F.coalesce(_col(c), F.lit("")), f"^{WS}+|{WS}+$", "")
+    """Null-safe strip: NULL becomes ''. Looks at the ends of the text only."""
+    return F.btrim(F.coalesce(_col(c), F.lit("")), F.lit(WS_CHARS))
 
 
 def slug(c) -> Column:

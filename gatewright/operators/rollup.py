@@ -48,3 +48,31 @@ def stage_rail(products: DataFrame, stages: DataFrame) -> DataFrame:
 
 def child_counts(children: DataFrame, key: str, out: str = "children") -> DataFrame:
     return children.groupBy(key).agg(F.count(F.lit(1)).alias(out))
+
+
+def dashboard(products: DataFrame, requests: DataFrame) -> DataFrame:
+    """(measure, key, value): totals, counts per stage and per status, and the number of initiatives.
+
+    The products are scanned once and reduced to one row per (stage, status); everything else comes from those.
+    """
+    cells = products.groupBy("current_stage_id", "status_id").agg(F.count(F.lit(1)).alias("n"))
+    n, none = F.col("n"), F.lit("")
+
+    def entry(measure, key, value):
+        return F.struct(F.lit(measure).alias("measure"), key.alias("key"), value.alias("value"))
+
+    def only(condition):
+        return F.when(condition, n).otherwise(0)
+
+    parts = F.array(
+        entry("total", none, n),
+        entry("inReview", none, only(F.col("status_id").isin("in_review", "in_progress"))),
+        entry("blocked", none, only(F.col("status_id") == "blocked")),
+        entry("live", none, only(F.col("current_stage_id").isin("publish", "operate"))),
+        entry("stage", F.coalesce("current_stage_id", none), n),
+        entry("status", F.coalesce("status_id", none), n),
+    )
+    counted = cells.select(F.inline(parts)).groupBy("measure", "key").agg(F.sum("value").alias("value"))
+    initiatives = requests.agg(F.count(F.lit(1)).alias("value")).select(
+        F.lit("initiatives").alias("measure"), none.alias("key"), "value")
+    return counted.unionByName(initiatives)

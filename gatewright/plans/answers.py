@@ -23,18 +23,19 @@ from gatewright.functions import checks
 from gatewright.functions.text import checkbox, log_text, or_empty, slug, strip
 from gatewright.operators.labels import display_label_table, label_table
 from gatewright.operators.merge import latest_per_key, merge, union_all
-from gatewright.operators.numbering import number_within
+from gatewright.operators.running import BLOCK_ROWS, in_blocks, running_values
 from gatewright.plans import changes as ch
 from gatewright.plans import workflow as wf
 from gatewright.session import cut_lineage
 
-BLOCK_ROWS = 100_000
 ADVANCE_NOTE = "Advanced automatically after required information was completed."
 LOCKED = "Previous stages must be completed before this stage can be submitted"
 # fixed values: labels of write-back errors and the default domain
 REQUIRED_ON_WRITE = {"product_type_id": "product type", "target_platform_id": "target platform", "priority_id": "priority"}
 DEFAULT_DOMAIN = "commercial"
 
+# both start with the initiative, so one shuffle by (initiative, block) serves both window specifications
+_INITIATIVE, _PRODUCT = ["request_id"], ["request_id", "data_product_id"]
 _OWN = set(model.PRODUCT_VALUE_KEYS)
 _PARENT = set(model.PARENT_VALUE_KEYS)
 PRODUCT_WRITE_KEYS = model.PRODUCT_VALUE_KEYS + model.ANSWER_SHOWN_COLUMNS
@@ -121,37 +122,7 @@ def check_headers(submissions: DataFrame, products: DataFrame, requests: DataFra
     })
 
 
-# --------------------------------------------------------------------------------------------- running values
-
-def _running(df: DataFrame, keys: list[str], values: dict[str, tuple[str, Column]], blocks: int) -> DataFrame:
-    """Add the running value over earlier rows of the key: kind 'last' (last non-NULL) or 'max'.
-
-    Rows carry block and pos. Within a block a window does it; earlier blocks contribute their final value.
-    """
-    w = Window.partitionBy("request_id", "block", *[k for k in keys if k != "request_id"]).orderBy("pos").rowsBetween(
-        Window.unboundedPreceding, -1)
-
-    def over(kind, c):
-        return (F.last(c, ignorenulls=True) if kind == "last" else F.max(c)).over(w)
-
-    if blocks == 1:
-        return df.withColumns({n: over(kind, c) for n, (kind, c) in values.items()})
-    group = ["request_id", *[k for k in keys if k != "request_id"]]
-    final = {
-        n: (F.max_by(c, F.when(c.isNotNull(), F.col("pos"))) if kind == "last" else F.max(c)).alias(n)
-        for n, (kind, c) in values.items()
-    }
-    totals = df.groupBy(*group, "block").agg(*final.values())
-    before = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*group, "block", *[
-        (F.last(n, ignorenulls=True) if kind == "last" else F.max(n)).over(before).alias(f"_carry_{n}")
-        for n, (kind, _) in values.items()])
-    local = df.withColumns({n: over(kind, c) for n, (kind, c) in values.items()})
-    joined = local.join(carry, [*group, "block"])
-    return joined.withColumns({n: F.coalesce(F.col(n), F.col(f"_carry_{n}")) if kind == "last"
-                               else F.greatest(F.col(n), F.col(f"_carry_{n}")) for n, (kind, _) in values.items()}).drop(
-        *[f"_carry_{n}" for n in values])
-
+# --------------------------------------------------------------------------------------------- the subdomain rule
 
 def _subdomain_before(df: DataFrame, blocks: int) -> DataFrame:
     """Add sub_shown_before / sub_cleared_now: the subdomain before each submission after all clearings so far.
@@ -160,7 +131,7 @@ def _subdomain_before(df: DataFrame, blocks: int) -> DataFrame:
     Expects accepted, and for writes w_domain, w_sub (shown texts), w_sub_domain (the domain the subdomain is in).
     """
     ok = F.col("accepted")
-    df = _running(df, ["data_product_id"], {
+    df = running_values(df, _PRODUCT, {
         "_domain_before": ("last", F.when(ok, F.col("w_domain"))),
         "_sub_before": ("last", F.when(ok & F.col("w_sub").isNotNull(), F.struct(
             F.col("w_sub").alias("value"), F.col("w_sub_domain").alias("domain"), F.col("pos").alias("at")))),
@@ -172,7 +143,7 @@ def _subdomain_before(df: DataFrame, blocks: int) -> DataFrame:
     domain_now = F.coalesce(F.when(ok, F.col("w_domain")), F.col("_domain_before"), or_empty("b_domain"))
     bad = ok & (F.col("_sub_now.value") != "") & ~domain_now.eqNullSafe(F.col("_sub_now.domain"))
     df = df.withColumn("_clear_at", F.when(bad, F.col("pos")))
-    df = _running(df, ["data_product_id"], {"_cleared_before": ("max", F.col("_clear_at"))}, blocks)
+    df = running_values(df, _PRODUCT, {"_cleared_before": ("max", F.col("_clear_at"))}, blocks)
     cleared_before = F.coalesce(F.col("_cleared_before") >= F.col("_sub_before.at"), F.lit(False)) & F.col("_cleared_before").isNotNull()
     last_clear = F.greatest("_cleared_before", "_clear_at")
     cleared_now = F.coalesce(last_clear >= F.col("_sub_now.at"), F.lit(False))
@@ -210,8 +181,8 @@ def _complete_before(df: DataFrame, rules, stages, blocks: int) -> DataFrame:
     own = [r for r in needed if r.key not in _PARENT]
     parent = [r for r in needed if r.key in _PARENT]
     masked = lambda r: F.when(F.col("accepted"), F.col(_flag(r)))
-    df = _running(df, ["request_id"], {f"p_{r.rule_id}": ("last", masked(r)) for r in parent}, blocks)
-    df = _running(df, ["data_product_id"], {f"p_{r.rule_id}": ("last", masked(r)) for r in own}, blocks)
+    df = running_values(df, _INITIATIVE, {f"p_{r.rule_id}": ("last", masked(r)) for r in parent}, blocks)
+    df = running_values(df, _PRODUCT, {f"p_{r.rule_id}": ("last", masked(r)) for r in own}, blocks)
     df = _subdomain_before(df, blocks)
     out = {}
     for stage_id, _, _ in stages:
@@ -249,10 +220,7 @@ def apply_answers(
     rules = rules or model.RULES
     stages = sorted(stages or model.STAGES, key=lambda s: s[2])
     heads = check_headers(submissions, v.products, v.requests, stages, v.statuses, mail_domain)
-    heads = cut_lineage(number_within(
-        heads, ["request_id"], [F.col("submitted_at"), F.col("submission_id")], "pos"
-    ).withColumn("block", F.floor((F.col("pos") - 1) / block_rows)))
-    blocks = 1 + (heads.where("request_id IS NOT NULL").agg(F.max("block")).first()[0] or 0)
+    heads, blocks = in_blocks(heads, ["request_id"], [F.col("submitted_at"), F.col("submission_id")], block_rows)
 
     # every answer of a known rule of the submitted stage, checked
     rule_table = model.literal_table(
@@ -370,7 +338,7 @@ def _outcome(v, heads, writes, decided, moves, rules, stages, blocks) -> Applied
     moved_status = F.when(F.col("to_stage_id").isNotNull(), F.when(F.col("to_stage_id") == "operate", "operating").otherwise("in_review"))
     acc = acc.withColumn("finished", finished).withColumn(
         "end_status", F.coalesce(moved_status, F.when(F.col("finished"), "operating"), F.col("new_status_id")))
-    acc = _running(acc, ["data_product_id"], {"_status": ("last", F.col("end_status"))}, blocks)
+    acc = running_values(acc, _PRODUCT, {"_status": ("last", F.col("end_status"))}, blocks)
     acc = cut_lineage(acc.withColumn("status_before", F.coalesce("_status", "base_status_id")))
 
     # ---- changes: submitted value against what was shown before
@@ -469,3 +437,63 @@ def _outcome(v, heads, writes, decided, moves, rules, stages, blocks) -> Applied
         F.col("to_stage_id").isNotNull().alias("advanced"),
         F.coalesce("header_error", F.when(~F.col("unlocked"), F.lit(LOCKED)), "answer_error", "status_error").alias("error"))
     return Applied(products, requests, answers, events, results)
+
+
+# --------------------------------------------------------------------------------------------- single steps
+
+def write_back(products: DataFrame, requests: DataFrame, writes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Copy checked answers to the columns they stand for; the last write per column wins.
+
+    writes: data_product_id, requirement_key, stored_value, pos. Six keys go to the parent row of the product.
+    """
+    routed = writes.where(F.col("requirement_key").isin(model.PARENT_VALUE_KEYS)).join(
+        products.select("data_product_id", "request_id"), "data_product_id")
+    return (
+        _overlay(products, _last_written(writes, "data_product_id", PRODUCT_WRITE_KEYS), "data_product_id", PRODUCT_WRITE_KEYS),
+        _overlay(requests, _last_written(routed, "request_id", model.PARENT_VALUE_KEYS), "request_id", model.PARENT_VALUE_KEYS),
+    )
+
+
+def reconcile_domain_subdomain(products: DataFrame, answers: DataFrame, subdomains: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clear subdomains that are not in the product's lead domain, and delete their answers."""
+    homes = subdomains.select(F.col("subdomain_id").alias("lead_subdomain_id"), F.col("domain_id").alias("_home"))
+    joined = products.join(homes, "lead_subdomain_id", "left")
+    stray = (or_empty("lead_subdomain_id") != "") & ~F.col("_home").eqNullSafe(F.col("lead_domain_id"))
+    cleared = joined.where(stray).select("data_product_id", F.lit(model.SUBDOMAIN_RULE_ID).alias("requirement_id"))
+    fixed = joined.withColumn("lead_subdomain_id", F.when(~stray, F.col("lead_subdomain_id"))).select(*products.columns)
+    return fixed, answers.join(cleared, ["data_product_id", "requirement_id"], "left_anti").select(*answers.columns)
+
+
+def advance_if_complete(v, saved: DataFrame, rules=None, stages=None) -> tuple[DataFrame, DataFrame]:
+    """(products, events) after one save per product; saved: data_product_id, stage_id, saved_at.
+
+    A product moves one stage if the saved stage is its current one and complete. In the last stage it is marked
+    operating and the completion is logged each time.
+    """
+    rules, stages = rules or model.RULES, sorted(stages or model.STAGES, key=lambda s: s[2])
+    nexts = dict(zip([s[0] for s in stages], [s[0] for s in stages[1:]] + [None]))
+    next_of = F.create_map(*[F.lit(x) for a, b in nexts.items() if b for x in (a, b)])
+    flags = wf.stage_flags(v.products, v.requests, v.answers, rules, stages)
+    due = saved.join(flags, "data_product_id").where(F.col("stage_id") == F.col("current_stage_id"))
+    due = due.where(_pick("complete", stages)).select(
+        "data_product_id", "request_id", "stage_id", "saved_at", next_of[F.col("stage_id")].alias("to_stage_id"))
+    to = F.col("to_stage_id")
+    due = due.withColumn("new_status", F.when(to.isNull() | (to == "operate"), "operating").otherwise("in_review"))
+    new = due.select("data_product_id", F.struct("to_stage_id", "new_status").alias("_n"))
+    moved = F.col("_n.to_stage_id").isNotNull()
+    products = v.products.join(new, "data_product_id", "left").withColumns({
+        "current_stage_id": F.coalesce("_n.to_stage_id", "current_stage_id"),
+        "status_id": F.coalesce("_n.new_status", "status_id"),
+        "note": F.when(moved, F.lit(ADVANCE_NOTE)).otherwise(F.col("note")),
+    }).select(*v.products.columns)
+    common = {"entity_type": F.lit("product"), "request_id": F.col("request_id"), "data_product_id": F.col("data_product_id"),
+              "status_id": F.col("new_status")}
+    steps = ch.timeline_events(due.where("to_stage_id IS NOT NULL"), {
+        **common, "event_type": F.lit("stage_advanced"), "event_label": F.lit("Stage advanced"),
+        "event_detail": F.concat(F.lit("Advanced from "), F.col("stage_id"), F.lit(" to "), to, F.lit(".")), "stage_id": to,
+        "from_stage_id": F.col("stage_id"), "to_stage_id": to, "created_by": F.lit("system")}, F.col("saved_at"), F.lit("advance"))
+    ends = ch.timeline_events(due.where("to_stage_id IS NULL"), {
+        **common, "event_type": F.lit("completed"), "event_label": F.lit("Workflow completed"),
+        "event_detail": F.lit("All stages are complete."), "stage_id": F.col("stage_id"), "created_by": F.lit("admin"),
+    }, F.col("saved_at"), F.lit("complete"))
+    return products, steps.unionByName(ends)

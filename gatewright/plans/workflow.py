@@ -128,24 +128,34 @@ def workflow_document(products: DataFrame, requests: DataFrame, answers: DataFra
     rules = rules or model.RULES
     ordered = sorted(stages or model.STAGES, key=lambda s: s[2])
     df = with_parent_values(products, requests).join(stored_answers(answers, rules), "data_product_id", "left")
+
+    def value(r):
+        return shown_column(r.key) if r.key in _COLUMN_KEYS else or_empty(f"a_{r.rule_id}")
+
+    per_stage = {s: sorted((r for r in rules if r.stage_id == s), key=lambda r: r.sort_order) for s, _, _ in ordered}
+    # flags first, as columns of their own, so that later stages do not repeat the tests of earlier ones
+    flags = {}
+    for stage_id, own in per_stage.items():
+        done = F.lit(True)
+        for r in own:
+            done = done & complete_flag(r, value(r)) if r.required else done
+        flags[f"complete_{stage_id}"] = done
+    df = df.withColumns(flags)
     entries, open_so_far = [], F.lit(True)
     for stage_id, name, number in ordered:
-        own = sorted((r for r in rules if r.stage_id == stage_id), key=lambda r: r.sort_order)
-        done, items = F.lit(True), []
-        for r in own:
-            value = shown_column(r.key) if r.key in _COLUMN_KEYS else or_empty(f"a_{r.rule_id}")
-            if r.required:
-                done = done & complete_flag(r, value)
-            items.append(F.struct(
-                F.lit(r.rule_id).alias("requirement_id"), F.lit(r.key).alias("requirement_key"),
-                F.lit(r.label).alias("label"), F.lit(r.input_type).alias("input_type"),
-                F.lit(r.required).alias("is_required"), value.alias("answer_value")))
-        requirements = F.array(*items) if items else F.lit(None)
+        items = [
+            F.struct(F.lit(r.rule_id).alias("requirement_id"), F.lit(r.key).alias("requirement_key"),
+                     F.lit(r.label).alias("label"), F.lit(r.input_type).alias("input_type"),
+                     F.lit(r.required).alias("is_required"), value(r).alias("answer_value"))
+            for r in per_stage[stage_id]
+        ]
+        complete = F.col(f"complete_{stage_id}")
         entries.append(F.struct(
             F.lit(stage_id).alias("stage_id"), F.lit(name).alias("name"), F.lit(number).alias("number"),
-            requirements.alias("requirements"), done.alias("complete"), open_so_far.alias("can_submit"),
+            (F.array(*items) if items else F.lit(None)).alias("requirements"), complete.alias("complete"),
+            open_so_far.alias("can_submit"),
             F.coalesce(F.col("current_stage_id") == stage_id, F.lit(False)).alias("is_current")))
-        open_so_far = open_so_far & done
+        open_so_far = open_so_far & complete
     return df.select("data_product_id", "request_id", F.array(*entries).alias("stages"))
 
 

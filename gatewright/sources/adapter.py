@@ -169,6 +169,61 @@ LEGACY = {
     "requested_date": "CAST(CAST(o_orderdate AS date) AS string)",
 }
 
+# Batches of commands over the driver tables, with planted errors.
+INTAKE = {
+    "batch_id": "concat('in-', lpad(CAST(c_custkey AS string), 12, '0'))",
+    "request_number": f"CASE c_custkey % 20 WHEN 0 THEN concat('REQ-', CAST(c_custkey + 5000000 AS string)) WHEN 1 THEN '1' ELSE {_NULL} END",
+    "initiative": "CASE WHEN c_custkey % 19 = 0 THEN '  ' ELSE concat(' New ', c_name, ' ') END",
+    "description": f"CASE WHEN c_custkey % 4 = 0 THEN {_NULL} ELSE concat('Decide ', c_mktsegment) END",
+    "businessValue": "'value'",
+    "requester": "CASE WHEN c_custkey % 23 = 0 THEN '' ELSE c_name END",
+    "requesterEmail": "CASE WHEN c_custkey % 11 = 0 THEN 'nobody' ELSE concat('Ann', CAST(c_custkey AS string), '@Example.com') END",
+    "status": f"CASE c_custkey % 7 WHEN 0 THEN 'in_review' WHEN 1 THEN '' WHEN 2 THEN 'odd' ELSE {_NULL} END",
+    "priority": f"CASE c_custkey % 5 WHEN 0 THEN 'P1' WHEN 1 THEN '' WHEN 2 THEN 'p9' ELSE {_NULL} END",
+    "businessUnit": "CASE c_custkey % 3 WHEN 0 THEN '' ELSE c_mktsegment END",
+    "scope": f"CASE c_custkey % 4 WHEN 0 THEN 'Latin America' WHEN 1 THEN '' ELSE {_NULL} END",
+    "expectedOutput": f"CASE c_custkey % 6 WHEN 0 THEN 'API' ELSE {_NULL} END",
+    "platform": f"CASE c_custkey % 9 WHEN 0 THEN 'Both' WHEN 1 THEN 'cloud' ELSE {_NULL} END",
+    "expectedDate": "CASE c_custkey % 13 WHEN 0 THEN '' WHEN 1 THEN '2024-02-30' ELSE '2024-09-30' END",
+    "additionalComments": _NULL,
+    "note": f"CASE c_custkey % 2 WHEN 0 THEN 'by hand' ELSE {_NULL} END",
+    "submitted_at": "concat('2024-07-', lpad(CAST(1 + c_custkey % 28 AS string), 2, '0'), 'T08:00:00+00:00')",
+}
+NEW_PRODUCTS = {
+    "batch_id": "concat('np-', lpad(CAST(o_orderkey AS string), 12, '0'))",
+    "request_id": "CASE WHEN o_orderkey % 31 = 0 THEN 'req-none' ELSE concat('req-', CAST(o_custkey AS string)) END",
+    "productNumber": f"CASE o_orderkey % 25 WHEN 0 THEN CAST(o_orderkey + 70000000 AS string) WHEN 1 THEN '00000007' ELSE {_NULL} END",
+    "title": "CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE concat('Offer ', CAST(o_orderkey AS string)) END",
+    "description": "o_orderpriority",
+    "stage": f"CASE o_orderkey % 7 WHEN 0 THEN 'Publish' WHEN 1 THEN 'someday' ELSE {_NULL} END",
+    "status": f"CASE o_orderkey % 8 WHEN 0 THEN 'ready' ELSE {_NULL} END",
+    "domain": "CASE o_orderkey % 3 WHEN 0 THEN 'Europe' WHEN 1 THEN 'Middle East' ELSE 'nowhere' END",
+    "expectedOutput": f"CASE o_orderkey % 5 WHEN 0 THEN 'report' ELSE {_NULL} END",
+    "productType": f"CASE o_orderkey % 6 WHEN 0 THEN 'mixed' WHEN 1 THEN 'solid' ELSE {_NULL} END",
+    "platform": _NULL,
+    "dataProductOwner": "concat('Owner ', CAST(o_orderkey % 9 AS string))",
+    "note": _NULL,
+    "actor": "concat('user', CAST(o_custkey AS string), '@example.com')",
+    "submitted_at": f"{_ORDER_DAY}",
+}
+STATUS_CHANGES = {
+    "change_id": "lpad(CAST(event_id AS string), 12, '0')",
+    "data_product_id": "concat('dp-', CAST(user_id AS string))",
+    "request_id": "concat('req-', CAST(user_id AS string))",
+    "status_id": "CASE event_type WHEN 'error' THEN 'Blocked' WHEN 'click' THEN 'in_progress' WHEN 'view' THEN 'ready' "
+                 "WHEN 'signup' THEN '' ELSE 'unheard' END",
+    "reason": f"CASE event_id % 3 WHEN 0 THEN ' late ' WHEN 1 THEN '' ELSE {_NULL} END",
+    "updated_by": f"CASE event_id % 7 WHEN 0 THEN 'robot' WHEN 1 THEN {_NULL} ELSE 'Ann@example.com' END",
+    "changed_at": "concat(replace(substring(CAST(ts AS string), 1, 19), ' ', 'T'), '+00:00')",
+}
+MASTER_USERS = {
+    "id": _NULL,
+    "name": "CASE WHEN c_custkey % 9 = 0 THEN ' ' ELSE c_name END",
+    "email": "CASE c_custkey % 8 WHEN 0 THEN '' WHEN 1 THEN 'x@other.org' ELSE concat('User', CAST(c_custkey % 40 AS string), '@Example.com') END",
+    "roleKey": "CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'Hub Owner' WHEN 2 THEN 'boss' ELSE 'lynx_pm' END",
+    "seq": "c_custkey",
+}
+
 _FROM = {
     "domains": ("region", DOMAINS),
     "subdomains": ("nation JOIN region ON n_regionkey = r_regionkey", SUBDOMAINS),
@@ -178,6 +233,10 @@ _FROM = {
                  "JOIN region ON n_regionkey = r_regionkey", PRODUCTS),
     "timeline": ("lineitem", TIMELINE),
     "legacy": ("orders", LEGACY),
+    "intake": ("customer", INTAKE),
+    "new_products": ("orders", NEW_PRODUCTS),
+    "status_changes": ("events", STATUS_CHANGES),
+    "master_users": ("customer", MASTER_USERS),
 }
 _LITERALS = {
     "stages": (model.STAGES, ["stage_id", "stage_name", "stage_number"]),
@@ -243,6 +302,22 @@ class Views:
     def timeline(self) -> DataFrame:
         return self._shape(self.tables.lineitem, TIMELINE)
 
+    @property
+    def intake(self) -> DataFrame:
+        return self._shape(self.tables.customer, INTAKE)
+
+    @property
+    def new_products(self) -> DataFrame:
+        return self._shape(self.tables.orders, NEW_PRODUCTS)
+
+    @property
+    def status_changes(self) -> DataFrame:
+        return self._shape(self.tables.events, STATUS_CHANGES)
+
+    @property
+    def master_users(self) -> DataFrame:
+        return self._shape(self.tables.customer, MASTER_USERS)
+
     @property
     def legacy(self) -> DataFrame:
         return self._shape(self.tables.orders, LEGACY)
