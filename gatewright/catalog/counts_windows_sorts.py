@@ -94,10 +94,6 @@ COMPLETE = (f"{RESOLVED}, c AS (SELECT data_product_id, current_stage_id, stage_
 RESOLVED_VIEWS = "products requests answers"
 
 
-def _resolved(v):
-    return wf.rules_of_products(v.products, v.requests, v.answers)
-
-
 @query("d12_all_required_answered", with_views(RESOLVED_VIEWS, f"WITH {COMPLETE} SELECT data_product_id, bool_and(complete) AS complete FROM c GROUP BY 1"))
 def _(t, v):
     flags = wf.stage_flags(v.products, v.requests, v.answers)
@@ -111,11 +107,8 @@ def _(t, v):
 WITH {RESOLVED} SELECT data_product_id, bool_or(is_required = 1 AND NOT ({complete('input_type', 'answer_value')})) AS missing FROM x
 WHERE stage_id = current_stage_id GROUP BY 1"""))
 def _(t, v):
-    from gatewright.functions.text import answer_complete
-
-    current = _resolved(v).where("stage_id = current_stage_id")
-    missing = F.col("is_required") & ~answer_complete("input_type", "answer_value")
-    return current.groupBy("data_product_id").agg(F.coalesce(F.bool_or(missing), F.lit(False)).alias("missing"))
+    current = wf.gating(wf.stage_flags(v.products, v.requests, v.answers)).where("is_current")
+    return current.select("data_product_id", (~F.col("complete")).alias("missing"))
 
 
 @query("d14_table_counts", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in SCHEMAS))
@@ -191,7 +184,8 @@ def _(t, v):
 WITH {COMPLETE} SELECT data_product_id, c.stage_id, complete, coalesce(bool_and(complete) OVER (PARTITION BY data_product_id
   ORDER BY stage_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS can_submit FROM c JOIN a_stages s ON s.stage_id = c.stage_id"""))
 def _(t, v):
-    return wf.gating_by_window(_resolved(v)).select("data_product_id", "stage_id", "complete", "can_submit")
+    per_stage = wf.gating(wf.stage_flags(v.products, v.requests, v.answers)).drop("can_submit")
+    return wf.gating_by_window(per_stage).select("data_product_id", "stage_id", "complete", "can_submit")
 
 
 @query("e4_latest_stage_entry", with_views("products timeline", """
@@ -287,9 +281,9 @@ def _(t, v):
 
 
 @query("g2_missing_names", """
-SELECT DISTINCT l_returnflag AS name FROM lineitem UNION ALL SELECT 'md_users' EXCEPT SELECT o_orderstatus FROM orders""")
+(SELECT l_returnflag AS name FROM lineitem UNION SELECT l_linestatus FROM lineitem) EXCEPT SELECT o_orderstatus FROM orders""")
 def _(t, v):
-    required = t.lineitem.select(F.col("l_returnflag").alias("name")).distinct().unionByName(t.spark.sql("SELECT 'md_users' AS name"))
+    required = t.lineitem.select(F.explode(F.array("l_returnflag", "l_linestatus")).alias("name")).distinct()
     present = t.orders.select(F.col("o_orderstatus").alias("name")).distinct()
     return missing_names(present, required, "name")
 

@@ -7,6 +7,7 @@ from gatewright.catalog.registry import query
 from gatewright.functions.text import ladder, or_empty
 from gatewright.operators.rollup import count_by
 from gatewright.plans import imports as im, verify
+from gatewright.session import cut_lineage
 from gatewright.sources.adapter import LEGACY, with_views
 from gatewright.sources.tables import row_counts
 
@@ -143,7 +144,7 @@ def _(t, v):
 
     stored = insert_if_absent(v.timeline.where("1 = 0"), v.timeline, [["timeline_id"]], ["created_at", "event_type", "event_detail"])
     args = dict(id_prefix="req-1", event_prefix="import-", label="Initiative imported", detail="Imported")
-    once = im.backfill_created(stored, v.requests, **args)
+    once = cut_lineage(im.backfill_created(cut_lineage(stored), v.requests, **args))
     twice = im.backfill_created(once, v.requests, **args)
     return twice.select("timeline_id", or_empty("request_id").alias("request_id"), "event_type", "created_at")
 

@@ -89,7 +89,7 @@ SELECT p.data_product_id, r.requirement_id, coalesce(a.answer_value, '') AS stor
 FROM a_products p JOIN a_requests q ON q.request_id = p.request_id CROSS JOIN a_requirements r
 LEFT JOIN a_answers a ON a.data_product_id = p.data_product_id AND a.requirement_id = r.requirement_id"""))
 def _(t, v):
-    stored = wf.rules_of_products(v.products, v.requests, v.answers)
+    stored = wf.rules_of_products(v.products, v.requests, v.answers, with_stored=True)
     return stored.select("data_product_id", "requirement_id", F.coalesce("stored_answer", F.lit("")).alias("stored_answer"))
 
 

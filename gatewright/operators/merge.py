@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.session import cut_lineage
-from gatewright.sizing import SMALL_ROWS, at_most
+from gatewright.sizing import SMALL_ROWS, is_small
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -36,7 +36,8 @@ def merge(
     target lacks are ignored, target columns the source lacks become NULL in inserted rows.
     order:  columns that decide which of several source rows per key is the last; leave out if keys are unique.
 
-    A source of checked size is broadcast, so that the target is not shuffled; otherwise one full outer join.
+    The source is materialised once. If its measured size is small it is broadcast, so that the target is not
+    shuffled; otherwise there is one full outer join. small_source_rows=0 always takes the join.
     """
     if order:
         source = latest_per_key(source, keys, order)
@@ -44,7 +45,7 @@ def merge(
     rest = [c for c in columns if c not in keys]
     offered = [c for c in rest if c in source.columns]
     update = [c for c in (offered if update is None else update) if c not in keep]
-    src = source.select(*keys, F.struct(F.lit(1).alias("_present"), *offered).alias("_src"))
+    src = cut_lineage(source.select(*keys, F.struct(F.lit(1).alias("_present"), *offered).alias("_src")))
     found = F.col("_src").isNotNull()
 
     def new_value(c: str) -> Column:
@@ -60,7 +61,7 @@ def merge(
     def inserted(c: str) -> Column:
         return (F.col("_src")[c] if c in offered else F.lit(None)).cast(types[c])
 
-    if small_source_rows and at_most(src.select(*keys), small_source_rows):
+    if small_source_rows and is_small(src, small_source_rows):
         updated = target.join(F.broadcast(src), keys, "left").select(
             *[F.col(c) if c in keys else new_value(c).cast(types[c]).alias(c) for c in columns])
         matched = target.select(*keys).join(F.broadcast(src.select(*keys)), keys, "left_semi").distinct()

@@ -58,7 +58,7 @@ _SEARCH_FIELDS = [
 ]
 
 
-def joined_products(v) -> DataFrame:
+def joined_products(v, products: DataFrame | None = None) -> DataFrame:
     """Products with their parent (inner join: orphans drop out) and all labels.
 
     The dimension joins carry no hints: the literal dimensions are local relations of known size, the user
@@ -66,7 +66,7 @@ def joined_products(v) -> DataFrame:
     """
     parents = v.requests.select(
         "request_id", *_PARENT_COLUMNS, *[F.col(c).alias(f"r_{c}") for c in _PARENT_CHANGE_COLUMNS])
-    df = v.products.join(parents, "request_id")
+    df = (v.products if products is None else products).join(parents, "request_id")
     df = df.join(v.domains.withColumnRenamed("domain_id", "lead_domain_id"), "lead_domain_id", "left")
     df = df.join(v.business_units, "business_unit_id", "left").join(v.product_types, "product_type_id", "left")
     df = df.join(v.expected_outputs, "expected_output_id", "left")
@@ -93,7 +93,8 @@ def product_overview(v, as_of: str) -> DataFrame:
 
     The joined texts of answers and events are unbounded per product and come from `product_search_text`.
     """
-    df = stage_entered_at(joined_products(v), v.timeline, as_of)
+    # the stage entry first: it shuffles products, which are narrower before the labels are joined
+    df = joined_products(v, stage_entered_at(v.products, v.timeline, as_of))
     entered = F.col("current_stage_entered_at")
     fields = {
         "id": normalize_number("data_product_number"),

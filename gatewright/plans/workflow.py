@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatewright import model
-from gatewright.functions.text import answer_complete, or_empty, strip
+from gatewright.functions.text import or_empty, strip
 from gatewright.operators.numbering import number_within
 
 _COLUMN_KEYS = set(model.PRODUCT_VALUE_KEYS) | set(model.PARENT_VALUE_KEYS)
@@ -37,17 +37,27 @@ def stored_answers(answers: DataFrame, rules: list[model.Rule]) -> DataFrame:
     ])
 
 
-def rules_of_products(products: DataFrame, requests: DataFrame, answers: DataFrame, rules=None) -> DataFrame:
-    """One row per product with a parent and rule: the rule's fields, the stored answer and the shown value."""
+def _answer_shown(rules) -> list[model.Rule]:
+    return [r for r in rules if r.key not in _COLUMN_KEYS]
+
+
+def rules_of_products(
+    products: DataFrame, requests: DataFrame, answers: DataFrame, rules=None, with_stored: bool = False
+) -> DataFrame:
+    """One row per product with a parent and rule: the rule's fields and the shown value.
+
+    with_stored adds the stored answer also of rules that show a column; otherwise those answers are not read.
+    """
     rules = rules or model.RULES
-    joined = with_parent_values(products, requests).join(stored_answers(answers, rules), "data_product_id", "left")
+    wanted = rules if with_stored else _answer_shown(rules)
+    joined = with_parent_values(products, requests).join(stored_answers(answers, wanted), "data_product_id", "left")
     entries = F.array(*[
         F.struct(
             F.lit(r.rule_id).alias("requirement_id"), F.lit(r.stage_id).alias("stage_id"),
             F.lit(r.key).alias("requirement_key"), F.lit(r.label).alias("label"),
             F.lit(r.input_type).alias("input_type"), F.lit(r.master_type).cast("string").alias("master_data_type"),
             F.lit(r.sort_order).alias("sort_order"), F.lit(r.required).alias("is_required"),
-            F.col(f"a_{r.rule_id}").alias("stored_answer"),
+            *([F.col(f"a_{r.rule_id}").alias("stored_answer")] if with_stored else []),
             (shown_column(r.key) if r.key in _COLUMN_KEYS else or_empty(f"a_{r.rule_id}")).alias("answer_value"),
         )
         for r in rules
@@ -127,7 +137,7 @@ def workflow_document(products: DataFrame, requests: DataFrame, answers: DataFra
     """
     rules = rules or model.RULES
     ordered = sorted(stages or model.STAGES, key=lambda s: s[2])
-    df = with_parent_values(products, requests).join(stored_answers(answers, rules), "data_product_id", "left")
+    df = with_parent_values(products, requests).join(stored_answers(answers, _answer_shown(rules)), "data_product_id", "left")
 
     def value(r):
         return shown_column(r.key) if r.key in _COLUMN_KEYS else or_empty(f"a_{r.rule_id}")
@@ -190,14 +200,10 @@ def progress_percent(df: DataFrame, stages: DataFrame, stage_column: str = "curr
     ).drop("_total", "stage_number")
 
 
-def gating_by_window(resolved: DataFrame) -> DataFrame:
-    """Completeness and gating from resolved requirement rows, for rules kept as data.
+def gating_by_window(per_stage: DataFrame) -> DataFrame:
+    """can_submit from completeness rows (data_product_id, stage_number, complete), for stages kept as data.
 
     The window holds the few stages of one product.
     """
-    ok = answer_complete("input_type", "answer_value") | ~F.col("is_required")
-    per_stage = resolved.groupBy("data_product_id", "stage_id").agg(F.bool_and(ok).alias("complete"))
-    stage_numbers = F.create_map(*[F.lit(x) for s, _, n in model.STAGES for x in (s, n)])
-    numbered = per_stage.withColumn("stage_number", stage_numbers[F.col("stage_id")])
     earlier = Window.partitionBy("data_product_id").orderBy("stage_number").rowsBetween(Window.unboundedPreceding, -1)
-    return numbered.withColumn("can_submit", F.coalesce(F.bool_and("complete").over(earlier), F.lit(True)))
+    return per_stage.withColumn("can_submit", F.coalesce(F.bool_and("complete").over(earlier), F.lit(True)))

@@ -1,8 +1,8 @@
 """Broadcast only what was measured.
 
-The library gives no unconditional broadcast hints: literal dimensions are local relations whose size
-Catalyst knows, file-backed dimensions are judged by Catalyst statistics and again by adaptive execution.
-Where a small side lets a plan skip the shuffle of a huge table altogether, the size is checked first.
+The library gives no unconditional broadcast hints on data: literal dimensions are local relations whose size
+Catalyst knows, file-backed dimensions are judged by Catalyst statistics and again by adaptive execution. Where a
+small side lets a plan skip the shuffle of a huge table altogether, its rows and bytes are counted first.
 """
 
 from __future__ import annotations
@@ -11,12 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 200_000
+SMALL_BYTES = 64 << 20
 
 
-def at_most(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
-    """True if the frame has no more than `rows` rows; reads no further than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    return F.broadcast(df) if at_most(df, rows) else df
+def is_small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> bool:
+    """True if the frame has at most `rows` rows of together at most `size` bytes as text; reads rows + 1 at most."""
+    text = F.octet_length(F.to_json(F.struct(*df.columns)))
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(text), F.lit(0))).first()
+    return n <= rows and total <= size

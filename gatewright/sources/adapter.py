@@ -200,7 +200,7 @@ NEW_PRODUCTS = {
     "domain": "CASE o_orderkey % 3 WHEN 0 THEN 'Europe' WHEN 1 THEN 'Middle East' ELSE 'nowhere' END",
     "expectedOutput": f"CASE o_orderkey % 5 WHEN 0 THEN 'report' ELSE {_NULL} END",
     "productType": f"CASE o_orderkey % 6 WHEN 0 THEN 'mixed' WHEN 1 THEN 'solid' ELSE {_NULL} END",
-    "platform": _NULL,
+    "platform": f"CASE o_orderkey % 10 WHEN 0 THEN 'Lynx' WHEN 1 THEN '' ELSE {_NULL} END",
     "dataProductOwner": "concat('Owner ', CAST(o_orderkey % 9 AS string))",
     "note": _NULL,
     "actor": "concat('user', CAST(o_custkey AS string), '@example.com')",
@@ -425,22 +425,22 @@ SUBMITTED_VALUE = (
 )
 
 
-def submissions(v: Views) -> DataFrame:
+def submissions(v: Views, events: DataFrame | None = None) -> DataFrame:
     t = v.tables
     owners = t.orders.groupBy(F.col("o_custkey").alias("user_id")).agg(
         F.min("o_orderkey").alias("first_order"), F.max("o_orderkey").alias("last_order"))
-    return v._shape(t.events.join(owners, "user_id"), SUBMISSION)
+    return v._shape((t.events if events is None else events).join(owners, "user_id"), SUBMISSION)
 
 
-def submitted_answers(v: Views) -> DataFrame:
-    """All answers of the submitted stage, in form order; plus one unknown requirement, which is ignored."""
+def submitted_answers(v: Views, events: DataFrame | None = None) -> DataFrame:
+    """All answers of the submitted stage, in form order."""
     rules = F.array(*[
         F.struct(F.lit(r.stage_id).alias("rule_stage"), F.lit(r.rule_id).alias("requirement_id"),
                  F.lit(r.key).alias("requirement_key"), F.lit(r.input_type).alias("input_type"),
                  F.lit(r.master_type).cast("string").alias("master_data_type"), F.lit(r.sort_order).alias("sort_order"))
         for r in model.RULES
     ])
-    heads = v.tables.events.selectExpr(
+    heads = (v.tables.events if events is None else events).selectExpr(
         f"{SUBMISSION['submission_id']} AS submission_id", "event_id", f"{SUBMISSION['stage_id']} AS stage_id")
     return heads.select("*", F.inline(rules)).where("rule_stage = stage_id").selectExpr(
         "submission_id", "sort_order AS position", "requirement_id", f"{SUBMITTED_VALUE} AS answer_value")
