@@ -13,6 +13,9 @@ from gatewright.functions.text import strip
 from gatewright.model import TEXT_LIMIT, URL_LIMIT
 
 
+HTTP_URL = r"(?i)^https?://[^/?#]+"
+
+
 @dataclass(frozen=True)
 class Checked:
     value: Column
@@ -67,7 +70,7 @@ def http_url(c, label: str, *, required: bool = False) -> Checked:
     s = strip(c)
     errors = _required(s, label, required)
     errors.append(F.when(F.length(s) > URL_LIMIT, F.lit(f"{label} must be {URL_LIMIT} characters or fewer")))
-    errors.append(F.when((s != "") & ~s.rlike(r"(?i)^https?://[^/?#]+"), F.lit(f"{label} must be a valid http(s) URL")))
+    errors.append(F.when((s != "") & ~s.rlike(HTTP_URL), F.lit(f"{label} must be a valid http(s) URL")))
     return Checked(s, _first(errors))
 
 

@@ -13,14 +13,16 @@ DAY_MICROS = 86_400_000_000
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"
 
 
+def stripped_micros(s: Column) -> Column:
+    """As instant_micros, for a text that is stripped already. Uses the text several times: give it as a plain column."""
+    has_offset = s.endswith("Z") | F.substring(s, -6, 1).isin("+", "-")
+    suffix = F.when(F.length(s) == 10, "T00:00:00+00:00").when(has_offset, "").otherwise("+00:00")
+    return F.when(s.rlike(_ISO), F.unix_micros(F.try_to_timestamp(F.concat(s, suffix))))
+
+
 def instant_micros(c) -> Column:
     """Microseconds since the epoch of an ISO text; a text without offset is UTC; NULL if it cannot be read."""
-    s = strip(c)
-    full = F.when(F.length(s) == 10, F.concat(s, F.lit("T00:00:00"))).otherwise(s)
-    zoned = F.when(full.rlike(r"(Z|[+-]\d{2}:\d{2})$") & (F.length(full) > 16), full).otherwise(
-        F.concat(full, F.lit("+00:00"))
-    )
-    return F.when(s.rlike(_ISO), F.unix_micros(F.try_to_timestamp(zoned)))
+    return stripped_micros(strip(c))
 
 
 def epoch_micros(as_of: str) -> int:
@@ -43,11 +45,16 @@ def valid_instant_or_empty(c) -> Column:
     return F.when(instant_micros(c).isNotNull(), strip(c)).otherwise(F.lit(""))
 
 
-def days_since(c, as_of: str) -> Column:
-    elapsed = F.lit(epoch_micros(as_of)).cast("bigint") - instant_micros(c)
+def days_until(us: Column, as_of: str) -> Column:
+    """Whole days from an instant to as_of, never negative, 0 for NULL."""
+    elapsed = F.lit(epoch_micros(as_of)).cast("bigint") - us
     return F.coalesce(F.greatest(F.lit(0).cast("bigint"), _div(elapsed, DAY_MICROS)), F.lit(0).cast("bigint"))
 
 
+def days_since(c, as_of: str) -> Column:
+    return days_until(instant_micros(c), as_of)
+
+
 def date_text(c) -> Column:
     return F.coalesce(micros_to_date_text(instant_micros(c)), F.substring(or_empty(c), 1, 10))
 

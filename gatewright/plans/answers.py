@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from gatewright import model
 from gatewright.functions import checks
-from gatewright.functions.text import checkbox, log_text, or_empty, slug, strip
+from gatewright.functions.dates import calendar_date
+from gatewright.functions.text import log_text, or_empty, slug, strip
 from gatewright.operators.labels import display_label_table, label_table
 from gatewright.operators.merge import latest_per_key, merge, union_all
 from gatewright.operators.running import BLOCK_ROWS, in_blocks, running_values
@@ -55,8 +56,9 @@ def validate_answers(rows: DataFrame, labels: DataFrame) -> DataFrame:
     is_link = key.isin("jira_link", "alation_link")
     typed = kind.isin("checkbox", "number", "date") | is_link
     is_ref = ~typed & collection.isNotNull()
-    text = strip(raw)
-    ref = slug(raw)
+    # cleaned once, as columns of their own; the rules below refer to them many times
+    rows = rows.withColumns({"_text": strip(raw), "_ref": F.when(is_ref, slug(raw))})
+    text, ref = F.col("_text"), F.col("_ref")
     written_ref = F.when((key == "lead_domain_id") & (text == ""), F.lit(DEFAULT_DOMAIN)).otherwise(ref)
 
     known = labels.select(F.col("collection").alias("_collection"), F.col("id").alias("_id"), F.lit(True).alias("_known"))
@@ -66,8 +68,8 @@ def validate_answers(rows: DataFrame, labels: DataFrame) -> DataFrame:
     found = F.coalesce("_known", F.lit(False))
 
     clean = (
-        F.when(kind == "checkbox", checkbox(raw))
-        .when(kind == "number", F.coalesce(checks.whole_number(raw, "").value.cast("string"), F.lit("")))
+        F.when(kind == "checkbox", F.when(F.lower(text) == "true", "true").otherwise("false"))
+        .when(kind == "number", F.coalesce(F.when(text.rlike(r"^\d+$"), text.try_cast("bigint")).cast("string"), F.lit("")))
         .when(is_ref, F.when(text == "", F.lit("")).otherwise(ref))
         .otherwise(text)
     )
@@ -75,10 +77,10 @@ def validate_answers(rows: DataFrame, labels: DataFrame) -> DataFrame:
     plain = ~typed & ~is_ref
     error = (
         F.when((kind == "number") & (text != "") & ~text.rlike(r"^\d+$"), F.concat(label, F.lit(" must be a whole number")))
-        .when((kind == "date") & checks.date(raw, "x").error.isNotNull(), F.concat(label, F.lit(" must use YYYY-MM-DD format")))
+        .when((kind == "date") & (text != "") & calendar_date(text).isNull(), F.concat(label, F.lit(" must use YYYY-MM-DD format")))
         .when(~kind.isin("checkbox", "number", "date") & is_link & (F.length(text) > model.URL_LIMIT),
               F.concat(label, F.lit(f" must be {model.URL_LIMIT} characters or fewer")))
-        .when(~kind.isin("checkbox", "number", "date") & is_link & checks.http_url(raw, "x").error.isNotNull(),
+        .when(~kind.isin("checkbox", "number", "date") & is_link & (text != "") & ~text.rlike(checks.HTTP_URL),
               F.concat(label, F.lit(" must be a valid http(s) URL")))
         .when(is_ref & (text != "") & (ref == ""), F.concat(label, F.lit(" is required")))
         .when(is_ref & (text != "") & ~found, F.concat(label, F.lit(" is not valid")))
@@ -93,7 +95,7 @@ def validate_answers(rows: DataFrame, labels: DataFrame) -> DataFrame:
     shows_column = key.isin(list(_OWN | _PARENT))
     df = df.withColumn("stored_value", stored)
     return df.withColumn("shown_value", F.when(shows_column, or_empty("stored_value")).otherwise(F.col("clean_value"))).drop(
-        "_collection", "_id", "_known")
+        "_collection", "_id", "_known", "_text", "_ref")
 
 
 def check_headers(submissions: DataFrame, products: DataFrame, requests: DataFrame, stages, statuses: DataFrame,

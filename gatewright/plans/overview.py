@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.functions import dates
-from gatewright.functions.text import first_filled, normalize_number, or_empty
+from gatewright.functions.text import first_filled, normalize_number, or_empty, strip
 from gatewright.operators.textroll import text_pieces
 
 
@@ -20,11 +20,19 @@ def stage_entries(timeline: DataFrame) -> DataFrame:
 
 
 def stage_entered_at(products: DataFrame, timeline: DataFrame, as_of: str) -> DataFrame:
-    """Products with `current_stage_entered_at`: last advance into the current stage, else creation, else as_of."""
-    joined = products.join(stage_entries(timeline), ["data_product_id", "current_stage_id"], "left")
-    raw = F.coalesce("entered_at", "created_at")
-    entered = first_filled(dates.valid_instant_or_empty(raw), dates.valid_instant_or_empty("created_at"), F.lit(as_of))
-    return joined.withColumn("current_stage_entered_at", entered).drop("entered_at")
+    """Products with the entry into their current stage: last advance into it, else creation, else as_of.
+
+    Adds current_stage_entered_at (text) and current_stage_entered_us (microseconds); each text is parsed once.
+    """
+    df = products.join(stage_entries(timeline), ["data_product_id", "current_stage_id"], "left")
+    df = df.withColumns({"entered_at": strip(F.coalesce("entered_at", "created_at")), "_created": strip("created_at")})
+    df = df.withColumns({"_entered_us": dates.stripped_micros(F.col("entered_at")),
+                         "_created_us": dates.stripped_micros(F.col("_created"))})
+    text = F.when(F.col("_entered_us").isNotNull(), F.col("entered_at")).when(
+        F.col("_created_us").isNotNull(), F.col("_created")).otherwise(F.lit(as_of))
+    us = F.coalesce("_entered_us", "_created_us", F.lit(dates.epoch_micros(as_of)))
+    return df.withColumns({"current_stage_entered_at": text, "current_stage_entered_us": us}).drop(
+        "entered_at", "_created", "_entered_us", "_created_us")
 
 
 def _label(name: str, raw: str) -> Column:
@@ -95,7 +103,7 @@ def product_overview(v, as_of: str) -> DataFrame:
     """
     # the stage entry first: it shuffles products, which are narrower before the labels are joined
     df = joined_products(v, stage_entered_at(v.products, v.timeline, as_of))
-    entered = F.col("current_stage_entered_at")
+    entered = F.col("current_stage_entered_us")
     fields = {
         "id": normalize_number("data_product_number"),
         "requestId": F.col("data_product_id"),
@@ -129,8 +137,8 @@ def product_overview(v, as_of: str) -> DataFrame:
         "stage": _label("stage_name", "current_stage_id"),
         "stageId": or_empty("current_stage_id"),
         "stageNumber": F.coalesce("stage_number", F.lit(0)),
-        "currentStageEnteredAt": dates.date_text(entered),
-        "daysInStage": dates.days_since(entered, as_of),
+        "currentStageEnteredAt": dates.micros_to_date_text(entered),
+        "daysInStage": dates.days_until(entered, as_of),
         "status": _label("status_name", "status_id"),
         "statusId": or_empty("status_id"),
         "statusChangeReason": or_empty("status_change_reason"),

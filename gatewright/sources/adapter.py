@@ -325,18 +325,11 @@ class Views:
     @cached_property
     def answers(self) -> DataFrame:
         """Full answers for the stages before the current one with a few gaps, partial ones for the current stage."""
-        number = {s: n for s, _, n in model.STAGES}
-        rules = F.array(*[
-            F.struct(F.lit(r.rule_id).alias("requirement_id"), F.lit(r.input_type).alias("input_type"),
-                     F.lit(r.master_type).cast("string").alias("master_data_type"),
-                     F.lit(r.sort_order).alias("sort_order"), F.lit(number[r.stage_id]).alias("rule_stage"))
-            for r in model.RULES
-        ])
         keyed = self.products.select(
             "data_product_id", F.expr("CAST(substring(data_product_id, 4) AS bigint)").alias("k"),
             F.expr("1 + CAST(substring(data_product_id, 4) AS bigint) % 8").alias("current_stage"))
         return (
-            keyed.select("*", F.inline(rules)).where(F.expr(ANSWER_FILTER))
+            keyed.select("*", F.inline(F.array(*[_rule_entry(r) for r in model.RULES]))).where(F.expr(ANSWER_FILTER))
             .selectExpr("concat(data_product_id, ':', requirement_id) AS answer_id", "data_product_id",
                         "requirement_id", f"{ANSWER_VALUE} AS answer_value",
                         "'2024-02-01T00:00:00+00:00' AS updated_at")
@@ -434,13 +427,22 @@ def submissions(v: Views, events: DataFrame | None = None) -> DataFrame:
 
 def submitted_answers(v: Views, events: DataFrame | None = None) -> DataFrame:
     """All answers of the submitted stage, in form order."""
-    rules = F.array(*[
-        F.struct(F.lit(r.stage_id).alias("rule_stage"), F.lit(r.rule_id).alias("requirement_id"),
-                 F.lit(r.key).alias("requirement_key"), F.lit(r.input_type).alias("input_type"),
-                 F.lit(r.master_type).cast("string").alias("master_data_type"), F.lit(r.sort_order).alias("sort_order"))
-        for r in model.RULES
-    ])
     heads = (v.tables.events if events is None else events).selectExpr(
         f"{SUBMISSION['submission_id']} AS submission_id", "event_id", f"{SUBMISSION['stage_id']} AS stage_id")
-    return heads.select("*", F.inline(rules)).where("rule_stage = stage_id").selectExpr(
+    return heads.select("*", F.inline(_rules_for(F.col("stage_id")))).selectExpr(
         "submission_id", "sort_order AS position", "requirement_id", f"{SUBMITTED_VALUE} AS answer_value")
+
+
+def _rule_entry(r: model.Rule):
+    number = {s: n for s, _, n in model.STAGES}
+    return F.struct(
+        F.lit(r.rule_id).alias("requirement_id"), F.lit(r.key).alias("requirement_key"),
+        F.lit(r.input_type).alias("input_type"), F.lit(r.master_type).cast("string").alias("master_data_type"),
+        F.lit(r.sort_order).alias("sort_order"), F.lit(number[r.stage_id]).alias("rule_stage"))
+
+
+def _rules_for(stage):
+    """Array of the rules of a stage; NULL for an unknown stage."""
+    per_stage = [
+        x for s, _, _ in model.STAGES for x in (F.lit(s), F.array(*[_rule_entry(r) for r in model.RULES if r.stage_id == s]))]
+    return F.create_map(*per_stage)[stage]
