@@ -135,7 +135,7 @@ def _(t, v):
 
 
 @query("k5_backfilled_events", with_views("requests timeline", """
-WITH c AS (SELECT concat('import-', request_id) AS timeline_id, request_id, 'created' AS event_type, created_at FROM a_requests WHERE request_id LIKE 'req-1%'),
+WITH c AS (SELECT concat('import-', request_id) AS timeline_id, request_id, 'created' AS event_type, created_at FROM a_requests WHERE request_id LIKE 'req-%'),
  s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY timeline_id ORDER BY created_at, event_type, event_detail) AS rn FROM a_timeline) WHERE rn = 1)
 SELECT timeline_id, coalesce(request_id, '') AS request_id, event_type, created_at FROM s UNION ALL SELECT timeline_id, request_id, event_type, created_at FROM c"""))
 def _(t, v):
@@ -143,7 +143,7 @@ def _(t, v):
     from gatewright.operators.merge import insert_if_absent
 
     stored = insert_if_absent(v.timeline.where("1 = 0"), v.timeline, [["timeline_id"]], ["created_at", "event_type", "event_detail"])
-    args = dict(id_prefix="req-1", event_prefix="import-", label="Initiative imported", detail="Imported")
+    args = dict(id_prefix="req-", event_prefix="import-", label="Initiative imported", detail="Imported")
     once = cut_lineage(im.backfill_created(cut_lineage(stored), v.requests, **args))
     twice = im.backfill_created(once, v.requests, **args)
     return twice.select("timeline_id", or_empty("request_id").alias("request_id"), "event_type", "created_at")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gatewright.functions.text import log_text, strip
 from gatewright.operators.merge import union_all
 
-# collection -> (view, id column, name column)
+# fixed values: collection -> (view, id column, name column), and the role of each user collection
 COLLECTIONS = {
     "domains": ("domains", "domain_id", "domain_name"),
     "productTypes": ("product_types", "product_type_id", "product_type_name"),

@@ -11,10 +11,6 @@ from gatewright.session import cut_lineage
 _IN_PARTITION = (1 << 33) - 1
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def number_rows(df: DataFrame, order: list[Column], name: str = "position", partitions: int | None = None) -> DataFrame:
     """Add 1-based positions in the total order `order`; equals row_number() over the whole relation.
 
@@ -22,8 +18,7 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "position", part
     long as the trailing columns tell rows apart. The sorted rows are checkpointed once: partition ids and offsets
     below come from the same materialised rows and survive lost executors. Offsets are one row per partition.
     """
-    n = partitions or _partitions(df)
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).select(
+    ranged = df.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order).select(
         "*", F.monotonically_increasing_id().alias("_slot"))
     ranged = cut_lineage(ranged)
     pid = F.shiftright("_slot", 33)

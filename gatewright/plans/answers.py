@@ -50,52 +50,52 @@ def validate_answers(rows: DataFrame, labels: DataFrame) -> DataFrame:
     Adds clean_value, stored_value (column form, NULL for blank), shown_value (what the form shows afterwards) and
     answer_error.
     """
-    key, kind, raw = F.col("requirement_key"), F.col("input_type"), F.col("answer_value")
-    label = ch.shown_label(key, F.col("label"))
+    key, given = F.col("requirement_key"), F.col("input_type")
     collection = ch.shown_master_type(key, F.col("master_data_type"))
-    is_link = key.isin("jira_link", "alation_link")
-    typed = kind.isin("checkbox", "number", "date") | is_link
-    is_ref = ~typed & collection.isNotNull()
-    # cleaned once, as columns of their own; the rules below refer to them many times
-    rows = rows.withColumns({"_text": strip(raw), "_ref": F.when(is_ref, slug(raw))})
-    text, ref = F.col("_text"), F.col("_ref")
-    written_ref = F.when((key == "lead_domain_id") & (text == ""), F.lit(DEFAULT_DOMAIN)).otherwise(ref)
-
+    # how a value is treated, decided once per row and used by all rules below
+    treated = (
+        F.when(given.isin("checkbox", "number", "date"), given).when(key.isin("jira_link", "alation_link"), "link")
+        .when(collection.isNotNull(), "reference").when(given == "textarea", "textarea").otherwise("text")
+    )
+    added = ["_as", "_text", "_label", "_ref", "_collection", "_known"]
+    df = rows.withColumns({"_as": treated, "_text": strip("answer_value"), "_label": ch.shown_label(key, F.col("label"))})
+    how, text, label = F.col("_as"), F.col("_text"), F.col("_label")
+    df = df.withColumn("_ref", F.when((how == "reference") & (text != ""), slug(text)))
+    default_ref = F.when((how == "reference") & (text == "") & (key == "lead_domain_id"), F.lit(DEFAULT_DOMAIN))
     known = labels.select(F.col("collection").alias("_collection"), F.col("id").alias("_id"), F.lit(True).alias("_known"))
-    df = rows.withColumns({
-        "_collection": F.when(is_ref, collection), "_id": F.when(is_ref & (written_ref != ""), written_ref),
-    }).join(known.distinct(), ["_collection", "_id"], "left")
-    found = F.coalesce("_known", F.lit(False))
+    df = df.withColumns({
+        "_collection": F.when(how == "reference", collection), "_id": F.coalesce(F.nullif("_ref", F.lit("")), default_ref),
+    }).join(known.distinct(), ["_collection", "_id"], "left").drop("_id")
+    ref, unknown = F.col("_ref"), F.col("_known").isNull()
 
+    whole = text.rlike(r"^\d+$")
     clean = (
-        F.when(kind == "checkbox", F.when(F.lower(text) == "true", "true").otherwise("false"))
-        .when(kind == "number", F.coalesce(F.when(text.rlike(r"^\d+$"), text.try_cast("bigint")).cast("string"), F.lit("")))
-        .when(is_ref, F.when(text == "", F.lit("")).otherwise(ref))
+        F.when(how == "checkbox", F.when(F.lower(text) == "true", "true").otherwise("false"))
+        .when(how == "number", F.when(whole, text.try_cast("bigint").cast("string")).otherwise(""))
+        .when(how == "reference", F.coalesce("_ref", F.lit("")))
         .otherwise(text)
     )
-    limit = F.when(kind == "textarea", model.TEXTAREA_LIMIT).otherwise(model.TEXT_LIMIT)
-    plain = ~typed & ~is_ref
-    error = (
-        F.when((kind == "number") & (text != "") & ~text.rlike(r"^\d+$"), F.concat(label, F.lit(" must be a whole number")))
-        .when((kind == "date") & (text != "") & calendar_date(text).isNull(), F.concat(label, F.lit(" must use YYYY-MM-DD format")))
-        .when(~kind.isin("checkbox", "number", "date") & is_link & (F.length(text) > model.URL_LIMIT),
-              F.concat(label, F.lit(f" must be {model.URL_LIMIT} characters or fewer")))
-        .when(~kind.isin("checkbox", "number", "date") & is_link & (text != "") & ~text.rlike(checks.HTTP_URL),
-              F.concat(label, F.lit(" must be a valid http(s) URL")))
-        .when(is_ref & (text != "") & (ref == ""), F.concat(label, F.lit(" is required")))
-        .when(is_ref & (text != "") & ~found, F.concat(label, F.lit(" is not valid")))
-        .when(plain & (F.length(text) > limit), F.concat(label, F.lit(" must be "), limit.cast("string"), F.lit(" characters or fewer")))
+    limit = F.when(how == "textarea", model.TEXTAREA_LIMIT).when(how == "link", model.URL_LIMIT).otherwise(model.TEXT_LIMIT)
+    problem = (
+        F.when(text == "", F.lit(None).cast("string"))
+        .when(how == "number", F.when(~whole, "must be a whole number"))
+        .when(how == "date", F.when(calendar_date(text).isNull(), "must use YYYY-MM-DD format"))
+        .when(how == "reference", F.when(ref == "", "is required").when(unknown, "is not valid"))
+        .when(how.isin("link", "textarea", "text") & (F.length(text) > limit),
+              F.concat(F.lit("must be "), limit.cast("string"), F.lit(" characters or fewer")))
+        .when(how == "link", F.when(~text.rlike(checks.HTTP_URL), "must be a valid http(s) URL"))
     )
-    on_write = F.when(is_ref & (key == "lead_domain_id") & (text == "") & ~found, F.lit("domain is not valid"))
+    df = df.withColumns({"clean_value": clean, "_problem": problem})
+    blank_write = F.when(key == "lead_domain_id", F.when((how == "reference") & unknown, F.lit("domain is not valid")))
     for k, name in REQUIRED_ON_WRITE.items():
-        on_write = on_write.when((key == k) & (clean == ""), F.lit(f"{name} is required"))
-    df = df.withColumns({"clean_value": clean, "answer_error": F.coalesce(error, on_write)})
-    stored = F.when((key == "lead_domain_id") & (F.col("clean_value") == ""), F.lit(DEFAULT_DOMAIN)).otherwise(
-        F.nullif("clean_value", F.lit("")))
+        blank_write = blank_write.when(key == k, F.lit(f"{name} is required"))
+    value = F.col("clean_value")
+    df = df.withColumns({
+        "answer_error": F.when(F.col("_problem").isNotNull(), F.concat_ws(" ", label, "_problem")).when(value == "", blank_write),
+        "stored_value": F.when(value != "", value).when(key == "lead_domain_id", F.lit(DEFAULT_DOMAIN)),
+    })
     shows_column = key.isin(list(_OWN | _PARENT))
-    df = df.withColumn("stored_value", stored)
-    return df.withColumn("shown_value", F.when(shows_column, or_empty("stored_value")).otherwise(F.col("clean_value"))).drop(
-        "_collection", "_id", "_known", "_text", "_ref")
+    return df.withColumn("shown_value", F.when(shows_column, or_empty("stored_value")).otherwise(value)).drop(*added, "_problem")
 
 
 def check_headers(submissions: DataFrame, products: DataFrame, requests: DataFrame, stages, statuses: DataFrame,

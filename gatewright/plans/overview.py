@@ -50,7 +50,7 @@ _PARENT_COLUMNS = [
 ]
 _PARENT_CHANGE_COLUMNS = ["status_change_reason", "last_status_change_date", "last_status_changed_by"]
 
-# The order in which the own fields and labels of a product are listed in its search text.
+# fixed values: the order in which the fields and labels are listed in the search texts
 _SEARCH_FIELDS = [
     "request_number", "request_id", "initiative", "business_decision", "business_value", "expected_date",
     "additional_comments", "requester_name", "requester_email", "data_product_id", "data_product_number", "title",
@@ -159,14 +159,15 @@ def product_overview(v, as_of: str) -> DataFrame:
     return df.select(*[c.alias(n) for n, c in fields.items()])
 
 
-def answer_text(v) -> DataFrame:
+def answer_text(v, answers: DataFrame | None = None) -> DataFrame:
     """(data_product_id, piece, answers_text): label, key and value of every answer."""
     rules = v.requirements.select("requirement_id", "label", "requirement_key")
-    named = v.answers.join(rules, "requirement_id", "left")
+    named = (v.answers if answers is None else answers).join(rules, "requirement_id", "left")
     return text_pieces(named, ["data_product_id"], F.concat_ws(" ", "label", "requirement_key", "answer_value"),
                        ["requirement_id", "answer_id"], out="answers_text")
 
 
+# fixed values: the fields of an event in its search text
 _EVENT_FIELDS = ["event_type", "event_label", "event_detail", "created_by", "stage_id", "from_stage_id", "to_stage_id", "status_id"]
 
 
@@ -186,11 +187,15 @@ def product_search_text(v) -> DataFrame:
                                     own_search_text().alias("text"))
     with_parent = v.products.select("data_product_id", "request_id").join(
         v.requests.select("request_id"), "request_id", "left_semi").select("data_product_id")
-    answers = answer_text(v).select("data_product_id", F.lit(1).alias("part"), "piece", F.col("answers_text").alias("text"))
+    # a product has few answers, so they are filtered before they are joined and the texts are shuffled once;
+    # events are filtered as finished pieces, since a product may have any number of them
+    kept = v.answers.join(with_parent, "data_product_id", "left_semi")
+    answers = answer_text(v, kept).select("data_product_id", F.lit(1).alias("part"), "piece", F.col("answers_text").alias("text"))
     events = event_text(v).select("data_product_id", F.lit(2).alias("part"), "piece", F.col("events_text").alias("text"))
-    return own.unionByName(answers.unionByName(events).join(with_parent, "data_product_id", "left_semi"))
+    return own.unionByName(answers).unionByName(events.join(with_parent, "data_product_id", "left_semi"))
 
 
+# fixed values: the fields of an initiative in its search texts, list view and single view
 _INITIATIVE_SEARCH = [
     "request_id", "request_number", "initiative", "business_decision", "business_value", "requester_name",
     "requester_email", "expected_date", "additional_comments", "note", "business_unit_name", "priority_name",
