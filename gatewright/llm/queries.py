@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatewright.llm.common import table
+from gatewright.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +38,37 @@ def op10_language_id(spark, sf_dir):
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     found = identify(docs, fit(docs.where(~held_out)))
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def tokenizer(name: str) -> str:
+    """A vocabulary file's place; the only place where the box's files are named."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def published_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+@query
+def op4_byte_bpe(spark, sf_dir):
+    from gatewright.llm.bpe import round_trip
+
+    coded = round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), published_pattern())
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op5_pattern_packing(spark, sf_dir):
+    from gatewright.llm.packing import pack, token_pieces
+
+    pieces = token_pieces(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), published_pattern(), 2048)
+    kept = stored(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
+    return pack(kept, 2048, ["doc_id", "piece", "start", "ids_crc32"])
