@@ -72,3 +72,17 @@ def op5_pattern_packing(spark, sf_dir):
     pieces = token_pieces(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), published_pattern(), 2048)
     kept = stored(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
     return pack(kept, 2048, ["doc_id", "piece", "start", "ids_crc32"])
+
+
+@query
+def op6_site_templates(spark, sf_dir):
+    from gatewright.llm.html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op7_license_scan(spark, sf_dir):
+    from gatewright.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
