@@ -86,3 +86,10 @@ def op7_license_scan(spark, sf_dir):
     from gatewright.llm.licenses import scan
 
     return scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_hnsw_search(spark, sf_dir):
+    from gatewright.llm.hnsw import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
