@@ -112,3 +112,11 @@ WITH v AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+
+@query
+def op2_shingle_join(spark, sf_dir):
+    from gatewright.llm.shingles import similar_groups
+
+    found = similar_groups(table(spark, sf_dir, "documents"), 3, 90, 100)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
