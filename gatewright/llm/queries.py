@@ -120,3 +120,13 @@ def op2_shingle_join(spark, sf_dir):
 
     found = similar_groups(table(spark, sf_dir, "documents"), 3, 90, 100)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+@query
+def op8_repeat_removal(spark, sf_dir):
+    from gatewright.llm.repeats import remove_repeats
+
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
