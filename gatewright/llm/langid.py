@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gatewright.llm.common import slices
+from gatewright.llm.common import set_aside, slices
 
 BUCKETS = 1 << 12
 UNKNOWN = "und"
@@ -118,23 +119,26 @@ def fit(docs: DataFrame, per_lang: int = 600, bits: int = 15, id_col: str = "doc
     return train(np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32), [r["lang"] for r in got], bits)
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: str = "text", ambiguous_lead: float = 0.05) -> DataFrame:
-    """Per row: the id, `lang_pred`, `score` (0 to 1) and `ambiguous` (the two nearest codewords are about as near).
+def identify(docs: DataFrame, model: Model | None, text: str = "text", ambiguous_lead: float = 0.05) -> DataFrame:
+    """All rows and columns with `lang_pred`, `score` (0 to 1) and `ambiguous` (the two nearest codewords are about as near).
 
-    `und` with score 0 where the text is null or has no letter, or nothing was learned. Repeated rows give repeated results.
+    `und` with score 0 where the text is null or has no letter, or nothing was learned. Repeated rows give repeated results; clashing
+    input columns get the suffix _input.
     """
+    own = ["lang_pred", "score", "ambiguous"]
+    docs = set_aside(docs, own)
+    names = docs.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
-            texts = b["text"].to_pylist()
+            texts = b[text].to_pylist()
             known = [i for i, t in enumerate(texts) if model and t and _LETTER.search(t)]
             pred, score, unsure = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
             if known:
                 best, share, lead = model.decode(np.stack([features(texts[i]) for i in known]))
                 for i, z, s, d in zip(known, best, share, lead):
                     pred[i], score[i], unsure[i] = model.langs[z], float(s), bool(d < ambiguous_lead)
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(pred), pa.array(score, pa.float64()), pa.array(unsure)], ["id", "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], [*names, *own])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(rows, f"id {kind}, lang_pred string, score double, ambiguous boolean")
-    return found.withColumnRenamed("id", id_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
+    return docs.mapInArrow(rows, schema)

@@ -36,7 +36,7 @@ def op10_language_id(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    found = identify(docs, fit(docs.where(~held_out)))
+    found = identify(docs.select("doc_id", "text"), fit(docs.where(~held_out)))
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 

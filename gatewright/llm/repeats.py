@@ -312,13 +312,18 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     return _spans(whole.union(by_suffix).union(by_count))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows and columns of docs, with `n_bytes`, `spans` (array of start, end; maximal removed runs) and `kept` (remaining bytes).
+SPANS = "array<struct<start:bigint,end:bigint>>"
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text") -> DataFrame:
+    """All rows and columns of docs, with `n_bytes`, `spans` (array of start, end; maximal removed runs), `kept` (remaining bytes) and
+    `kept_text` (the same as text, without characters of which a cut has left only a part).
 
     Bytes are those of the text in UTF-8, none for null. A byte goes if a string of `length` bytes over it starts anywhere else, in
-    whatever text; strings are judged on the input. Texts that occur twice and are long enough go whole. Clashing input columns get the suffix _input.
+    whatever text; strings are judged on the input. Texts that occur twice and are long enough go whole. Clashing input columns get
+    the suffix _input.
     """
-    own = ["n_bytes", "spans", "kept"]
+    own = ["n_bytes", "spans", "kept", "kept_text"]
     docs = set_aside(docs, [*own, "_key", "_size", "_bytes"])
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     texts = docs.select(F.xxhash64(data).alias("key"), F.octet_length(data).cast("long").alias("size"), data.alias("bytes"))
@@ -336,8 +341,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
             for t, spans in zip(b["_bytes"].to_pylist(), b["spans"].to_pylist()):
                 edges = [0, *(x for s in spans for x in (s["start"], s["end"])), len(t)]
                 kept.append(b"".join(t[a:z] for a, z in zip(edges[::2], edges[1::2])))
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), b["_size"], b["spans"], pa.array(kept, pa.binary())], [*names, *own])
+            whole = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), b["_size"], b["spans"], pa.array(kept, pa.binary()), whole], [*names, *own])
 
-    schema = joined.select(*names, F.col("_size").alias("n_bytes"), F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"), data.alias("kept")).schema
-    ready = joined.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))).withColumn("_bytes", data)
-    return ready.mapInArrow(rows, schema)
+    none = F.array().cast(SPANS)
+    schema = joined.select(*names, F.col("_size").alias("n_bytes"), F.coalesce("spans", none).alias("spans"), data.alias("kept"), data.cast("string").alias("kept_text")).schema
+    return joined.withColumn("spans", F.coalesce("spans", none)).withColumn("_bytes", data).mapInArrow(rows, schema)

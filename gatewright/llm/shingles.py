@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewright.llm.common import slices, stored
+from gatewright.llm.common import set_aside, slices, stored
 from gatewright.llm.components import components
 
 #: A token is frequent if more documents have it; at most so many tokens are, the most frequent ones.
@@ -209,3 +209,25 @@ def similar_groups(docs: DataFrame, n: int, num: int, den: int, id_col: str = "d
     return sets.drop("sigs").join(group, "print", "left").select(
         "id", "hash", F.col("n").alias("n_shingles"), F.when(F.col("print").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"),
         "row", F.coalesce("first_row", "row").alias("first_row"))
+
+
+def first_of_groups(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each component of similar_groups() the row of the smallest id; all columns. Rows without any word are all kept.
+
+    The rows that go are looked up by id and text hash: by broadcast while they are few, else by a shuffle.
+    """
+    docs = set_aside(docs, ["_hash"])
+    found = similar_groups(docs, n, num, den, id_col, text)
+    first = F.max(F.col("row") == F.col("first_row"))
+    keys = stored(found.groupBy("id", "hash").agg(first.alias("first"), F.count("*").alias("n"), F.max("n_shingles").alias("words")).where("words > 0 AND (NOT first OR n > 1)"), "removals")
+    marked = docs.withColumn("_hash", F.xxhash64(text))
+
+    def join(left, right, how):
+        right = right.select(F.col("id").alias("_id"), F.col("hash").alias("_h"))
+        return left.join(F.broadcast(right) if keys.count() <= BROADCAST_IDS else right, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), how)
+
+    kept = join(marked, keys, "left_anti")
+    again = keys.where("first AND n > 1")  # equal ids and equal texts: one of the rows stays
+    if not again.isEmpty():
+        kept = kept.union(join(marked, again, "left_semi").dropDuplicates([id_col, "_hash"]))
+    return kept.drop("_hash")
