@@ -44,9 +44,9 @@ def _(t, v):
 
 
 @query("d6_child_count", """
-SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY 1""")
+SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def _(t, v):
-    counts = rollup.child_counts(t.orders.where("o_orderstatus = 'P'").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "orders")
+    counts = rollup.child_counts(t.orders.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "orders")
     return t.customer.select("c_custkey").join(counts, "c_custkey", "left").select("c_custkey", F.coalesce("orders", F.lit(0)).alias("orders"))
 
 
@@ -57,17 +57,17 @@ def _(t, v):
 
 
 @query("d8_answer_text", with_views("answers", """
-SELECT data_product_id, string_agg(concat_ws(' ', label, requirement_key, answer_value), ' ' ORDER BY requirement_id) AS answers_text
+SELECT data_product_id, CAST(0 AS BIGINT) AS piece, string_agg(concat_ws(' ', label, requirement_key, answer_value), ' ' ORDER BY requirement_id) AS answers_text
 FROM a_answers LEFT JOIN a_requirements USING (requirement_id) GROUP BY 1"""))
 def _(t, v):
-    return overview.answer_text(v).select("data_product_id", "answers_text")
+    return overview.answer_text(v)
 
 
 @query("d9_event_text", with_views("timeline", """
 WITH e AS (SELECT *, concat_ws(' ', event_type, event_label, event_detail, created_by, stage_id, from_stage_id, to_stage_id, status_id) AS txt FROM a_timeline)
-SELECT data_product_id, string_agg(txt, ' ' ORDER BY created_at, timeline_id, event_type, txt) AS events_text FROM e GROUP BY 1"""))
+SELECT data_product_id, CAST(0 AS BIGINT) AS piece, string_agg(txt, ' ' ORDER BY created_at, timeline_id, event_type, txt) AS events_text FROM e GROUP BY 1"""))
 def _(t, v):
-    return overview.event_text(v).select("data_product_id", "events_text")
+    return overview.event_text(v)
 
 
 @query("d10_filtered_max", """
@@ -144,14 +144,18 @@ def _(t, v):
     return duplicate_keys(t.lineitem, ["l_orderkey", "l_linenumber"])
 
 
-@query("d19_count_per_collection", with_views("domains subdomains users platforms statuses", """
+@query("d19_count_per_collection", with_views("domains subdomains users platforms product_types expected_outputs priorities scopes source_systems build_statuses", """
 SELECT 'domains' AS collection, count(*) AS n FROM a_domains UNION ALL SELECT 'subdomains', count(*) FROM a_subdomains
-UNION ALL SELECT role_key, count(*) FROM a_users GROUP BY 1"""))
+UNION ALL SELECT 'productTypes', count(*) FROM a_product_types UNION ALL SELECT 'expectedOutputs', count(*) FROM a_expected_outputs
+UNION ALL SELECT 'platforms', count(*) FROM a_platforms UNION ALL SELECT 'priorities', count(*) FROM a_priorities
+UNION ALL SELECT 'scopeOptions', count(*) FROM a_scopes UNION ALL SELECT 'sourceSystems', count(*) FROM a_source_systems
+UNION ALL SELECT 'buildStatuses', count(*) FROM a_build_statuses
+UNION ALL SELECT CASE role_key WHEN 'data_domain_owner' THEN 'dataDomainOwners' WHEN 'domain_delivery_lead' THEN 'domainDeliveryLeads'
+  WHEN 'hub_owner' THEN 'hubOwners' ELSE 'lynxPms' END, count(*) FROM a_users WHERE role_key IN ('data_domain_owner', 'domain_delivery_lead', 'hub_owner', 'lynx_pm') GROUP BY 1"""))
 def _(t, v):
-    parts = v.domains.select(F.lit("domains").alias("collection")).unionByName(
-        v.subdomains.select(F.lit("subdomains").alias("collection"))).unionByName(
-        v.users.select(F.col("role_key").alias("collection")))
-    return rollup.count_by(parts, "collection", out="n")
+    from gatewright.operators.labels import label_table
+
+    return rollup.count_by(label_table(v), "collection", out="n")
 
 
 @query("d20_import_summary", with_views("requests", "SELECT count(*) AS imported FROM a_requests WHERE request_id LIKE 'req-%'"))

@@ -167,22 +167,23 @@ def _(t, v):
         "requirement_id", "stage_id", "label", "sort_order", "is_required", F.coalesce("products", F.lit(0)).alias("products"))
 
 
-_K8_VIEWS = ["stages", "statuses", "domains", "subdomains", "users", "requirements", "requests", "products", "answers", "timeline"]
+# fixed values: the view of every relation that has to be there after an import
+_K8_NAMES = {
+    "business_units": "md_business_units", "product_types": "md_product_types", "expected_outputs": "md_expected_outputs", "platforms": "md_platforms",
+    "priorities": "md_priorities", "stages": "md_stages", "statuses": "md_statuses", "domains": "md_domains", "subdomains": "md_subdomains",
+    "users": "md_users", "source_systems": "md_source_systems", "scopes": "md_scope_options", "build_statuses": "md_build_statuses",
+    "requirements": "md_stage_requirements", "requests": "governance_requests", "products": "data_products",
+    "answers": "product_stage_answers", "timeline": "governance_timeline",
+}
+_K8_VIEWS = list(_K8_NAMES)
 
 
 def _frames(v):
-    names = {"stages": "md_stages", "statuses": "md_statuses", "domains": "md_domains", "subdomains": "md_subdomains", "users": "md_users",
-             "requirements": "md_stage_requirements", "requests": "governance_requests", "products": "data_products",
-             "answers": "product_stage_answers", "timeline": "governance_timeline"}
-    return {names[n]: getattr(v, n) for n in _K8_VIEWS}
-
-
-@query("k8_table_counts", with_views(" ".join(_K8_VIEWS), """
-SELECT 'md_stages' AS table_name, count(*) AS row_count FROM a_stages UNION ALL SELECT 'md_statuses', count(*) FROM a_statuses
-UNION ALL SELECT 'md_domains', count(*) FROM a_domains UNION ALL SELECT 'md_subdomains', count(*) FROM a_subdomains UNION ALL SELECT 'md_users', count(*) FROM a_users
-UNION ALL SELECT 'md_stage_requirements', count(*) FROM a_requirements UNION ALL SELECT 'governance_requests', count(*) FROM a_requests
-UNION ALL SELECT 'data_products', count(*) FROM a_products UNION ALL SELECT 'product_stage_answers', count(*) FROM a_answers
-UNION ALL SELECT 'governance_timeline', count(*) FROM a_timeline"""))
+    return {name: getattr(v, view) for view, name in _K8_NAMES.items()}
+
+
+@query("k8_table_counts", with_views(" ".join(_K8_VIEWS), " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, count(*) AS row_count FROM a_{view}" for view, name in _K8_NAMES.items())))
 def _(t, v):
     return row_counts(_frames(v)).orderBy("table_name")
 
@@ -193,7 +194,8 @@ def _(t, v):
 
 
 @query("k8_acceptance", with_views(" ".join(_K8_VIEWS), """
-SELECT 'all master tables have rows' AS check_name, true AS passed UNION ALL SELECT 'eight stages', (SELECT count(*) FROM a_stages) = 8
+SELECT 'all master tables have rows' AS check_name, """ + " AND ".join(
+    f"(SELECT count(*) FROM a_{view}) > 0" for view, name in _K8_NAMES.items() if name.startswith("md_")) + """ AS passed UNION ALL SELECT 'eight stages', (SELECT count(*) FROM a_stages) = 8
 UNION ALL SELECT 'workflow rules present', (SELECT count(*) FROM a_requirements) >= 38 UNION ALL SELECT 'imported rows present', (SELECT count(*) FROM a_products) > 0
 UNION ALL SELECT 'no quality findings', (SELECT count(*) FROM a_products WHERE data_product_number IS NULL OR title = '') = 0"""))
 def _(t, v):

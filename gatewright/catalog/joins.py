@@ -119,12 +119,14 @@ _LINE_TEXT = ("concat_ws(' ', CAST(l_linenumber AS string), l_returnflag, l_line
 
 
 @query("c10_aggregated_text_subquery", f"""
-SELECT o_orderkey, (SELECT string_agg({_LINE_TEXT}, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey, {_LINE_TEXT})
-  FROM lineitem WHERE l_orderkey = o_orderkey) AS lines FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
-def _(t, v):
-    lines = text_pieces(t.lineitem, ["l_orderkey"], F.expr(_LINE_TEXT), ["l_linenumber", "l_partkey", "l_suppkey"], out="lines")
-    return t.orders.select("o_orderkey").join(lines.withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey").select(
-        "o_orderkey", "lines")
+SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 2) THEN CAST(0 AS BIGINT) END AS piece,
+  (SELECT string_agg({_LINE_TEXT}, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey, {_LINE_TEXT})
+  FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber > 2) AS lines FROM orders""")
+def _(t, v):
+    later = t.lineitem.where("l_linenumber > 2")  # so that some orders have none
+    lines = text_pieces(later, ["l_orderkey"], F.expr(_LINE_TEXT), ["l_linenumber", "l_partkey", "l_suppkey"], out="lines")
+    return t.orders.select("o_orderkey").join(lines.withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "left").select(
+        "o_orderkey", "piece", "lines")
 
 
 @query("c11_filtered_max_with_fallback", """

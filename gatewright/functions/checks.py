@@ -63,7 +63,9 @@ def whole_number(c, label: str, *, required: bool = False) -> Checked:
     s = strip(c)
     errors = _required(s, label, required)
     errors.append(F.when((s != "") & ~s.rlike(r"^\d+$"), F.lit(f"{label} must be a whole number")))
-    return Checked(F.when(s.rlike(r"^\d+$"), s.try_cast("bigint")), _first(errors))
+    value = F.when(s.rlike(r"^\d+$"), s.try_cast("bigint"))
+    errors.append(F.when(s.rlike(r"^\d+$") & value.isNull(), F.lit(f"{label} is too large")))  # never a silent NULL
+    return Checked(value, _first(errors))
 
 
 def http_url(c, label: str, *, required: bool = False) -> Checked:

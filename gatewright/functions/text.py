@@ -57,7 +57,8 @@ def normalize_number(c) -> Column:
 
 def number_sort_value(c) -> Column:
     tail = F.nullif(F.regexp_extract(strip(c), r"(\d+)$", 1), F.lit(""))
-    return F.coalesce(tail.try_cast("bigint"), F.lit(0).cast("bigint"))
+    # digits beyond the type sort last instead of first
+    return F.coalesce(tail.try_cast("bigint"), F.when(tail.isNotNull(), F.lit((1 << 63) - 1)), F.lit(0).cast("bigint"))
 
 
 def last_digits_number(c, width: int = 8) -> Column:

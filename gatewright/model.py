@@ -258,14 +258,9 @@ def requirements(spark):
     return literal_table(spark, rows, ["requirement_id", *REQUIREMENT_COLUMNS])
 
 
-def load_rules(df: DataFrame, max_rules: int = 2000) -> list[Rule]:
-    """Read a rule table into plan-time metadata.
-
-    Rules describe the form, not the data, so their number does not follow the volume; the bound is checked.
-    """
-    rows = df.select(*REQUIREMENT_COLUMNS).limit(max_rules + 1).collect()
-    if len(rows) > max_rules:
-        raise ValueError(f"more than {max_rules} requirement rules")
+def load_rules(df: DataFrame) -> list[Rule]:
+    """Read a rule table into plan-time metadata. Rules describe the form, not the data: their number does not follow the volume."""
+    rows = df.select(*REQUIREMENT_COLUMNS).collect()
     rules = [
         Rule(r.stage_id, r.requirement_key, r.label, r.input_type, r.master_data_type, r.sort_order, bool(r.is_required))
         for r in rows

@@ -5,36 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatewright.session import cut_lineage
-from gatewright.sizing import is_small
+from gatewright.operators.numbering import number_within
 
 PIECE_ROWS = 10_000
-SALTS = 64
 
 
 def text_pieces(
     df: DataFrame, keys: list[str], text: Column, order: list[str], *, sep: str = " ", piece_rows: int = PIECE_ROWS,
     out: str = "text",
 ) -> DataFrame:
-    """(keys, piece, <out>): the texts of each key joined in `order`.
+    """(keys, piece, <out>): the texts of each key joined in `order`, ties by text.
 
-    A key with up to `piece_rows` rows has the single piece 0. A larger key is split by a hash of its order columns
-    into pieces of about that size, so no task ever holds a whole hot key; all pieces together hold every row.
-    Large keys are found by a count that reads the key columns only; where there are none, nothing is joined.
+    Every key is cut by position: piece n holds the rows n * piece_rows + 1 and on. The pieces of a key put together in order
+    are its whole text, whatever its size. Positions come from a range sort, so a hot key spreads over tasks.
     """
     rows = df.select(*keys, *[c for c in order if c not in keys], text.alias("_text"))
-    large = cut_lineage(
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > piece_rows)
-        .withColumn("_pieces", F.ceil(F.col("_rows") / F.lit(piece_rows)).cast("bigint")).drop("_rows"))
-    spread = F.xxhash64(*order, "_text")
-    if large.isEmpty():
-        marked = rows.withColumn("piece", F.lit(0).cast("bigint"))
-    else:
-        if is_small(large):
-            marked = rows.join(F.broadcast(large), keys, "left")
-        else:
-            salted = large.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            marked = rows.withColumn("_salt", F.pmod(spread, F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], "left").drop("_salt")
-        marked = marked.withColumn("piece", F.coalesce(F.pmod(spread, F.col("_pieces")), F.lit(0).cast("bigint"))).drop("_pieces")
-    listed = F.sort_array(F.collect_list(F.struct(*order, "_text")))
-    return marked.groupBy(*keys, "piece").agg(F.concat_ws(sep, F.transform(listed, lambda r: r["_text"])).alias(out))
+    placed = number_within(rows, keys, [*[F.col(c) for c in order], F.col("_text")], "_at")
+    cut = placed.withColumn("piece", F.floor((F.col("_at") - 1) / F.lit(piece_rows)).cast("bigint"))
+    listed = F.sort_array(F.collect_list(F.struct("_at", "_text")))
+    return cut.groupBy(*keys, "piece").agg(F.concat_ws(sep, F.transform(listed, lambda r: r["_text"])).alias(out))

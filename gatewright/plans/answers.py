@@ -78,7 +78,7 @@ def validate_answers(rows: DataFrame, labels: DataFrame) -> DataFrame:
     limit = F.when(how == "textarea", model.TEXTAREA_LIMIT).when(how == "link", model.URL_LIMIT).otherwise(model.TEXT_LIMIT)
     problem = (
         F.when(text == "", F.lit(None).cast("string"))
-        .when(how == "number", F.when(~whole, "must be a whole number"))
+        .when(how == "number", F.when(~whole, "must be a whole number").when(text.try_cast("int").isNull(), "is too large"))
         .when(how == "date", F.when(calendar_date(text).isNull(), "must use YYYY-MM-DD format"))
         .when(how == "reference", F.when(ref == "", "is required").when(unknown, "is not valid"))
         .when(how.isin("link", "textarea", "text") & (F.length(text) > limit),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewright import model
-from gatewright.functions.text import canonical_json, digits_only, ladder, last_digits_number, row_md5
+from gatewright.functions.text import canonical_json, digits_only, ladder, last_digits_number, row_md5, zero_fill
 from gatewright.operators.merge import delete_where, insert_if_absent, merge, update_where
 from gatewright.operators.numbering import number_rows
 from gatewright.plans.changes import timeline_events
@@ -186,7 +186,7 @@ def flat_to_parents(df: DataFrame, as_of: str) -> DataFrame:
     none = F.lit(None).cast("string")
     fields = {
         "request_id": F.concat(F.lit("v2-request-"), key),
-        "request_number": F.lpad(F.col("_number").cast("string"), 8, "0"),
+        "request_number": zero_fill(F.col("_number").cast("string")),
         "initiative": F.coalesce(*trimmed, F.concat(F.lit("Imported initiative "), F.col("_place").cast("string"))),
         "business_decision": blank_to_null(s.first("description", "data_object", default="")),
         "business_value": blank_to_null(s.first("business_value", default="")),

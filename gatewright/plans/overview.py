@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.functions import dates
-from gatewright.functions.text import first_filled, normalize_number, or_empty, strip
+from gatewright.functions.text import first_filled, normalize_number, or_empty, search_tokens, strip
+from gatewright.operators.search import token_hits
 from gatewright.operators.textroll import text_pieces
 
 
@@ -207,6 +208,39 @@ _SINGLE_SEARCH = [
 ]
 
 
+def _product_hits(v, tokens: list[str]) -> DataFrame:
+    """(data_product_id, request_id, _hit0, ...): which words the product's fields, labels, answers and events have, all together."""
+    own = joined_products(v).select("data_product_id", F.lower(own_search_text()).alias("_text"))
+    rules = v.requirements.select("requirement_id", "label", "requirement_key")
+    answers = v.answers.join(rules, "requirement_id", "left").select("data_product_id", F.lower(F.concat_ws(" ", "label", "requirement_key", "answer_value")).alias("_text"))
+    events = v.timeline.where("data_product_id IS NOT NULL").select("data_product_id", F.lower(F.concat_ws(" ", *_EVENT_FIELDS)).alias("_text"))
+    hits = token_hits(own.unionByName(answers).unionByName(events), ["data_product_id"], F.col("_text"), tokens)
+    products = v.products.select("data_product_id", "request_id").join(v.requests.select("request_id"), "request_id", "left_semi")
+    return products.join(hits, "data_product_id")
+
+
+def search_products(v, query: str) -> DataFrame:
+    """(data_product_id) of the products whose whole text, answers and events included, has every word of the query, ignoring case."""
+    tokens = search_tokens(query)
+    found = _product_hits(v, tokens)
+    for i in range(len(tokens)):
+        found = found.where(f"_hit{i}")
+    return found.select("data_product_id")
+
+
+def search_initiatives(v, query: str) -> DataFrame:
+    """(request_id) of the initiatives whose own text and all their products' whole texts together have every word, ignoring case."""
+    tokens = search_tokens(query)
+    flags = [f"_hit{i}" for i in range(len(tokens))]
+    own = initiative_overview(v).select(F.col("requestId").alias("request_id"), F.lower("searchText").alias("_text"))
+    own = own.select("request_id", *[F.col("_text").contains(w).alias(f) for f, w in zip(flags, tokens)])
+    both = own.unionByName(_product_hits(v, tokens).select("request_id", *flags))
+    found = both.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"), *[F.max(f).alias(f) for f in flags])
+    for f in flags:
+        found = found.where(f)
+    return found.select("request_id")
+
+
 def child_titles(products: DataFrame) -> DataFrame:
     """(request_id, piece, titles): child titles in id order, NULL titles as ''."""
     return text_pieces(products, ["request_id"], F.coalesce("title", F.lit("")), ["data_product_id"], out="titles")
@@ -215,20 +249,15 @@ def child_titles(products: DataFrame) -> DataFrame:
 def initiative_overview(v, single_view: bool = False) -> DataFrame:
     """One row per request with labels, child count and search text.
 
-    The list view's search text also takes the children's titles. Up to one piece they are appended here; a parent
-    with more children has its remaining titles in `child_titles` (pieces 1, 2, ...), so nothing is cut.
+    The search text holds the initiative's own fields and labels. Titles, answers and events of its products, of which there may be
+    any number, are no part of a row: `child_titles` and `product_search_text` list them, `search_initiatives` searches them.
     """
     counts = v.products.groupBy("request_id").agg(F.count(F.lit(1)).alias("product_count"))
     df = v.requests.join(counts, "request_id", "left").join(v.business_units, "business_unit_id", "left")
     df = df.join(v.priorities, "priority_id", "left").join(v.scopes.select("scope_id", "scope_name"), "scope_id", "left")
     df = df.join(v.statuses, "status_id", "left").join(v.expected_outputs, "expected_output_id", "left")
     df = df.join(v.platforms.withColumnRenamed("platform_id", "target_platform_id"), "target_platform_id", "left")
-    if single_view:
-        search_text = F.concat_ws(" ", *_SINGLE_SEARCH)
-    else:
-        first = child_titles(v.products).where("piece = 0").select("request_id", "titles")
-        df = df.join(first, "request_id", "left")
-        search_text = F.concat_ws(" ", *_INITIATIVE_SEARCH, F.coalesce("titles", F.lit("")))
+    search_text = F.concat_ws(" ", *(_SINGLE_SEARCH if single_view else _INITIATIVE_SEARCH))
     number = normalize_number("request_number")
     fields = {
         "id": number,

@@ -49,7 +49,9 @@ def read_deltas(spark, root: str, before: int | None = None) -> DataFrame | None
         return None
     try:
         df = spark.read.parquet(root).withColumn("batch", F.col("batch").cast("bigint"))
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # a damaged or closed folder is not an empty one
+            raise
         return None
     return df if before is None else df.where(F.col("batch") < before)
 

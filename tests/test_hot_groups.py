@@ -37,10 +37,13 @@ def test_a_hot_key_does_not_stay_in_one_partition(hot):
 def test_text_pieces_hold_every_row(hot):
     df = hot.where("k IS NOT NULL")
     out = text_pieces(df, ["k"], F.col("id").cast("string"), ["v", "id"], piece_rows=100).collect()
-    assert max(len(r.text.split()) for r in out) < 200
+    assert max(len(r.text.split()) for r in out) == 100
     assert len({r.piece for r in out if r.k == 0}) == -(-df.where("k = 0").count() // 100)
     got = sorted(int(x) for r in out for x in r.text.split())
     assert got == sorted(r.id for r in df.collect())
+    pieces = sorted((r.piece, r.text) for r in text_pieces(df, ["k"], F.col("id").cast("string"), ["v", "id"], piece_rows=7).where("k = 0").collect())
+    assert all(len(text.split()) == 7 for _, text in pieces[:-1])
+    assert " ".join(text for _, text in pieces).split() == [str(r.id) for r in df.where("k = 0").orderBy("v", "id").collect()]
     whole = text_pieces(df, ["k"], F.col("id").cast("string"), ["v", "id"]).where("k = 0").first()
     assert whole.piece == 0 and whole.text.split() == [str(r.id) for r in df.where("k = 0").orderBy("v", "id").collect()]
 

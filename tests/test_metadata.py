@@ -6,12 +6,10 @@ from gatewright import model
 from gatewright.sizing import is_small
 
 
-def test_rules_are_read_with_a_bound(views):
+def test_rules_are_read(views):
     rules = model.load_rules(views.requirements)
     assert {r.rule_id for r in rules} == {r.rule_id for r in model.RULES}
     assert [r.required for r in rules if r.key == "lynx_pm_user_id"] == [False]
-    with pytest.raises(ValueError):
-        model.load_rules(views.requirements, max_rules=37)
 
 
 def test_small_means_rows_and_bytes(spark):
