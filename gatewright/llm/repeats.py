@@ -1,13 +1,15 @@
-"""Removal of long repeated byte strings with suffix arrays built by induced sorting.
+"""Removal of long repeated byte strings with suffix orders built by induced sorting.
 
 A string of `length` bytes occurs twice only if both places show the same anchors: positions whose 8-byte gram is the smallest of some
 run of grams. Every string has an anchor near its start, and the bytes after it (its core) are in all occurrences. So places are dealt
-by the hash of their core, and each shard holds the windows (all strings around an anchor) of its cores:
+by the hash of their core, and each shard holds the windows (what lies left and right of the core) of its cores:
 
 * anchors whose core is unique in the corpus are dropped;
 * windows that are equal as a whole prove each other and are kept once, with the mark that they repeat;
-* the different windows of a shard are one text, whose suffix array is induced from its sorted leftmost-smaller suffixes; permuted
-  common prefixes then give the runs of suffixes that share `length` bytes.
+* of the different windows of a shard, the suffixes at the anchors are sorted by a suffix array: suffixes are classified, the
+  leftmost-smaller substrings are sorted, recursively, and the rest is induced, with permuted common prefixes. Its symbols are blocks
+  of bytes. The order of the suffixes one byte further left is induced from that of the suffixes before them, for all windows at
+  once, up to the leftmost start that a string around the anchor can have; neighbours in an order show what repeats.
 
 Cores with very many different windows, as at the edge of a passage that a large part of the corpus quotes, are not put in one shard:
 their strings are counted one by one in Spark.
@@ -27,8 +29,10 @@ from pyspark.sql import functions as F
 from gatewright.llm.common import set_aside, slices, stored
 
 GRAM = 8
-#: Bytes of windows that one shard's suffix array takes; different windows of one core beyond which they are counted in Spark instead.
-SHARD_BYTES, HOT_WINDOWS = 1 << 20, 1000
+#: Windows that one shard takes; different windows of one core beyond which they are counted in Spark instead.
+SHARD_WINDOWS, HOT_WINDOWS = 8192, 50_000
+#: Bytes of a symbol of the shards' suffix arrays.
+BLOCK = 24
 #: Rows up to which ids or spans are broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 1_000_000
 _rng = np.random.default_rng(2024)
@@ -106,8 +110,8 @@ def _sort(s: np.ndarray, size: int) -> np.ndarray:
     return np.array(induce(sorted_lms.tolist()))
 
 
-def common_prefixes(text: bytes, sa: np.ndarray, cap: int) -> np.ndarray:
-    """Per position (not rank) the length of the prefix shared with the suffix sorted just before it, up to cap."""
+def common_prefixes(text: list[int], sa: np.ndarray) -> np.ndarray:
+    """Per position (not rank) the length of the prefix shared with the suffix sorted just before it."""
     n = len(sa)
     phi = np.full(n, -1)
     phi[sa[1:]] = sa[:-1]
@@ -116,45 +120,81 @@ def common_prefixes(text: bytes, sa: np.ndarray, cap: int) -> np.ndarray:
         if j < 0:
             k = 0
             continue
-        if text[i + k : i + cap] == text[j + k : j + cap] and max(i, j) + cap <= n:
-            k = cap
-        else:
-            end = min(cap, n - max(i, j))
-            while k < end and text[i + k] == text[j + k]:
-                k += 1
+        end = n - max(i, j)
+        while k < end and text[i + k] == text[j + k]:
+            k += 1
         out[i] = k
         if k:
             k -= 1
     return np.array(out)
 
 
-def repeated_starts(windows: list[bytes], place: np.ndarray, repeats: np.ndarray, length: int) -> np.ndarray:
-    """(window, offset) of the strings of `length` bytes that the windows hold at two places at least.
-
-    `place` is a number for each window's first byte: strings at equal place + offset are one place. Windows marked in `repeats` occur
-    elsewhere as a whole.
-    """
-    sizes = np.array([len(w) for w in windows])
-    starts = np.append(0, np.cumsum(sizes + 1))
-    text = b"\0".join(windows) + b"\0"  # what follows is compared only within windows
-    symbols = np.frombuffer(text, np.uint8).astype(np.int32) + 2
-    symbols[starts[1:] - 1] = 1
-    owner = np.repeat(np.arange(len(windows)), sizes + 1)
-    sa = suffix_array(symbols)
-    lcp = common_prefixes(text, sa, length)[sa]
-    offset = sa - starts[owner[sa]]
-    valid = offset + length <= sizes[owner[sa]]
-    run = np.cumsum(~((lcp >= length) & valid & np.append(False, valid[:-1])))
-    w, o, run = owner[sa][valid], offset[valid], run[valid]
-    # of each run: are there two places, or a window that repeats as a whole
-    at = place[w] + o
-    low, high = np.full(run.max(initial=0) + 1, np.iinfo(np.int64).max), np.full(run.max(initial=0) + 1, -1)
-    np.minimum.at(low, run, at)
-    np.maximum.at(high, run, at)
-    sure = np.zeros(len(low), bool)
-    np.logical_or.at(sure, run, repeats[w])
-    keep = (low[run] < high[run]) | sure[run]
-    return np.stack([w[keep], o[keep]], 1)
+def _padded(parts: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in parts), np.uint8).reshape(-1, width)
+
+
+def sort_anchors(core: np.ndarray, right: list[bytes], reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows in the order of (core, bytes after it), and how many of these bytes each shares with the one before; -1 across cores."""
+    n, blocks = len(core), -(-reach // BLOCK)
+    data, sizes = _padded(right, blocks * BLOCK), np.array([len(x) for x in right])
+    _, rank = np.unique(data.reshape(-1, BLOCK).copy().view(f"V{BLOCK}").ravel(), return_inverse=True)
+    _, group = np.unique(core, return_inverse=True)
+    rows = np.ones((n, blocks + 2), np.int64)  # the last symbol, 1, ends a window
+    rows[:, 1:-1] = rank.reshape(n, blocks) + 2
+    rows[:, 0] = group + rows.max() + 1  # larger than all others: windows sort last, next to each other
+    flat = rows.ravel()
+    sa = suffix_array(flat)
+    order = sa[-n:] // (blocks + 2)
+    same = common_prefixes(flat.tolist(), sa)[sa[-n:]] - 1
+    same[0] = -1
+    shared = np.minimum(same, blocks) * BLOCK
+    part = np.flatnonzero((same >= 0) & (same < blocks))
+    column = same[part, None] * BLOCK + np.arange(BLOCK)
+    equal = data[order[part, None], column] == data[order[part - 1, None], column]
+    shared[part] += np.logical_and.accumulate(equal, 1).sum(1)
+    shared[1:] = np.minimum(shared[1:], np.minimum(sizes[order[1:]], sizes[order[:-1]]))
+    shared[same < 0] = -1
+    return order, shared
+
+
+def repeated_starts(core: np.ndarray, left: list[bytes], right: list[bytes], reach: int) -> np.ndarray:
+    """(window, l): the string that starts l bytes before the window's anchor and has reach - l bytes after its core is in another
+    window of the core, too. `left` and `right`: up to `reach` bytes before and after the core."""
+    order, shared = sort_anchors(core, right, reach)
+    n = len(order)
+    before = _padded([x[::-1] for x in left], reach) if reach else np.zeros((n, 0), np.uint8)
+    sizes = np.array([len(x) for x in left])
+    lowest = [shared]  # of runs of 1, 2, 4, ... neighbours
+    while 2 << (len(lowest) - 1) <= n:
+        step = 1 << (len(lowest) - 1)
+        lowest.append(np.minimum(lowest[-1][:-step], lowest[-1][step:]))
+    tall = np.zeros((len(lowest), n), np.int64)
+    for k, x in enumerate(lowest):
+        tall[k, : len(x)] = x
+    log = np.zeros(n + 1, np.int64)
+    log[1:] = np.log2(np.arange(1, n + 1)).astype(np.int64)
+    at, group = np.arange(n), np.cumsum(shared < 0)  # places in the order; equal bytes from the string's start to the core
+    found = []
+    for l in range(reach + 1):
+        if l:
+            keep = sizes[order[at]] >= l
+            at, group = at[keep], group[keep]
+            key = (group << 8) | before[order[at], l - 1]
+            induced = np.argsort(key, kind="stable")
+            at, key = at[induced], key[induced]
+            group = np.cumsum(np.append(True, key[1:] != key[:-1])) if len(key) else key
+        pair = np.flatnonzero(group[1:] == group[:-1])
+        if not len(pair):
+            break
+        a, z = at[pair] + 1, at[pair + 1]
+        k = log[z - a + 1]
+        common = np.minimum(tall[k, a], tall[k, z + 1 - (1 << k)])
+        hit = pair[common >= reach - l]
+        both = np.unique(np.concatenate([hit, hit + 1]))
+        found.append(np.stack([order[at[both]], np.full(len(both), l)], 1))
+        company = np.unique(np.concatenate([pair, pair + 1]))
+        at, group = at[company], group[company]
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
 # --- anchors ---------------------------------------------------------------------------------------------------------------------
@@ -177,10 +217,13 @@ def _sliding(fn, x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Anchors:
-    """Anchors of texts put one after another; those near a text's end that no full string can have are left out."""
+    """Anchors of texts put one after another; those near a text's end that no full string can have are left out.
+
+    A string has an anchor at most `reach` bytes from its start, and at least `core` bytes from there on.
+    """
 
     def __init__(self, length: int):
-        self.length, self.reach = length, length // 2 - GRAM  # bytes from a string's start to its anchor, at most
+        self.length, self.reach = length, length // 2 - GRAM
         self.core = length - self.reach
 
     def find(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -271,45 +314,57 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
 
     # windows that have company in their core, if one of them is alone of its kind
     mixed = windows.groupBy("core").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("core", "kinds")
-    open_ = windows.join(mixed, "core").select("key", "size", "at", "core", "kinds", (F.col("n") > 1).alias("repeats"))
-    asked = stored(open_.groupBy("key", "size").agg(F.collect_list(F.struct("at", "core", "kinds", "repeats")).alias("asked")), "asked")
+    open_ = stored(windows.join(mixed, "core").select("key", "size", "at", "core", "kinds"), "open-windows")
+    asked = stored(open_.groupBy("key", "size").agg(F.collect_list(F.struct("at", "core", "kinds")).alias("asked")), "asked")
+    n_open, n_hot = open_.agg(F.count("*"), F.count_if(F.col("kinds") > HOT_WINDOWS)).first()
     small = asked.count() <= BROADCAST_ROWS
+    reach, core_size = finder.reach, finder.core
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()  # copies of a text give the same windows; one of each task is enough
         for b, data in _groups(batches):
             out = []
             for key, size, asked, t in zip(b["key"].to_pylist(), b["size"].to_pylist(), b["asked"].to_pylist(), data):
+                if (key, size) in done:
+                    continue
+                done.add((key, size))
                 for a in asked:
-                    start = max(0, a["at"] - finder.reach)
-                    out.append((key, size, start, a["core"], a["kinds"], a["repeats"], t[start : a["at"] + length]))
-            columns = list(zip(*out)) or [[]] * 7
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "size", "start", "core", "kinds", "repeats", "bytes"])
-
-    pieces = texts.join(F.broadcast(asked) if small else asked, ["key", "size"]).mapInArrow(cut, "key long, size long, start long, core long, kinds long, repeats boolean, bytes binary")
-    pieces = stored(pieces.dropDuplicates(["key", "size", "start", "core"]), "pieces")  # copies of a text give the same pieces
+                    at = a["at"]
+                    end = at + core_size
+                    out.append((key, size, at, a["core"], a["kinds"], t[max(0, at - reach) : at], t[at:end] if a["kinds"] > HOT_WINDOWS else None, t[end : at + length]))
+            columns = list(zip(*out)) or [[]] * 8
+            kinds = [pa.int64()] * 5 + [pa.binary()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "size", "at", "core", "kinds", "left", "middle", "right"])
 
-    cold = pieces.where(F.col("kinds") <= HOT_WINDOWS)
-    total = cold.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
-    shards = max(1, math.ceil(total / SHARD_BYTES))
+    asking = texts.join(F.broadcast(asked) if small else asked, ["key", "size"])
+    pieces = asking.mapInArrow(cut, "key long, size long, at long, core long, kinds long, left binary, middle binary, right binary")
+    shards = max(1, math.ceil((n_open - n_hot) / SHARD_WINDOWS))
 
     def search(key, rows):
-        rows = rows.sort_by([("key", "ascending"), ("size", "ascending"), ("start", "ascending"), ("core", "ascending")])
-        keys, sizes, starts = (rows[c].to_numpy() for c in ("key", "size", "start"))
-        text = np.cumsum(np.append(True, (keys[1:] != keys[:-1]) | (sizes[1:] != sizes[:-1])))
-        found = repeated_starts(rows["bytes"].to_pylist(), (text << 40) + starts, rows["repeats"].to_numpy(zero_copy_only=False).astype(bool), length)
-        w, start = found[:, 0], starts[found[:, 0]] + found[:, 1]
-        return pa.table([pa.array(keys[w]), pa.array(sizes[w]), pa.array(start), pa.array(start + length)], ["key", "size", "start", "end"])
-
-    by_suffix = cold.groupBy(F.pmod(F.xxhash64("core"), F.lit(shards))).applyInArrow(search, "key long, size long, start long, end long")
-    # the strings of hot cores, one by one
-    at = F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length)).alias("o")
-    each = pieces.where((F.col("kinds") > HOT_WINDOWS) & (F.octet_length("bytes") >= length)).select("*", at)
-    each = each.select("key", "size", (F.col("start") + F.col("o")).alias("start"), "repeats", F.md5(F.substring("bytes", F.col("o") + 1, F.lit(length))).alias("string"))
-    place = F.struct("key", "size", "start")
-    again = each.groupBy("string").agg(F.min(place).alias("a"), F.max(place).alias("z"), F.max("repeats").alias("r")).where("r OR a <> z").select("string")
-    by_count = each.join(again, "string").select("key", "size", "start", (F.col("start") + length).alias("end"))
-    return _spans(whole.union(by_suffix).union(by_count))
+        rows = rows.sort_by([("core", "ascending"), ("key", "ascending"), ("size", "ascending"), ("at", "ascending")])
+        keys, sizes, at, core = (rows[c].to_numpy() for c in ("key", "size", "at", "core"))
+        new = np.append(True, (keys[1:] != keys[:-1]) | (sizes[1:] != sizes[:-1]) | (at[1:] != at[:-1]))
+        keys, sizes, at, core, rows = keys[new], sizes[new], at[new], core[new], rows.filter(pa.array(new))
+        found = repeated_starts(core, rows["left"].to_pylist(), rows["right"].to_pylist(), reach)
+        w, l = found[np.lexsort((found[:, 1], found[:, 0]))].T
+        first = np.append(True, (w[1:] != w[:-1]) | (l[1:] != l[:-1] + 1)) if len(w) else np.zeros(0, bool)
+        last = np.append(first[1:], True) if len(w) else first
+        a, z = w[first], w[last]
+        return pa.table([pa.array(keys[a]), pa.array(sizes[a]), pa.array(at[z] - l[last]), pa.array(at[a] - l[first] + length)], ["key", "size", "start", "end"])
+
+    cold = pieces.where(F.col("kinds") <= HOT_WINDOWS).drop("middle", "kinds")
+    by_order = cold.groupBy(F.pmod(F.xxhash64("core"), F.lit(shards))).applyInArrow(search, "key long, size long, start long, end long")
+    found = whole.union(by_order)
+    if n_hot:  # the strings of hot cores, one by one
+        every = pieces.where(F.col("kinds") > HOT_WINDOWS).dropDuplicates(["key", "size", "at"])
+        joined, first = F.concat("left", "middle", "right"), F.col("at") - F.octet_length("left")
+        every = every.select("key", "size", first.alias("first"), joined.alias("bytes")).where(F.octet_length("bytes") >= length)
+        each = every.select("key", "size", "first", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length)).alias("o"))
+        each = each.select("key", "size", (F.col("first") + F.col("o")).alias("start"), F.md5(F.substring("bytes", F.col("o") + 1, F.lit(length))).alias("string"))
+        place = F.struct("key", "size", "start")
+        again = each.groupBy("string").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("string")
+        found = found.union(each.join(again, "string").select("key", "size", "start", (F.col("start") + length).alias("end")))
+    return _spans(found)
 
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
