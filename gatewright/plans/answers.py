@@ -22,7 +22,7 @@ from gatewright import model
 from gatewright.functions import checks
 from gatewright.functions.dates import calendar_date
 from gatewright.functions.text import log_text, or_empty, slug, strip
-from gatewright.operators.labels import display_label_table, label_table
+from gatewright.operators.labels import display_label_table, label_table, spread
 from gatewright.operators.merge import latest_per_key, merge, union_all
 from gatewright.operators.running import BLOCK_ROWS, in_blocks, running_values
 from gatewright.plans import changes as ch
@@ -64,7 +64,8 @@ def validate_answers(rows: DataFrame, labels: DataFrame) -> DataFrame:
     default_ref = F.when((how == "reference") & (text == "") & (key == "lead_domain_id"), F.lit(DEFAULT_DOMAIN))
     known = labels.select(F.col("collection").alias("_collection"), F.col("id").alias("_id"), F.lit(True).alias("_known"))
     df = df.withColumns({
-        "_collection": F.when(how == "reference", collection), "_id": F.coalesce(F.nullif("_ref", F.lit("")), default_ref),
+        "_collection": F.when(how == "reference", collection).otherwise(""),
+        "_id": spread(F.coalesce(F.nullif("_ref", F.lit("")), default_ref), how == "reference", df),
     }).join(known.distinct(), ["_collection", "_id"], "left").drop("_id")
     ref, unknown = F.col("_ref"), F.col("_known").isNull()
 
