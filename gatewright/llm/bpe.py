@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewright.llm.common import slices
+from gatewright.llm.common import bounded_batches, slices
 
 #: Pre-tokens whose ids a task remembers at most; beyond that it starts anew.
 REMEMBERED = 500_000
@@ -188,6 +188,7 @@ def round_trip(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "do
     Null and empty texts have no ids and decode to no bytes. Repeated rows repeat. Special tokens are ordinary text. The rank file
     is read on the driver and broadcast (its size is the vocabulary's, under a few MB).
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_file))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,6 +37,13 @@ def set_aside(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.toDF(*out)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Spark hand at most so many rows at a time to Python: texts may be long, and a worker holds a batch several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Record batches cut to a few rows each, so that a task holds few texts as Python objects at a time."""
     for batch in batches:

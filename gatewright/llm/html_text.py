@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewright.llm.common import slices, stored
+from gatewright.llm.common import bounded_batches, slices, stored
 
 #: Hosts' templates are broadcast up to this number of subtrees, beyond it joined by a shuffle.
 BROADCAST_SUBTREES = 500_000
@@ -224,6 +224,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html:
 
     Repeated rows repeat. Pages without a readable host form one host of their own.
     """
+    bounded_batches(pages.sparkSession)
     templates = stored(template_subtrees(pages, url, html, min_pages, min_share), "templates")
     total = templates.agg(F.coalesce(F.sum(F.size("_templates")), F.lit(0))).first()[0]
     own = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gatewright.llm.common import set_aside, slices
+from gatewright.llm.common import bounded_batches, set_aside, slices
 
 BUCKETS = 1 << 12
 UNKNOWN = "und"
@@ -100,6 +100,7 @@ def fit(docs: DataFrame, per_lang: int = 600, bits: int = 15, id_col: str = "doc
     `per_lang` bounds the sample: of each language about so many documents take part, those of the smallest seeded hashes of the id.
     Every labelled document is counted for the rates; only features of the sample reach the driver.
     """
+    bounded_batches(docs.sparkSession)
     named = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rates = [(r[0], min(1.0, per_lang / r[1])) for r in named.groupBy(lang).count().collect()]  # one row per language
     if not rates:
@@ -126,6 +127,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", ambiguous
     input columns get the suffix _input.
     """
     own = ["lang_pred", "score", "ambiguous"]
+    bounded_batches(docs.sparkSession)
     docs = set_aside(docs, own)
     names = docs.columns
 

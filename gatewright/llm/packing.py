@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatewright.llm.bpe import REMEMBERED, split
-from gatewright.llm.common import set_aside, slices
+from gatewright.llm.common import bounded_batches, set_aside, slices
 
 #: Ranks are joined to the starts of their blocks by broadcast up to this number of small rows, beyond it by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -63,6 +63,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, pattern: str, capacity: i
     A document is its ids and `end_id`; null and empty texts are that one id. Longer documents are cut so that the first piece
     takes the remainder. Repeated rows give repeated pieces.
     """
+    bounded_batches(docs.sparkSession)
     with open(tokenizer_file, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     end = np.array([end_id], "<u4").tobytes()
