@@ -3,7 +3,8 @@
 A document is the set of its word n-grams. Each set shows a prefix: the first of its tokens in one global order, as many as are needed
 so that two sets of the wanted similarity must have signatures in common. Rare tokens come first and are signatures by
 themselves; frequent tokens fall into classes, and only combinations of two of a class are signatures, for which the prefix is extended
-by one token per class. Documents with a common signature are candidates and are verified on their texts.
+by one token per class. Documents with a common signature are candidates; those whose parity sketches differ in more bits than
+similar sets can differ in tokens are out, the others are verified on their texts.
 
 Groups of similar documents are linked without making all pairs: every bucket of a signature is first linked to its smallest member;
 only members of buckets that then still span several components are compared further, and only across components.
@@ -20,14 +21,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewright.llm.common import set_aside, slices, stored
+from gatewright.llm.common import bounded_batches, set_aside, slices, stored
 from gatewright.llm.components import components
 
 #: A token is frequent if more documents have it; at most so many tokens are, the most frequent ones.
 FREQUENT, FREQUENT_TOKENS = 64, 1 << 19
 CLASSES = 8
-#: Rows of ids that may be broadcast; beyond, joins shuffle.
-BROADCAST_IDS = 1_000_000
+#: Rows of ids, and of sketches, that may be broadcast; beyond, joins shuffle.
+BROADCAST_IDS, BROADCAST_SKETCHES = 1_000_000, 400_000
+#: Bits of a set's sketch: the parities of its tokens by residue. Sets differ in at least as many tokens as their sketches in bits.
+SKETCH_BITS = 512
+#: Members of a bucket that one task compares with each other.
+BLOCK = 4096
 _WORDS_KNOWN = 400_000
 
 
@@ -117,25 +122,64 @@ def _frequent_tokens(docs: DataFrame, n: int, head: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Of every row: id, text hash, row number, number of shingles, fingerprint of the set, signatures. A stored table."""
+    """Of every row: id, text hash, row number, number of shingles, fingerprint and sketch of the set, signatures. A stored table."""
     head = int(min(1.0, 1.6 * (den - num) / den) * (1 << 64)) - 1
     shared = docs.sparkSession.sparkContext.broadcast(_frequent_tokens(docs, n, head))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
         for b in slices(batches):
-            count, print_, sigs = [], [], []
+            count, print_, sketch, sigs = [], [], [], []
             for t in b["text"].to_pylist():
                 x = shingler.tokens(t)
                 count.append(len(x))
                 print_.append(blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
+                odd = np.bincount((x % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+                sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
                 sigs.append(signatures(x, head, shared.value, num, den).view(np.int64))
             flat = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sigs)]).astype(np.int32), pa.array(np.concatenate(sigs), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b["id"], b["hash"], b["row"], pa.array(count, pa.int64()), pa.array(print_, pa.binary()), flat], ["id", "hash", "row", "n", "print", "sigs"])
+            yield pa.RecordBatch.from_arrays([b["id"], b["hash"], b["row"], pa.array(count, pa.int64()), pa.array(print_, pa.binary()), pa.array(sketch, pa.list_(pa.int64())), flat], ["id", "hash", "row", "n", "print", "sketch", "sigs"])
 
     kind = docs.schema["id"].dataType.simpleString()
     own = docs.select("id", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"), "text")
-    return stored(own.mapInArrow(rows, f"id {kind}, hash long, row long, n long, print binary, sigs array<long>"), "shingle-sets")
+    return stored(own.mapInArrow(rows, f"id {kind}, hash long, row long, n long, print binary, sketch array<long>, sigs array<long>"), "shingle-sets")
+
+
+def _across(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a < b) of one bucket (`sig`) and different components whose sizes and sketches let them be similar.
+
+    members: sig, row, component, n, sketch, blocks. Buckets are compared within tasks; those of more than BLOCK members are dealt into
+    blocks, and every two blocks meet in a task.
+    """
+    own = F.pmod(F.xxhash64("row"), "blocks")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = members.withColumns({"own": own, "other": other}).withColumns({"own": F.least("own", "other"), "other": F.greatest("own", "other")})
+    shards = max(1, members.count() // 20_000)
+
+    def compare(key, rows):
+        rows = rows.sort_by([("sig", "ascending"), ("own", "ascending"), ("other", "ascending"), ("row", "ascending")])
+        sig, own, other, row, component, n = (rows[c].to_numpy() for c in ("sig", "own", "other", "row", "component", "n"))
+        sketch = rows["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(row), -1)
+        allowed = (den - num) * n
+        sketch = np.asfortranarray(sketch)
+        first = np.flatnonzero(np.append(True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1]) | (other[1:] != other[:-1])))
+        found = []
+        for start, end in zip(first, np.append(first[1:], len(row))):
+            for at in range(start, end, 64):
+                x, y = slice(at, min(at + 64, end)), slice(at, end)
+                apart = np.zeros((len(n[x]), len(n[y])), np.uint16)
+                for word in sketch.T:
+                    apart += np.bitwise_count(word[x, None] ^ word[None, y])
+                i, j = np.nonzero((den + num) * apart.astype(np.int64) <= allowed[x, None] + allowed[None, y])
+                i, j = i + at, j + at
+                sizes = den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])
+                good = sizes & (component[i] != component[j]) & (row[i] < row[j])
+                found.append(np.stack([row[i[good]], row[j[good]]], 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    shard = F.pmod(F.xxhash64("sig", "own", "other"), F.lit(shards))
+    return dealt.select("sig", "own", "other", "row", "component", "n", "sketch").groupBy(shard).applyInArrow(compare, "a long, b long").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -150,14 +194,20 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, num:
     both = side_b.join(texts.toDF("a", "text_a"), "a")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(n)
-        last, x = None, None
+        shingler, recent = Shingler(n), {}
+
+        def tokens(node, text):
+            x = recent.get(node)
+            if x is None:
+                if len(recent) > 3000:  # pairs come sorted by a, and groups of similar documents name each other often
+                    recent.clear()
+                x = recent[node] = shingler.tokens(text)
+            return x
+
         for batch in slices(batches):
             keep = []
-            for a, s, t in zip(batch["a"].to_pylist(), batch["text_a"].to_pylist(), batch["text_b"].to_pylist()):
-                if a != last:  # pairs come sorted by a
-                    last, x = a, shingler.tokens(s)
-                y = shingler.tokens(t)
+            for a, b, s, t in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["text_a"].to_pylist(), batch["text_b"].to_pylist()):
+                x, y = tokens(a, s), tokens(b, t)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(den * common >= num * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -173,30 +223,43 @@ def similar_groups(docs: DataFrame, n: int, num: int, den: int, id_col: str = "d
     one shingle; without words, or for null texts, the set is empty and links with nothing. Equal sets always link. Ids may repeat or be
     null: rows are kept apart by their text, null ids are never the smallest unless there is no other.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     sets = _sets(docs, n, num, den)
     # equal sets are one node, named by one of their rows
     nodes = sets.where("print IS NOT NULL").groupBy("print").agg(
-        F.min(F.struct("row", "hash", "n")).alias("one"), F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("least"), F.first("sigs").alias("sigs"))
-    nodes = nodes.select("print", "one.row", "one.hash", "one.n", "least", "sigs")
-    posted = nodes.select("row", "n", F.explode("sigs").alias("sig"))
+        F.min(F.struct("row", "hash", "n")).alias("one"), F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("least"), F.first("sketch").alias("sketch"), F.first("sigs").alias("sigs"))
+    nodes = nodes.select("print", "one.row", "one.hash", "one.n", "least", "sketch", "sigs")
+    posted = nodes.select("row", F.explode("sigs").alias("sig"))
     shared = posted.groupBy("sig").agg(F.count("*").alias("size"), F.min("row").alias("lead")).where("size > 1")
     buckets = stored(posted.join(shared.select("sig", "lead"), "sig"), "buckets")
     known = stored(nodes.drop("sigs"), "nodes")
 
-    near = F.lit(den) * F.least("n", "n_other") >= F.lit(num) * F.greatest("n", "n_other")
-    sizes = known.select(F.col("row").alias("lead"), F.col("n").alias("n_other"))
-    to_lead = buckets.where("row <> lead").select("row", "n", "lead").distinct().join(sizes, "lead").where(near)
-    tried = stored(to_lead.select(F.col("lead").alias("a"), F.col("row").alias("b")), "pairs")
+    sketches = known.select("row", "n", "sketch")
+    small = sketches.count() <= BROADCAST_SKETCHES
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose sizes and sketches let them be similar."""
+        for side in ("a", "b"):
+            own = sketches.toDF(side, f"n_{side}", f"sketch_{side}")
+            pairs = pairs.join(F.broadcast(own) if small else own, side)
+        n_a, n_b = F.col("n_a"), F.col("n_b")
+        apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        sizes = F.lit(den) * F.least(n_a, n_b) >= F.lit(num) * F.greatest(n_a, n_b)
+        return pairs.where(sizes & (F.lit(den + num) * apart <= F.lit(den - num) * (n_a + n_b))).select("a", "b")
+
+    to_lead = buckets.where("row <> lead").select(F.col("lead").alias("a"), F.col("row").alias("b")).distinct()
+    tried = stored(close(to_lead), "pairs")
     linked = _verified(docs, tried, known, n, num, den)
     label = components(linked, "a", "b").toDF("row", "component")
 
-    marked = buckets.drop("lead").join(label, "row", "left").withColumn("component", F.coalesce("component", "row"))
+    marked = buckets.join(label, "row", "left").withColumn("component", F.coalesce("component", "row"))
     split = marked.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-    marked = stored(marked.join(split, "sig"), "open-buckets")
-    other = marked.select("sig", F.col("row").alias("other"), F.col("n").alias("n_other"), F.col("component").alias("component_other"))
-    across = marked.join(other, "sig").where((F.col("row") < F.col("other")) & (F.col("component") != F.col("component_other")) & near)
-    across = across.select(F.col("row").alias("a"), F.col("other").alias("b")).distinct()
+    # similar documents share many signatures: buckets of one smallest member are compared together, each pair once
+    joint = marked.join(split, "sig").select(F.col("lead").alias("sig"), "row", "component").distinct()
+    sizes = joint.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    open_ = stored(joint.join(sizes, "sig"), "open-buckets")
+    across = stored(_across(open_.join(F.broadcast(sketches) if small else sketches, "row"), num, den), "across")
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = stored(across.join(done, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
