@@ -26,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatewright.llm.common import set_aside, slices, stored
+from gatewright.llm.common import bounded_batches, set_aside, slices, stored
 
 GRAM = 8
 #: Windows that one shard takes; different windows of one core beyond which they are counted in Spark instead.
 SHARD_WINDOWS, HOT_WINDOWS = 8192, 50_000
 #: Bytes of a symbol of the shards' suffix arrays.
 BLOCK = 24
-#: Rows up to which ids or spans are broadcast; beyond it joins shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Spans, and windows asked of texts, up to which they are broadcast (some tens of bytes each); beyond it joins shuffle.
+BROADCAST_ROWS, BROADCAST_WINDOWS = 1_000_000, 2_000_000
 _rng = np.random.default_rng(2024)
 _TABLE32 = _rng.integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 _TABLES = [_rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
@@ -262,8 +262,8 @@ class Anchors:
         return text.astype(np.int32), at - start, hashes[0], hashes[1]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Rows with their texts' bytes, a few MB at a time."""
+def _groups(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows with their texts' bytes, half a MB at a time or one text."""
     for b in slices(batches):
         data = b["bytes"].to_pylist()
         first = size = 0
@@ -317,7 +317,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     open_ = stored(windows.join(mixed, "core").select("key", "size", "at", "core", "kinds"), "open-windows")
     asked = stored(open_.groupBy("key", "size").agg(F.collect_list(F.struct("at", "core", "kinds")).alias("asked")), "asked")
     n_open, n_hot = open_.agg(F.count("*"), F.count_if(F.col("kinds") > HOT_WINDOWS)).first()
-    small = asked.count() <= BROADCAST_ROWS
+    small = n_open <= BROADCAST_WINDOWS
     reach, core_size = finder.reach, finder.core
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,6 +379,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text") -> Da
     the suffix _input.
     """
     own = ["n_bytes", "spans", "kept", "kept_text"]
+    bounded_batches(docs.sparkSession)
     docs = set_aside(docs, [*own, "_key", "_size", "_bytes"])
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     texts = docs.select(F.xxhash64(data).alias("key"), F.octet_length(data).cast("long").alias("size"), data.alias("bytes"))
