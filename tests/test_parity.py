@@ -2,12 +2,14 @@
 
 import pytest
 
-import __spark_entry__ as entry
 from conftest import SMALL
+from gatewright.catalog import registered
+from gatewright.catalog.registry import callable_for
 from parity import compare, duck
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
-ROWS_ONLY = {"j8_apply_answers", "l4_stream_stage_machine"}
+QUERIES = {name: callable_for(fn) for name, (fn, _) in registered().items()}
+SQL = {name: sql for name, (_, sql) in registered().items() if sql}
+ROWS_ONLY = {"j8_apply_answers", "j8_products", "j8_requests", "j8_answers", "j8_events", "l4_stream_stage_machine"}
 
 
 @pytest.fixture(scope="module")

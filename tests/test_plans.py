@@ -4,11 +4,12 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from conftest import SMALL
+from gatewright.catalog import registered
+from gatewright.catalog.registry import callable_for
 
-QUERIES = entry.queries()
-STREAMS_AND_LOOPS = {"j8_apply_answers", "l1_stream_counts", "l2_stream_latest_status", "l3_stream_upsert", "l4_stream_stage_machine"}
+QUERIES = {name: callable_for(fn) for name, (fn, _) in registered().items()}
+STREAMS_AND_LOOPS = {"j8_apply_answers", "j8_products", "j8_requests", "j8_answers", "j8_events", "l1_stream_counts", "l2_stream_latest_status", "l3_stream_upsert", "l4_stream_stage_machine"}
 
 
 def plan_of(spark, name):
