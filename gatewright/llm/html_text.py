@@ -45,10 +45,10 @@ _HOST = re.compile(r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "children", "hash")
+    __slots__ = ("tag", "attributes", "children", "hash", "size", "kept")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.children, self.hash = tag, attributes, [], 0
+        self.tag, self.attributes, self.children, self.hash, self.size, self.kept = tag, attributes, [], 0, 0, False
 
 
 def parse(html: str) -> Element:
@@ -89,18 +89,61 @@ def parse(html: str) -> Element:
             at = end.end() if end else size
         elif tag not in VOID and not (text.endswith("/") and tag in ("svg", "path", "use")):
             stack.append(found)  # a slash does not close an HTML element
+    weigh(root)
     return root
 
 
-def is_noise(e: Element) -> bool:
-    """Whether the element's kind, role, class or id says that it is no article text."""
+def weigh(root: Element) -> None:
+    """Sets `size`, the characters of an element's text, and `kept`: no class or id makes it noise.
+
+    Kept are articles (not those within articles), what holds the longest of them or the longest main element, and what holds most of
+    the page's text.
+    """
+    order, parent, inside = [root], [-1], [False]
+    articles, mains = [], []
+    for k, e in enumerate(order):  # grows while it runs; parents come first
+        for c in e.children:
+            if isinstance(c, str):
+                e.size += sum(map(len, c.split()))
+            elif not is_apart(c):
+                if not inside[k]:
+                    if c.tag == "article":
+                        articles.append(len(order))
+                    elif c.tag == "main" or c.attributes.get("role") == "main":
+                        mains.append(len(order))
+                order.append(c)
+                parent.append(k)
+                inside.append(inside[k] or c.tag == "article")
+    for k in range(len(order) - 1, 0, -1):
+        order[parent[k]].size += order[k].size
+    for e in order:
+        e.kept = 2 * e.size > root.size
+    for found in (articles, mains):
+        for k in found:
+            order[k].kept = True
+        k = max(found, key=lambda k: order[k].size, default=-1)
+        while k >= 0:
+            order[k].kept = True
+            k = parent[k]
+
+
+def is_apart(e: Element) -> bool:
+    """Whether the element's kind, role or state says that it is no article text."""
     if e.tag in NOISE_TAGS:
         return True
     a = e.attributes
     if not a or e.tag in ("html", "body", "main"):
         return False
-    if a.get("role", "").lower() in NOISE_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
+    return a.get("role", "").lower() in NOISE_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
+
+
+def is_noise(e: Element) -> bool:
+    """Whether the element's kind, role, class or id says that it is no article text."""
+    if is_apart(e):
         return True
+    a = e.attributes
+    if not a or e.kept or e.tag in ("html", "body", "main"):
+        return False
     for name in ("class", "id"):
         if value := a.get(name):
             for part in value.lower().split():
@@ -132,38 +175,42 @@ def hash_subtrees(e: Element) -> int:
 
 
 def main_element(root: Element) -> tuple[Element, bool]:
-    """The article with the most text, else the main element, else the whole page; whether one was marked."""
-    articles, mains, todo = [], [], [root]
+    """The articles, else the main element, else the whole page; whether one was marked. Several are the children of a new element."""
+    articles, mains, todo = [], [], [(root, False)]
     while todo:
-        e = todo.pop()
-        for c in reversed(e.children):
-            if isinstance(c, str) or is_noise(c):
-                continue
-            if c.tag == "article":
-                articles.append(c)
-            else:
-                if c.tag == "main" or c.attributes.get("role") == "main":
-                    mains.append(c)
-                todo.append(c)
+        e, in_main = todo.pop()
+        if e.tag == "article":
+            articles.append(e)
+            continue
+        if not in_main and (e.tag == "main" or e.attributes.get("role") == "main"):
+            mains.append(e)
+            in_main = True
+        todo.extend((c, in_main) for c in reversed(e.children) if not isinstance(c, str) and not is_noise(c))
     for found in (articles, mains):
         if len(found) == 1:
             return found[0], True
         if found:
-            return max(found, key=lambda e: len(text_of(e))), True
+            both = Element("", {})
+            both.children = found
+            return both, True
     return root, False
 
 
 def removable(root: Element) -> Iterator[Element]:
     """Elements that a site's template may hold: all outside a marked article; within one, those that aren't text blocks or inline."""
     main, marked = main_element(root)
+    parts = main.children if marked and not main.tag else [main]
+    longest, parts = max(parts, key=lambda e: e.size), set(map(id, parts))
     todo = [(root, False)]
     while todo:
         e, within = todo.pop()
         for c in e.children:
             if isinstance(c, str) or c.tag in ("head", "script", "style"):
                 continue
-            if c.tag in ("html", "body") or c is main:
-                todo.append((c, within or c is main and marked))
+            if c.tag in ("html", "body") or id(c) in parts:
+                if id(c) in parts and c is not longest:
+                    yield c
+                todo.append((c, within or id(c) in parts and marked))
                 continue
             if c.tag not in INLINE and c.tag not in VOID and not (within and c.tag in TEXT_BLOCKS):
                 yield c

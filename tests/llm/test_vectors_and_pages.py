@@ -86,3 +86,17 @@ def test_pages(spark):
     assert rest[200] == rest[201] == "" and rest[202] == "no markup <here" and rest[204] == "deep"
     assert all(rest[300 + k] == "The same page." for k in range(9))  # copies of a page are no template
     assert main_text(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<body><div class='content sidebar-right'><article><h1>Title</h1><p>The whole story</article></div><div class=sidebar>Links</div>", "Title The whole story"),
+    ("<div id='page' class='header-fixed'><main><p>The whole story</p><div class=share>Share</div></main></div>", "The whole story"),
+    ("<div id=page class='header-fixed'><div role=main class='widget-main'>The whole story</div></div><div>Other</div>", "The whole story"),
+    ("<article class='post comments-open'><p>The whole story<div class=social>Like</div><section id=comments><article class=comment>Nice</article></section></article>", "The whole story"),
+    ("<div class='wrap no-banner sidebar-right'><p>The whole story of an unmarked page</p></div><div class=sidebar>Links</div>", "The whole story of an unmarked page"),
+    ("<article><p>First part</article><div>Between</div><article class='post comments-open'><p>Second and longer part</article><div class=related><article>Tease</article></div>", "First part Second and longer part"),
+])
+def test_wrappers_and_articles_are_no_noise(html, text):
+    from gatewright.llm.html_text import main_element, parse, text_of
+
+    assert text_of(main_element(parse(html))[0]) == text
