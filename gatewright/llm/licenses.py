@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license notices, in DataFrame functions only.
 
-A block is a line. A notice is found where the share of its distinct words that the block holds reaches the threshold. Words are
-ordered by how many blocks of the corpus hold them; a block that reaches the threshold must hold one of the notice's few rarest words
+A block is a line, or a window over the words of the whole text, so that notices wrapped over several lines are found too; a window has
+as many words as the notice divided by the threshold. A notice is found where the share of its distinct words that the block holds
+reaches the threshold. Words are ordered by how many blocks of the corpus hold them; a block that reaches the threshold must hold one of the notice's few rarest words
 (prefix filter), be long enough (length filter) and have enough words left from the first common one on (positional filter). What
 passes is verified.
 """
@@ -85,25 +86,31 @@ def word_counts(lines: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 def notices_found(docs: DataFrame, threshold: float = 0.8, notices: list[tuple[str, str]] = NOTICES, text: str = "text") -> DataFrame:
     """All (block, notice) pairs whose containment reaches the threshold: the columns of docs but the text, `label`, `containment`.
 
-    Null and empty texts have no blocks. Repeated rows give repeated pairs. Notices that share a label are found separately.
+    Windows come up as the best one around each rare word of the notice, in texts of several lines only: within a line they hold no
+    more than the line. Null and empty texts have no blocks. Repeated rows give repeated pairs. Notices that share a label are found
+    separately.
     """
     sets = [(i, label, sorted(set(words.split()))) for i, (label, words) in enumerate(notices)]
     vocabulary = sorted({w for _, _, words in sets for w in words})
     lines = blocks(docs, text)
     count = word_counts(lines, vocabulary)
     rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (count.get(w, 0), w)))}
+    spans = [math.ceil(len(words.split()) / threshold - 1e-9) for _, words in notices]
     prefix, members = [], []
     for i, label, words in sets:
         ordered = sorted(words, key=rank.__getitem__)
         need = math.ceil(threshold * len(words) - 1e-9)
-        members.append((i, label, ordered, need))
+        members.append((i, label, ordered, need, spans[i]))
         prefix += [(w, i, at) for at, w in enumerate(ordered[: len(words) - need + 1])]
     spark = docs.sparkSession
     # both small: as many rows as the notices have words
     heads = F.broadcast(spark.createDataFrame(prefix, "_word string, _notice int, _at int"))
-    notice = F.broadcast(spark.createDataFrame(members, "_notice int, label string, _words array<string>, _need int"))
+    notice = F.broadcast(spark.createDataFrame(members, "_notice int, label string, _words array<string>, _need int, _span int"))
     order = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
-    head = lines.where(F.col("_block").rlike(whole_words("|".join(sorted({w for w, _, _ in prefix})))))
+    rare = sorted({w for w, _, _ in prefix})
+    any_rare = whole_words("|".join(rare))
+    held_docs = docs.where(F.col(text).rlike(any_rare))
+    head = blocks(held_docs, text).where(F.col("_block").rlike(any_rare))
     own = F.array_distinct(F.transform(F.regexp_extract_all("_block", F.lit(whole_words("|".join(vocabulary))), F.lit(0)), _lower))
     own = F.transform(F.array_sort(F.transform(own, lambda w: F.struct(F.element_at(order, w).alias("r"), w.alias("w")))), lambda s: s["w"])
     held = head.withColumn("_own", own)
@@ -115,7 +122,26 @@ def notices_found(docs: DataFrame, threshold: float = 0.8, notices: list[tuple[s
     candidates = hits.where((F.size("_own") >= F.col("_need")) & (left >= F.col("_need")) & earlier)
     common = F.size(F.array_intersect("_own", "_words"))
     verified = candidates.where(common >= F.col("_need")).withColumn("containment", common / F.size("_words"))
-    return verified.select(*[c for c in docs.columns if c != text], "label", "containment")
+    kept = [c for c in docs.columns if c != text]
+    wrapped = _windows(held_docs.where(F.col(text).contains("\n")), text, rare, heads, notice, max(spans))
+    return verified.select(*kept, "label", "containment").union(wrapped.select(*kept, "label", "containment"))
+
+
+def _windows(docs: DataFrame, text: str, rare: list[str], heads: DataFrame, notice: DataFrame, longest: int) -> DataFrame:
+    """The windows around the rare words, as rows of docs with `label` and `containment`. heads and notice are broadcast."""
+    words = docs.withColumn("_all", F.regexp_extract_all(_lower(F.col(text)), F.lit(WORD), F.lit(0))).drop(text)
+    places = F.filter(F.sequence(F.lit(1), F.size("_all")), lambda p: F.array_contains(F.array(*map(F.lit, rare)), F.element_at("_all", p)))
+    hit = F.transform(places, lambda p: F.struct(
+        F.element_at("_all", p).alias("_word"), F.slice("_all", F.greatest(p - (longest - 1), F.lit(1)), F.lit(2 * longest - 1)).alias("_near"), F.least(p, F.lit(longest)).alias("_pos")))
+    hits = words.select(*[c for c in words.columns if c != "_all"], F.inline(hit)).join(heads, "_word").join(notice, "_notice")
+    start = F.greatest(F.col("_pos") - F.col("_span") + 1, F.lit(1))
+    hits = hits.withColumn("_near", F.slice("_near", start, F.col("_pos") - start + F.col("_span")))
+    # a window whose rarest common word this is has its other common words among those that follow
+    left = F.size(F.array_intersect(F.slice("_words", F.col("_at") + 1, F.size("_words")), "_near"))
+    hits = hits.where((F.size("_near") >= F.col("_need")) & (left >= F.col("_need")))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_near") - F.col("_span") + 1, F.lit(1)))
+    best = F.array_max(F.transform(starts, lambda s: F.size(F.array_intersect(F.slice("_near", s, F.col("_span")), "_words"))))
+    return hits.withColumn("_best", best).where(F.col("_best") >= F.col("_need")).withColumn("containment", F.col("_best") / F.size("_words"))
 
 
 def scan(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:

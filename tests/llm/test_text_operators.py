@@ -152,6 +152,32 @@ def test_licenses(spark, small, nothing):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software)"
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
+APACHE = "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+
+
+def test_wrapped_notices(spark):
+    import textwrap
+
+    from conftest_llm import docs_of
+
+    from gatewright.llm.licenses import scan
+
+    cases = []
+    for label, notice in (("mit", MIT), ("gpl", GPL), ("apache-2", APACHE)):
+        for width in (20, 40, 76):
+            for mark, end in (("", "\n"), (" * ", "\n"), ("REM ", "\r\n"), ("", "\n\n")):
+                lines = textwrap.wrap(notice, width)
+                cases.append((label, "first words\n" + end.join(mark + x for x in lines) + "\nlast words\n" * 9))
+    w = MIT.split()
+    cases.append(("", "\n".join(f"{x} " + "other words " * 5 for x in w)))  # too far apart
+    cases.append(("", "\n".join(w[: len(w) // 2])))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in scan(docs_of(spark, [t for _, t in cases])).collect()}
+    assert [got[k][0] for k in range(len(cases))] == [x for x, _ in cases]
+    assert all(got[k][1] >= 0.8 if x else got[k][1] == 0 for k, (x, _) in enumerate(cases))
+
+
 def _sets(texts, n):
     out = []
     for _, t in texts:
