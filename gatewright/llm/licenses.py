@@ -57,7 +57,7 @@ def phrase_places(text: Column, phrases: dict[str, str] = PHRASES) -> dict[str,
     for label, p in patterns.items():
         there = text.rlike(p)
         counts.append(F.regexp_count(text, F.lit(p)))
-        firsts.append(F.when(there, words_in(F.substring(text, F.lit(1), F.regexp_instr(text, F.lit(p)) - 1))))
+        firsts.append(F.when(there, words_in(F.regexp_extract(text, f"(?s)^(.*?){p}", 1))))
         lasts.append(F.when(there, words_in(F.regexp_extract(text, f"(?s)^(.*){p}", 1))))
         labels.append(F.when(there, F.lit(label)))
     total = counts[0]

@@ -178,6 +178,17 @@ def test_wrapped_notices(spark):
     assert all(got[k][1] >= 0.8 if x else got[k][1] == 0 for k, (x, _) in enumerate(cases))
 
 
+def test_first_word_counts_whole_characters(spark):
+    from conftest_llm import docs_of
+
+    from gatewright.llm.licenses import scan
+
+    long_ = "\U0001F600 word\n" * 20_000  # characters beyond U+FFFF, and a match far from the start
+    cases = [("\U0001F600" * 3 + " one under the mit license", 2), ("\U0001F600 a \U00020000 b under the mit license under the mit license", 4), (long_ + "under the mit license", 40_000)]
+    got = {r["doc_id"]: r["first_word"] for r in scan(docs_of(spark, [t for t, _ in cases])).collect()}
+    assert [got[k] for k in range(len(cases))] == [n for _, n in cases]
+
+
 def _sets(texts, n):
     out = []
     for _, t in texts:
