@@ -3,7 +3,8 @@
 A document is the set of its word n-grams. Each set shows a prefix: the first of its tokens in one global order, as many as are needed
 so that two sets of the wanted similarity must have signatures in common. Rare tokens come first and are signatures by
 themselves; frequent tokens fall into classes, and only combinations of two of a class are signatures, for which the prefix is extended
-by one token per class. Documents with a common signature are candidates; those whose parity sketches differ in more bits than
+by one token per class. Sets too short for that also show combinations of as many frequent tokens, one of each class, as similar sets
+have in common. Documents with a common signature are candidates; those whose parity sketches differ in more bits than
 similar sets can differ in tokens are out, the others are verified on their texts.
 
 Groups of similar documents are linked without making all pairs: every bucket of a signature is first linked to its smallest member;
@@ -12,8 +13,11 @@ only members of buckets that then still span several components are compared fur
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +78,34 @@ def least_common(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
+@lru_cache(maxsize=4096)
+def _common_sizes(n: int, num: int, den: int) -> tuple[int, ...]:
+    """The least numbers of common tokens of a set of n and the sets that are not smaller and can be similar, up to CLASSES."""
+    return tuple(sorted({c for m in range(n, den * n // num + 1) if (c := least_common(m, num, den)) <= CLASSES}))
+
+
+@lru_cache(maxsize=16)
+def _few_combinations(num: int, den: int) -> bool:
+    """Whether all short sets have few combinations of these sizes; else their frequent tokens are signatures by themselves."""
+    return all(math.comb(n, c) <= 64 for n in range(1, den * CLASSES // num + 1) for c in _common_sizes(n, num, den) if c <= n)
+
+
+def _short_signatures(tokens: list[int], n: int, num: int, den: int) -> list[int]:
+    """Of a set of n with these frequent tokens: what it shows if all it has in common with a similar one may be one of them per class."""
+    sizes = [c for c in _common_sizes(n, num, den) if c <= len(tokens)]
+    if sizes and not _few_combinations(num, den):
+        return tokens
+    out = []
+    for size in sizes:
+        for group in combinations(tokens, size):
+            if len({t % CLASSES for t in group}) == size:
+                h = size
+                for t in group:
+                    h = ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 + t) & 0xFFFFFFFFFFFFFFFF
+                out.append(h)
+    return out
+
+
 def signatures(tokens: np.ndarray, head: int, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
     """The signatures of a sorted token set. `frequent` is sorted; tokens below `head` are ordered by class, the others follow."""
     n = len(tokens)
@@ -98,6 +130,8 @@ def signatures(tokens: np.ndarray, head: int, frequent: np.ndarray, num: int, de
             need -= bool(group)
             combined += [(u * 0x9E3779B97F4A7C15 + t * 0xD6E8FEB86659FD93 + 1) & 0xFFFFFFFFFFFFFFFF for u in group]
             group.append(t)
+        if need > n - cut:
+            combined += _short_signatures(first[often].tolist(), n, num, den)
         out += [np.array(combined, np.uint64), tokens[cut:][: max(0, need)]]
     return np.concatenate(out)
 

@@ -246,6 +246,29 @@ def test_near_copies(spark, small, nothing, monkeypatch, n, num, den, frequent):
     assert shingles.similar_groups(nothing, n, num, den).count() == 0
 
 
+@pytest.mark.parametrize("num,den", [(80, 100), (90, 100), (70, 100), (50, 100)])
+def test_short_sets_of_frequent_tokens_meet(num, den):
+    from gatewright.llm.shingles import signatures
+
+    head = 1 << 62
+    # frequent ones of eight classes and two more of the same classes; one rare, two beyond the head
+    universe = np.array([8000 + 8 * 97 * k + k for k in range(8)] + [16_003, 24_003, 40_000, head + 5, head + 9], np.uint64)
+    frequent = np.sort(universe[:10])
+    masks = range(1, 1 << len(universe))
+    shown, size = [], np.array([m.bit_count() for m in masks])
+    for m in masks:
+        own = np.sort(universe[[k for k in range(len(universe)) if m >> k & 1]])
+        shown.append(set(signatures(own, head, frequent, num, den).tolist()))
+    all_ = np.array(masks)
+    pairs = 0
+    for m in list(masks)[::7]:
+        common = np.bitwise_count(all_ & m).astype(int)
+        for other in np.flatnonzero((den * common >= num * (size + size[m - 1] - common)) & (all_ != m)):
+            pairs += 1
+            assert shown[m - 1] & shown[other], (m, int(all_[other]))
+    assert pairs > 500
+
+
 def test_suffix_arrays():
     from gatewright.llm.repeats import common_prefixes, suffix_array
 
