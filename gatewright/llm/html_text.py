@@ -39,6 +39,11 @@ NOISE_WORDS = frozenset(
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 WORDS_BEFORE = frozenset("no has with without".split())
 
+#: Text blocks of at least so many characters may be template wherever they stand.
+LONG_BLOCK = 32
+# How an element may be template: on min_share of the pages; a text block on most pages; a short one on most pages and at a page's edge.
+ANY, BLOCK, EDGE = 0, 1, 2
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HOST = re.compile(r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
@@ -196,36 +201,55 @@ def main_element(root: Element) -> tuple[Element, bool]:
     return root, False
 
 
-def removable(root: Element) -> Iterator[Element]:
-    """Elements that a site's template may hold: all outside a marked article; within one, those that aren't text blocks or inline."""
+def removable(root: Element) -> Iterator[tuple[Element, int]]:
+    """Elements that a site's template may hold, with the evidence that each needs. Inline elements and short blocks of articles are none."""
     main, marked = main_element(root)
-    parts = main.children if marked and not main.tag else [main]
-    longest, parts = max(parts, key=lambda e: e.size), set(map(id, parts))
-    todo = [(root, False)]
+    longest = main if main.tag or not marked else max(main.children, key=lambda e: e.size)
+    todo = [root]
     while todo:
-        e, within = todo.pop()
-        for c in e.children:
+        for c in todo.pop().children:
             if isinstance(c, str) or c.tag in ("head", "script", "style"):
                 continue
-            if c.tag in ("html", "body") or id(c) in parts:
-                if id(c) in parts and c is not longest:
-                    yield c
-                todo.append((c, within or id(c) in parts and marked))
+            todo.append(c)
+            if c.tag in ("html", "body") or c is longest:
                 continue
-            if c.tag not in INLINE and c.tag not in VOID and not (within and c.tag in TEXT_BLOCKS):
-                yield c
-            todo.append((c, within))
+            if c.tag in TEXT_BLOCKS:
+                if c.size >= LONG_BLOCK:
+                    yield c, BLOCK
+                elif c.size and not marked and c.tag not in ("td", "th", "tr"):
+                    yield c, EDGE
+            elif c.tag not in INLINE and c.tag not in VOID:
+                yield c, ANY
+
+
+def at_edges(e: Element, templates: frozenset[int], short: frozenset[int]) -> set[int]:
+    """ids of the elements with a hash in `short` that stand before or after all other text of e."""
+    units, todo = [], [e]
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str):
+            if c.strip():
+                units.append(None)
+        elif c is e or not (is_noise(c) or c.hash in templates):
+            if c.hash in short and c is not e:
+                units.append(id(c))
+            else:
+                todo.extend(reversed(c.children))
+    if None not in units:
+        return set()
+    first, last = units.index(None), len(units) - units[::-1].index(None)
+    return set(units[:first] + units[last:])
 
 
-def text_of(e: Element, templates=frozenset()) -> str:
-    """The element's text without noise and template subtrees; blocks are parted by one space, white space is one space."""
+def text_of(e: Element, templates=frozenset(), left_out=frozenset()) -> str:
+    """The element's text without noise, template subtrees and elements whose id() is in left_out; blocks are parted by one space, white space is one space."""
     out, todo = [], [e]
     while todo:
         c = todo.pop()
         if isinstance(c, str):
             out.append(c)
             continue
-        if c is not e and (is_noise(c) or c.hash in templates):
+        if c is not e and (is_noise(c) or c.hash in templates or id(c) in left_out):
             out.append(" ")
             continue
         if c.tag not in INLINE:
@@ -240,40 +264,47 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def template_subtrees(pages: DataFrame, url: str, html: str, min_pages: int, min_share: float) -> DataFrame:
+def template_subtrees(pages: DataFrame, url: str, html: str, min_pages: int, min_share: float, block_share: float) -> DataFrame:
     """Per host the hashes of its template's subtrees: on at least min_pages different pages and min_share of the host's.
 
+    Text blocks must be on more than block_share of the pages; `_short` has those that are template at a page's edges only.
+
     Equal pages count once, so copies of one page are no template. The share bounds the list: a host has at most 1 / min_share
     times as many template subtrees as a page has subtrees.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
-            hosts, pages_, found = [], [], []
+            hosts, pages_, found, needs = [], [], [], []
             for u, h in zip(b["url"].to_pylist(), b["html"].to_pylist()):
                 if h:
                     root = parse(h)
                     hosts.append(host_of(u))
                     pages_.append(hash_subtrees(root))
-                    found.append(sorted({0, *(e.hash for e in removable(root))}))  # 0 counts the host's pages
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages_, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["host", "page", "found"])
-
-    seen = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(rows, "host string, page long, found array<long>")
-    each = seen.select("host", "page", F.explode("found").alias("subtree")).distinct()
-    counts = stored(each.groupBy("host", "subtree").count().where(F.col("count") >= min_pages), "subtree-counts")
+                    own = sorted({(0, ANY), *((e.hash, need) for e, need in removable(root))})  # 0 counts the host's pages
+                    found.append([x for x, _ in own])
+                    needs.append([x for _, x in own])
+            columns = [pa.array(hosts, pa.string()), pa.array(pages_, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(needs, pa.list_(pa.int8()))]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "page", "found", "needs"])
+
+    seen = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(rows, "host string, page long, found array<long>, needs array<byte>")
+    each = seen.select("host", "page", F.inline(F.arrays_zip("found", "needs"))).toDF("host", "page", "subtree", "need").distinct()
+    counts = stored(each.groupBy("host", "subtree", "need").count().where(F.col("count") >= min_pages), "subtree-counts")
     totals = counts.where("subtree = 0").select("host", F.col("count").alias("total"))
-    often = counts.where("subtree <> 0").join(totals, "host").where(F.col("count") >= F.col("total") * min_share)
-    return often.groupBy("host").agg(F.collect_list("subtree").alias("_templates"))
+    enough = F.when(F.col("need") == ANY, F.col("count") >= F.col("total") * min_share).otherwise(F.col("count") > F.col("total") * block_share)
+    often = counts.where("subtree <> 0").join(totals, "host").where(enough)
+    lists = [F.collect_list(F.when(F.col("need") == EDGE if short else F.col("need") != EDGE, F.col("subtree"))) for short in (False, True)]
+    return often.groupBy("host").agg(lists[0].alias("_templates"), lists[1].alias("_short"))
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", min_pages: int = 5, min_share: float = 0.1) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", min_pages: int = 5, min_share: float = 0.1, block_share: float = 0.5) -> DataFrame:
     """Per page: the id, the url and `text`, its main text ('' for null or empty html, or if nothing remains).
 
     Repeated rows repeat. Pages without a readable host form one host of their own.
     """
     bounded_batches(pages.sparkSession)
-    templates = stored(template_subtrees(pages, url, html, min_pages, min_share), "templates")
-    total = templates.agg(F.coalesce(F.sum(F.size("_templates")), F.lit(0))).first()[0]
+    templates = stored(template_subtrees(pages, url, html, min_pages, min_share, block_share), "templates")
+    total = templates.agg(F.coalesce(F.sum(F.size("_templates") + F.size("_short")), F.lit(0))).first()[0]
     own = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     joined = own.withColumn("host", host).join(F.broadcast(templates) if total <= BROADCAST_SUBTREES else templates, "host", "left")
@@ -281,14 +312,15 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
             texts = []
-            for h, templates in zip(b["html"].to_pylist(), b["_templates"].to_pylist()):
+            for h, templates, short in zip(*(b[c].to_pylist() for c in ("html", "_templates", "_short"))):
                 if not h:
                     texts.append("")
                     continue
                 root = parse(h)
-                if templates:
+                if templates or short:
                     hash_subtrees(root)
-                texts.append(text_of(main_element(root)[0], frozenset(templates or ())))
+                (main, marked), templates = main_element(root), frozenset(templates or ())
+                texts.append(text_of(main, templates, at_edges(main, templates, frozenset(short)) if short and not marked else ()))
             yield pa.RecordBatch.from_arrays([b["id"], b["url"], pa.array(texts, pa.string())], ["id", "url", "text"])
 
     kind = pages.schema[id_col].dataType.simpleString()

@@ -100,3 +100,20 @@ def test_wrappers_and_articles_are_no_noise(html, text):
     from gatewright.llm.html_text import main_element, parse, text_of
 
     assert text_of(main_element(parse(html))[0]) == text
+
+
+def test_recurring_blocks(spark):
+    from gatewright.llm.html_text import main_text
+
+    notice = "<p>This site is supported by readers; please write to the editor with your notes."
+    rows = [(k, f"http://marked/{k}", f"<article><h1>Title {k}</h1>{notice}<p>Story {k}<h2>References</h2><p>Source {k}</article>") for k in range(12)]
+    plain = "<body><p>Acme news<h1>Title %(n)d</h1><p>Story %(n)d<h2>References</h2><ul><li>Source %(n)d<li>Yes</ul><table><tr><td>1<td>Yes<td>v%(n)d</table>%(x)s<p>Back to top"
+    rows += [(100 + k, f"http://plain/{k}", plain % {"n": k, "x": notice if k else "<p>A passage that is quoted on some of the pages of the host only."}) for k in range(12)]
+    rows += [(200 + k, f"http://some/{k}", f"<p>Story {k}" + ("<h2>References</h2><p>A passage that is quoted on some of the pages of the host only." if k < 6 else "") + f"<p>End {k}") for k in range(20)]
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    quoted = "A passage that is quoted on some of the pages of the host only."
+    for k in range(12):
+        assert got[k] == f"Title {k} Story {k} References Source {k}"
+        assert got[100 + k] == f"Title {k} Story {k} References Source {k} Yes 1 Yes v{k}" + ("" if k else " " + quoted)
+    for k in range(20):
+        assert got[200 + k] == f"Story {k} " + (f"References {quoted} " if k < 6 else "") + f"End {k}"
