@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewright.llm.common import stored, table
-from gatewright.llm.langid import UNKNOWN, fit, identify
+from gatewright.llm.langid import fit, identify, with_letters
 from gatewright.llm.packing import pack, token_pieces
 from gatewright.llm.queries import published_pattern, tokenizer
 from gatewright.llm.repeats import remove_repeats
@@ -21,11 +21,15 @@ CAPACITY = 2048
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, no letter) go; a missing `lang` is filled with the predicted one.
+    """Documents without a letter (or text) go; a missing `lang` is filled with the predicted one.
 
-    The classifier learns from the labelled documents among docs. Ambiguous documents stay. Empty input gives no rows.
+    The classifier learns from the labelled documents among docs; if there are none, `lang` stays null. Ambiguous documents stay. Empty
+    input gives no rows.
     """
-    found = identify(docs, fit(docs)).where(F.col("lang_pred") != UNKNOWN)
+    model = fit(docs)
+    if model is None:
+        return with_letters(docs)
+    found = identify(docs, model).where("score > 0")  # 0 is for texts without a letter
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

@@ -120,6 +120,17 @@ def fit(docs: DataFrame, per_lang: int = 600, bits: int = 15, id_col: str = "doc
     return train(np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32), [r["lang"] for r in got], bits)
 
 
+def with_letters(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows whose text has a letter; all columns."""
+    bounded_batches(docs.sparkSession)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 256):
+            yield b.filter(pa.array([bool(t and _LETTER.search(t)) for t in b[text].to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def identify(docs: DataFrame, model: Model | None, text: str = "text", ambiguous_lead: float = 0.05) -> DataFrame:
     """All rows and columns with `lang_pred`, `score` (0 to 1) and `ambiguous` (the two nearest codewords are about as near).
 

@@ -121,6 +121,18 @@ def test_language(spark, small, nothing):
     assert {r["lang_pred"] for r in identify(docs.limit(5), one).collect()} == {"de"}
 
 
+def test_corpus_without_labels_stays(spark, small, nothing):
+    from corpus_pipeline import known_language
+
+    bare = small.withColumn("lang", F.lit(None).cast("string"))
+    got = Counter((r["doc_id"], r["text"], r["lang"]) for r in known_language(spark, bare, "").collect())
+    lettered = [(r["doc_id"], r["text"]) for r in small.collect() if r["text"] and re.search(r"[^\W\d_]", r["text"])]
+    assert got == Counter((i, t, None) for i, t in lettered)
+    labelled = known_language(spark, small.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "und").otherwise(F.col("lang"))), "").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in labelled) == Counter(lettered)
+    assert known_language(spark, nothing, "").count() == 0
+
+
 def test_licenses(spark, small, nothing):
     from conftest_llm import docs_of
 
