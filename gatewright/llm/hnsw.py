@@ -2,7 +2,8 @@
 
 Shards hold a bounded number of vectors. A graph is built once per shard and stored as flat neighbour arrays; query blocks visit the
 stored graphs and the best of all shards are kept. Inner product is turned into distance by one more component (the missing part of
-the shard's largest norm), so long vectors need no special care. Vectors that are equal are one node with several members.
+the shard's largest norm). All products are in double precision: one vector of a thousand times the others' length leaves differences
+that single precision cannot hold. Vectors that are equal are one node with several members.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ class Graph:
         n_q, rows = len(q), np.arange(len(q))
         seen = np.zeros((n_q, len(x) + 1), bool)  # the last column takes the -1
         ids = np.full((n_q, ef), -1, np.int32)
-        sims = np.full((n_q, ef), -np.inf, np.float32)
+        sims = np.full((n_q, ef), -np.inf, x.dtype)
         done = np.ones((n_q, ef), bool)
         ids[:, 0], sims[:, 0], done[:, 0] = start, np.einsum("ij,ij->i", q, x[start]), False
         seen[rows, start] = True
@@ -63,7 +64,7 @@ class Graph:
             near.sort(1)
             near[:, 1:][near[:, 1:] == near[:, :-1]] = -1  # found twice in this step
             seen[live[:, None], near] = True
-            found = np.where(near >= 0, np.einsum("ij,ikj->ik", q[live], x[near]), -np.inf).astype(np.float32)
+            found = np.where(near >= 0, np.einsum("ij,ikj->ik", q[live], x[near]), -np.inf)
             all_sims = np.concatenate([sims[live], found], 1)
             best = np.argpartition(-all_sims, ef - 1, 1)[:, :ef]
             sims[live] = np.take_along_axis(all_sims, best, 1)
@@ -96,7 +97,7 @@ def diverse(x: np.ndarray, at: np.ndarray, ids: np.ndarray, sims: np.ndarray, de
 
 
 def build(x: np.ndarray, seed: int, ef: int = 64, batch: int = 512) -> Graph:
-    """A graph of vectors of one norm, in float32. Nodes enter by level, highest first, in batches of at most what is there."""
+    """A graph of vectors of one norm. Nodes enter by level, highest first, in batches of at most what is there."""
     n = len(x)
     level = np.minimum((-np.log(np.random.default_rng(seed).random(n)) / math.log(DEGREE)).astype(int), 5)
     level[0] = level.max()
@@ -162,6 +163,12 @@ def _vectors(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def lift(x: np.ndarray) -> np.ndarray:
+    """The vectors with one more component that gives all one norm, and that norm 1."""
+    square = (x * x).sum(1)
+    return np.hstack([x, np.sqrt(np.maximum(square.max() - square, 0))[:, None]]) / math.sqrt(square.max())
+
+
 def build_shards(vectors: DataFrame, shard_rows: int = 8192, seed: int = 3) -> DataFrame:
     """One row per shard and dimension: its members' ids, and the graph in flat arrays. `vectors` as from usable()."""
     n = vectors.count()
@@ -174,10 +181,7 @@ def build_shards(vectors: DataFrame, shard_rows: int = 8192, seed: int = 3) -> D
         ids, x = ids[order], x[order]
         nodes, first, owner = np.unique(x.view(f"V{x.itemsize * dim}").ravel(), return_index=True, return_inverse=True)
         x = x[first]
-        square = (x * x).sum(1)
-        lifted = np.hstack([x, np.sqrt(np.maximum(square.max() - square, 0))[:, None]]).astype(np.float32)
-        lifted /= math.sqrt(square.max())
-        g = build(lifted, seed)
+        g = build(lift(x), seed)
         flat = np.concatenate([a.ravel() for a in g.links])
         columns = [[key[0].as_py()], [dim], [ids.tobytes()], [owner.astype("<i4").tobytes()], [x.tobytes()], [len(g.links)], [flat.astype("<i4").tobytes()]]
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
@@ -221,16 +225,14 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, ef: int = 128, shard_rows
             width = DEGREE * (2 if level == 0 else 1)
             links.append(flat[at : at + len(x) * width].reshape(-1, width))
             at += len(x) * width
-        square = (x * x).sum(1)
-        lifted = np.hstack([x, np.sqrt(np.maximum(square.max() - square, 0))[:, None]]).astype(np.float32)
-        g = Graph(lifted / np.float32(math.sqrt(square.max())), links)
+        g = Graph(lift(x), links)
         members = np.argsort(owners, kind="stable")  # by node, then by id
         begin = np.searchsorted(owners[members], np.arange(len(x) + 1))
         q_ids, q = asked["vec_id"].to_numpy(), _vectors(asked["vector"], dim)
         out = []
         for a in range(0, len(q), 512):
             part = q[a : a + 512]
-            unit = np.hstack([part / np.linalg.norm(part, axis=1, keepdims=True), np.zeros((len(part), 1))]).astype(np.float32)
+            unit = np.hstack([part / np.linalg.norm(part, axis=1, keepdims=True), np.zeros((len(part), 1))])
             found, _ = g.search(unit, max(ef, k + 1))
             for q_id, v, nodes in zip(q_ids[a : a + 512], part, found):
                 nodes = nodes[nodes >= 0]

@@ -64,6 +64,26 @@ def test_graph_search(vectors, shard_rows):
     assert nearest(vectors.where("false"), lambda i: i % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("ratio", [1, 1_000, 10_000])
+def test_graph_search_beside_a_long_vector(spark, ratio):
+    from gatewright.llm.hnsw import nearest
+
+    draw = np.random.default_rng(8)
+    x = draw.normal(0, 1, (60, 32))[draw.integers(0, 60, 3000)] + draw.normal(0, 0.3, (3000, 32))
+    x[1] *= ratio
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = {}
+    for r in nearest(rows, lambda i: i % 20 == 0).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 3000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-s)[:20].tolist()))
+    print("recall", ratio, hits / 3000)
+    assert hits >= 0.9 * 3000
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "</p><article>";</script><style>p{}</style></head><body class="no-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/x">Menu</a></ul></nav><div id="cookie-notice">We use cookies</div><aside>Side</aside>
 <article><h1>Title %(n)d</h1><!-- no --><p>One &amp; two<br>three <b>bo</b>ld &eacute;&#233;<p>Next%(n)d<ul><li>a%(n)d<li>b</ul><div class="ad">Buy</div>
