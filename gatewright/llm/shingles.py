@@ -179,6 +179,11 @@ def _sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return stored(own.mapInArrow(rows, f"id {kind}, hash long, row long, n long, print binary, sketch array<long>, sigs array<long>"), "shingle-sets")
 
 
+def _shards(members: DataFrame) -> int:
+    """Tasks of about 20,000 rows: every member comes up once per block of its bucket."""
+    return max(1, (members.agg(F.sum("blocks")).first()[0] or 0) // 20_000)
+
+
 def _across(members: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a < b) of one bucket (`sig`) and different components whose sizes and sketches let them be similar.
 
@@ -188,7 +193,7 @@ def _across(members: DataFrame, num: int, den: int) -> DataFrame:
     own = F.pmod(F.xxhash64("row"), "blocks")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     dealt = members.withColumns({"own": own, "other": other}).withColumns({"own": F.least("own", "other"), "other": F.greatest("own", "other")})
-    shards = max(1, members.count() // 20_000)
+    shards = _shards(members)
 
     def compare(key, rows):
         rows = rows.sort_by([("sig", "ascending"), ("own", "ascending"), ("other", "ascending"), ("row", "ascending")])

@@ -281,6 +281,13 @@ def test_short_sets_of_frequent_tokens_meet(num, den):
     assert pairs > 500
 
 
+def test_tasks_grow_with_dealt_rows(spark):
+    from gatewright.llm.shingles import _shards
+
+    members = spark.range(100_000).select(F.lit(1).alias("sig"), F.col("id").alias("row"), F.lit(25).cast("long").alias("blocks"))
+    assert _shards(members) == 125 and _shards(members.where("false")) == 1
+
+
 def test_suffix_arrays():
     from gatewright.llm.repeats import common_prefixes, suffix_array
 
