@@ -118,3 +118,28 @@ def op8_repeat_removal(spark, sf_dir):
     return cut.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def op11_fill_in_middle(spark, sf_dir):
+    from gatewright.llm.infill import fill_in_middle, restored
+
+    cut = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+@query
+def op12_collocations(spark, sf_dir):
+    from gatewright.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_token_counts(spark, sf_dir):
+    from gatewright.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), published_pattern())
