@@ -3,6 +3,7 @@
 import pytest
 
 from conftest import SMALL
+from __spark_entry__ import entry
 from gatewright.catalog import registered
 from gatewright.catalog.registry import callable_for
 from parity import compare, duck
@@ -33,4 +34,4 @@ def test_every_survey_id_is_registered():
 
 
 def test_entry(spark):
-    assert entry.entry(spark).limit(1).count() == 1
+    assert entry(spark).limit(1).count() == 1
