@@ -114,20 +114,22 @@ SUBMITTED = f"""sub AS (SELECT submission_id, sort_order AS position, requiremen
   JOIN a_requirements r ON r.stage_id = e.submitted_stage)"""
 
 
-@query("i6_answer_validation", with_views(LABEL_VIEWS + " requirements", f"""
-WITH l AS ({_LABELS_SQL}), {SUBMITTED}, x AS (SELECT s.*, {_S} AS s, {_REF} AS ref, l.id IS NOT NULL AS found FROM sub s
-  LEFT JOIN l ON l.collection = s.collection AND l.id = {_REF})
-SELECT submission_id, requirement_id,
-  CASE WHEN input_type = 'checkbox' THEN CASE WHEN lower(s) = 'true' THEN 'true' ELSE 'false' END
+ANSWER_CLEAN = """CASE WHEN input_type = 'checkbox' THEN CASE WHEN lower(s) = 'true' THEN 'true' ELSE 'false' END
     WHEN input_type = 'number' THEN CASE WHEN regexp_matches(s, '^[0-9]+$') THEN CAST(CAST(s AS BIGINT) AS VARCHAR) ELSE '' END
-    WHEN collection IS NOT NULL AND input_type <> 'date' THEN CASE WHEN s = '' THEN '' ELSE ref END ELSE s END AS clean_value,
-  coalesce(CASE WHEN input_type = 'number' AND s <> '' AND NOT regexp_matches(s, '^[0-9]+$') THEN concat(label, ' must be a whole number')
+    WHEN collection IS NOT NULL AND input_type <> 'date' THEN CASE WHEN s = '' THEN '' ELSE ref END ELSE s END"""
+ANSWER_ERROR = """CASE WHEN input_type = 'number' AND s <> '' AND NOT regexp_matches(s, '^[0-9]+$') THEN concat(label, ' must be a whole number')
     WHEN input_type = 'date' AND s <> '' AND try_strptime(s, '%Y-%m-%d') IS NULL THEN concat(label, ' must use YYYY-MM-DD format')
     WHEN collection IS NOT NULL AND input_type = 'select' AND s <> '' AND NOT found THEN concat(label, ' is not valid')
     WHEN requirement_key = 'product_type_id' AND s = '' THEN 'product type is required'
     WHEN requirement_key = 'target_platform_id' AND s = '' THEN 'target platform is required'
     WHEN requirement_key = 'priority_id' AND s = '' THEN 'priority is required'
-    WHEN requirement_key = 'lead_domain_id' AND s = '' THEN 'domain is not valid' END, '') AS error FROM x"""))
+    WHEN requirement_key = 'lead_domain_id' AND s = '' THEN 'domain is not valid' END"""
+CHECKED = f"""l AS ({_LABELS_SQL}), {SUBMITTED}, sv AS (SELECT s.*, {_S} AS s, {_REF} AS ref, l.id IS NOT NULL AS found FROM sub s
+  LEFT JOIN l ON l.collection = s.collection AND l.id = {_REF})"""
+
+
+@query("i6_answer_validation", with_views(LABEL_VIEWS + " requirements", f"""
+WITH {CHECKED} SELECT submission_id, requirement_id, {ANSWER_CLEAN} AS clean_value, coalesce({ANSWER_ERROR}, '') AS error FROM sv"""))
 def _(t, v):
     rules = v.requirements.select("requirement_id", "requirement_key", "label", "input_type", "master_data_type")
     checked = validate_answers(submitted_answers(v).join(rules, "requirement_id"), label_table(v))

@@ -383,10 +383,11 @@ def with_views(names: str, body: str) -> str:
     return f"WITH {ctes} {body}"
 
 
-# Submissions of stage answers, one per event: the user stands for a customer, whose first or last product is edited.
+# Submissions of stage answers, one per event: the user stands for a customer, whose first or last product is edited. A user
+# without products edits an unknown one.
 SUBMISSION = {
     "submission_id": "lpad(CAST(event_id AS string), 12, '0')",
-    "data_product_id": "CASE WHEN event_id % 71 = 0 THEN 'dp-unknown' WHEN event_id % 2 = 0 THEN "
+    "data_product_id": "CASE WHEN event_id % 71 = 0 OR first_order IS NULL THEN 'dp-unknown' WHEN event_id % 2 = 0 THEN "
                        "concat('dp-', CAST(first_order AS string)) ELSE concat('dp-', CAST(last_order AS string)) END",
     "stage_id": "CASE WHEN event_id % 53 = 0 THEN 'nowhere' WHEN event_type = 'view' THEN 'intake' WHEN event_type = 'click' "
                 "THEN 'reuse_domain' WHEN event_type = 'signup' THEN 'ownership' WHEN event_type = 'purchase' THEN "
@@ -422,7 +423,7 @@ def submissions(v: Views, events: DataFrame | None = None) -> DataFrame:
     t = v.tables
     owners = t.orders.groupBy(F.col("o_custkey").alias("user_id")).agg(
         F.min("o_orderkey").alias("first_order"), F.max("o_orderkey").alias("last_order"))
-    return v._shape((t.events if events is None else events).join(owners, "user_id"), SUBMISSION)
+    return v._shape((t.events if events is None else events).join(owners, "user_id", "left"), SUBMISSION)
 
 
 def submitted_answers(v: Views, events: DataFrame | None = None) -> DataFrame:
