@@ -188,7 +188,7 @@ SELECT answer_id, coalesce(l.name, '') AS label FROM a_answers a JOIN a_requirem
 LEFT JOIN l ON l.collection = r.master_data_type AND l.id = a.answer_value"""))
 def _(t, v):
     typed = v.answers.join(v.requirements.select("requirement_id", "master_data_type"), "requirement_id")
-    named = with_label(typed, label_table(v), F.col("master_data_type"), F.col("answer_value"), "label")
+    named = with_label(typed, label_table(v), F.col("master_data_type"), F.col("answer_value"), "label", ["answer_id"])
     return named.select("answer_id", F.coalesce("label", F.lit("")).alias("label"))
 
 

@@ -53,15 +53,18 @@ def display_label_table(v) -> DataFrame:
     return fixed.unionByName(users)
 
 
-def spread(key: Column, known: Column, df: DataFrame) -> Column:
-    """A join key for rows of which many have none: those get a key of their own that matches nothing, so they don't meet in one task."""
-    plain = [c for c, kind in df.dtypes if "map" not in kind]
+def spread(key: Column, known: Column, df: DataFrame, by: list[str] | None = None) -> Column:
+    """A join key for rows of which many have none: those get a key of their own that matches nothing, so they don't meet in one task.
+
+    by: columns that tell rows well enough apart for that (all of them, if none is named or there).
+    """
+    plain = [c for c in by or [] if c in df.columns] or [c for c, kind in df.dtypes if "map" not in kind]
     return F.when(known & key.isNotNull(), key).otherwise(F.concat(F.lit("\0"), F.xxhash64(*plain).cast("string")))
 
 
-def with_label(df: DataFrame, labels: DataFrame, collection: Column, value: Column, out: str) -> DataFrame:
-    """Add the name of a polymorphic reference, NULL where there is none."""
-    keyed = df.withColumns({"_collection": F.coalesce(collection, F.lit("")), "_id": spread(value, collection.isNotNull(), df)})
+def with_label(df: DataFrame, labels: DataFrame, collection: Column, value: Column, out: str, by: list[str] | None = None) -> DataFrame:
+    """Add the name of a polymorphic reference, NULL where there is none. by: as for spread."""
+    keyed = df.withColumns({"_collection": F.coalesce(collection, F.lit("")), "_id": spread(value, collection.isNotNull(), df, by)})
     named = labels.select(F.col("collection").alias("_collection"), F.col("id").alias("_id"), F.col("name").alias(out))
     return keyed.join(named, ["_collection", "_id"], "left").drop("_collection", "_id")
 

@@ -4,7 +4,7 @@ A submission is applied completely or not at all. Whether it may be applied depe
 left (earlier stages complete), and six answers change the parent row that sibling products share. Instead of
 replaying submissions one by one, the accepted set is found as a fixed point: assume every valid submission is
 accepted, derive the state before each one with running last-values, re-decide all of them, repeat until nothing
-changes. The first n decisions of every chain are final after n passes, so the result equals the sequential one,
+changes; initiatives whose decisions stay leave the worklist. The first n decisions of every chain are final after n passes, so the result equals the sequential one,
 and the number of passes follows the depth of dependent refusals, not the number of submissions.
 
 Hot initiatives: submissions get a block number from their position, windows run within (initiative, block), and
@@ -13,7 +13,7 @@ the last values of earlier blocks are carried over. No task holds more than one
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,7 +65,7 @@ def validate_answers(rows: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.select(F.col("collection").alias("_collection"), F.col("id").alias("_id"), F.lit(True).alias("_known"))
     df = df.withColumns({
         "_collection": F.when(how == "reference", collection).otherwise(""),
-        "_id": spread(F.coalesce(F.nullif("_ref", F.lit("")), default_ref), how == "reference", df),
+        "_id": spread(F.coalesce(F.nullif("_ref", F.lit("")), default_ref), how == "reference", df, ["submission_id"]),
     }).join(known.distinct(), ["_collection", "_id"], "left").drop("_id")
     ref, unknown = F.col("_ref"), F.col("_known").isNull()
 
@@ -159,55 +159,75 @@ def _subdomain_before(df: DataFrame, blocks: int) -> DataFrame:
 
 # --------------------------------------------------------------------------------------------- the plan
 
-@dataclass
-class Applied:
-    """New states and what happened. results: one row per submission with accepted, advanced and error."""
-
-    products: DataFrame
-    requests: DataFrame
-    answers: DataFrame
-    events: DataFrame
-    results: DataFrame
-
-
-def _flag(r: model.Rule) -> str:
-    return f"s_{r.rule_id}"
-
-
-def _masked(df: DataFrame, columns) -> dict[str, Column]:
-    return {c: F.when(F.col("accepted"), F.col(c)) for c in columns}
-
-
-def _complete_before(df: DataFrame, rules, stages, blocks: int) -> DataFrame:
-    """Add ok_<stage>: whether the stage is complete before each submission, and sub_before / sub_after."""
-    needed = [r for r in rules if r.required and r.key != "lead_subdomain_id"]
-    own = [r for r in needed if r.key not in _PARENT]
-    parent = [r for r in needed if r.key in _PARENT]
-    masked = lambda r: F.when(F.col("accepted"), F.col(_flag(r)))
-    df = running_values(df, _INITIATIVE, {f"p_{r.rule_id}": ("last", masked(r)) for r in parent}, blocks)
-    df = running_values(df, _PRODUCT, {f"p_{r.rule_id}": ("last", masked(r)) for r in own}, blocks)
-    df = _subdomain_before(df, blocks)
-    out = {}
-    for stage_id, _, _ in stages:
-        done, after = F.lit(True), F.lit(True)
-        for r in rules:
-            if r.stage_id != stage_id or not r.required:
-                continue
-            if r.key == "lead_subdomain_id":
-                done, after = done & (F.col("sub_before") != ""), after & (F.col("sub_after") != "")
-                continue
-            before = F.coalesce(F.col(f"p_{r.rule_id}"), F.col(f"b_{r.rule_id}"), F.lit(False))
-            done, after = done & before, after & F.coalesce(F.col(_flag(r)), before)
-        out[f"ok_{stage_id}"] = done
-        out[f"after_{stage_id}"] = after
-    return df.withColumns(out)
-
-
-def _pick(prefix: str, stages) -> Column:
-    m = F.lit(False)
-    for stage_id, _, _ in stages:
-        m = F.when(F.col("stage_id") == stage_id, F.col(f"{prefix}_{stage_id}")).otherwise(m)
-    return m
+class Form:
+    """Rules and stages as SQL texts over bit sets: one bit for each required rule, 62 to a bigint.
+
+    Columns m<k>, s<k>: which rules a submission writes and which of them it fills; b<k>: which are filled in the stored state. The
+    subdomain is looked at separately, as it can be cleared. Every pass uses the same columns, so they are made once.
+    """
+
+    def __init__(self, rules, stages):
+        self.rules, self.stages = rules, sorted(stages, key=lambda s: s[2])
+        self.needed = [r for r in rules if r.required and r.key != "lead_subdomain_id"]
+        self.place = {r.rule_id: divmod(i, 62) for i, r in enumerate(self.needed)}
+        self.words = range(max(1, -(-len(self.needed) // 62)))
+        self.parent = {f"p_{r.rule_id}": ("last", self._written(r)) for r in self.needed if r.key in _PARENT}
+        self.own = {f"p_{r.rule_id}": ("last", self._written(r)) for r in self.needed if r.key not in _PARENT}
+        here = {k: [(r, i) for r in self.needed for w, i in [self.place[r.rule_id]] if w == k] for k in self.words}
+        self.before = {
+            f"before{k}": F.expr(" | ".join(
+                f"shiftleft(cast(coalesce(`p_{r.rule_id}`, (shiftright(b{k}, {i}) & 1) = 1) as bigint), {i})" for r, i in here[k]) or "0L")
+            for k in self.words}
+        self.after = {f"after{k}": F.expr(f"(before{k} & ~m{k}) | s{k}") for k in self.words}
+        self.unlocked = F.expr(" AND ".join(
+            f"(stage_number <= {number} OR {self._filled('before', s, 'sub_before')})" for s, _, number in self.stages))
+        self.completes = F.expr("CASE stage_id " + " ".join(
+            f"WHEN {model.sql_literal(s)} THEN {self._filled('after', s, 'sub_after')}" for s, _, _ in self.stages) + " ELSE false END")
+
+    def _written(self, r) -> Column:
+        k, i = self.place[r.rule_id]
+        return F.expr(f"CASE WHEN accepted AND (shiftright(m{k}, {i}) & 1) = 1 THEN (shiftright(s{k}, {i}) & 1) = 1 END")
+
+    def _filled(self, prefix: str, stage: str, sub: str) -> str:
+        masks = [0 for _ in self.words]
+        tests = [f"{sub} <> ''" for r in self.rules if r.stage_id == stage and r.required and r.key == "lead_subdomain_id"]
+        for r in self.needed:
+            if r.stage_id == stage:
+                k, i = self.place[r.rule_id]
+                masks[k] |= 1 << i
+        tests += [f"({prefix}{k} & {mask}L) = {mask}L" for k, mask in enumerate(masks) if mask]
+        return "(" + (" AND ".join(tests) or "true") + ")"
+
+    def bits(self) -> list[tuple[str, int, int]]:
+        """(requirement_id, _word, _bit) of the rules that have one."""
+        return [(rule_id, k, 1 << i) for rule_id, (k, i) in self.place.items()]
+
+
+def _decide(df: DataFrame, form: Form, blocks: int) -> DataFrame:
+    """Add _accepted (by the state that the rows accepted so far leave), unlocked, completes and the subdomain before and after."""
+    if form.parent:
+        df = running_values(df, _INITIATIVE, form.parent, blocks)
+    if form.own:
+        df = running_values(df, _PRODUCT, form.own, blocks)
+    df = _subdomain_before(df, blocks).withColumns(form.before).withColumns(form.after).withColumn("unlocked", form.unlocked)
+    return df.withColumn("_accepted", F.col("valid") & F.col("unlocked")).withColumn("completes", F.col("_accepted") & form.completes)
+
+
+_DECIDED = ["unlocked", "completes", "sub_before", "sub_after", "sub_cleared_at", "sub_written_at"]
+
+
+def _settle(subs: DataFrame, form: Form, blocks: int) -> DataFrame:
+    """The decisions at the fixed point. Initiatives do not depend on each other: those without a changed decision leave the worklist."""
+    columns, settled = subs.columns, []
+    while True:
+        decided = cut_lineage(_decide(subs, form, blocks).select(*columns, "_accepted", *_DECIDED))
+        changed = cut_lineage(decided.where("_accepted <> accepted").select("request_id").distinct())
+        if changed.isEmpty():
+            settled.append(decided)
+            return cut_lineage(union_all([d.select(*columns, *_DECIDED) for d in settled]))
+        settled.append(decided.join(changed, "request_id", "left_anti"))
+        again = decided.join(changed, "request_id", "left_semi")
+        subs = again.select(*[F.col("_accepted").alias("accepted") if c == "accepted" else F.col(c) for c in columns])
 
 
 def apply_answers(
@@ -220,66 +240,64 @@ def apply_answers(
     submissions: submission_id, data_product_id, stage_id, status_id, updated_by, submitted_at.
     submitted: submission_id, position, requirement_id, answer_value; unknown requirements are ignored.
     """
-    rules = rules or model.RULES
-    stages = sorted(stages or model.STAGES, key=lambda s: s[2])
+    rules, stages = wf.form_of(v, rules, stages)
+    form = Form(rules, stages)
     heads = check_headers(submissions, v.products, v.requests, stages, v.statuses, mail_domain)
     heads, blocks = in_blocks(heads, ["request_id"], [F.col("submitted_at"), F.col("submission_id")], block_rows)
+    known = heads.where("header_error IS NULL")
 
     # every answer of a known rule of the submitted stage, checked
-    rule_table = model.literal_table(
-        v.spark, [(r.rule_id, r.stage_id, r.key, r.label, r.input_type, r.master_type) for r in rules],
-        ["requirement_id", "stage_id", "requirement_key", "label", "input_type", "master_data_type"])
     writes = latest_per_key(submitted.select("submission_id", "requirement_id", "position", "answer_value"),
                             ["submission_id", "requirement_id"], ["position"])
-    writes = writes.join(rule_table, "requirement_id").join(
-        heads.where("header_error IS NULL").select("submission_id", "stage_id", "data_product_id", "request_id", "pos", "submitted_at"),
-        ["submission_id", "stage_id"])
-    sub_domains = v.subdomains.select(F.col("subdomain_id").alias("stored_value"), F.col("domain_id").alias("_sub_domain"))
-    writes = validate_answers(writes, label_table(v)).join(sub_domains, "stored_value", "left")
-    writes = cut_lineage(writes)
-
-    # one wide row per submission: what it writes, per rule, as completeness flags
-    known = F.col("shown_value")
-    flags = [F.max(F.when(F.col("requirement_id") == r.rule_id, wf.complete_flag(r, known))).alias(_flag(r))
-             for r in rules if r.required and r.key != "lead_subdomain_id"]
+    writes = writes.join(rule_table(v.spark, form), "requirement_id").join(
+        known.select("submission_id", "stage_id", "data_product_id", "request_id", "pos", "submitted_at"), ["submission_id", "stage_id"])
+    writes = cut_lineage(checked_writes(v, writes))
+
+    # one narrow row per submission: what it writes, as bits
+    fills = F.when(F.col("input_type") == "checkbox", strip("shown_value") == "true").otherwise(strip("shown_value") != "")
     per_submission = writes.groupBy("submission_id").agg(
         F.min_by("answer_error", F.when(F.col("answer_error").isNotNull(), F.col("position"))).alias("answer_error"),
-        F.max(F.when(F.col("requirement_key") == "lead_domain_id", known)).alias("w_domain"),
-        F.max(F.when(F.col("requirement_key") == "lead_subdomain_id", known)).alias("w_sub"),
+        F.max(F.when(F.col("requirement_key") == "lead_domain_id", F.col("shown_value"))).alias("w_domain"),
+        F.max(F.when(F.col("requirement_key") == "lead_subdomain_id", F.col("shown_value"))).alias("w_sub"),
         F.max(F.when(F.col("requirement_key") == "lead_subdomain_id", F.col("_sub_domain"))).alias("w_sub_domain"),
-        *flags)
-
-    # completeness flags of the stored state
-    stored = wf.with_parent_values(v.products, v.requests).join(wf.answered_flags(v.answers, rules), "data_product_id", "left")
+        *[F.coalesce(F.bit_or(F.when(F.col("_word") == k, F.col("_bit"))), F.lit(0)).cast("bigint").alias(f"m{k}") for k in form.words],
+        *[F.coalesce(F.bit_or(F.when((F.col("_word") == k) & fills, F.col("_bit"))), F.lit(0)).cast("bigint").alias(f"s{k}") for k in form.words])
+
+    # the stored state of the products that are submitted for, likewise
+    touched = cut_lineage(known.select("data_product_id").distinct())
+    own = v.products.join(touched, "data_product_id", "left_semi")
+    answers = v.answers.join(touched, "data_product_id", "left_semi")
+    stored = wf.with_parent_values(own, v.requests).join(wf.answered_flags(answers, rules), "data_product_id", "left")
     base_sub = v.subdomains.select(F.col("subdomain_id").alias("lead_subdomain_id"), F.col("domain_id").alias("b_sub_domain"))
+    filled = {k: F.lit(0).cast("bigint") for k in form.words}
+    for r in form.needed:
+        k, i = form.place[r.rule_id]
+        there = wf.complete_flag(r, wf.shown_column(r.key)) if r.key in (_OWN | _PARENT) else F.coalesce(F.col(f"ok_{r.rule_id}"), F.lit(False))
+        filled[k] = filled[k].bitwiseOR(F.when(there, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
     base = stored.join(base_sub, "lead_subdomain_id", "left").select(
         "data_product_id", F.col("lead_domain_id").alias("b_domain"), F.col("lead_subdomain_id").alias("b_sub"), "b_sub_domain",
-        *[(wf.complete_flag(r, wf.shown_column(r.key)) if r.key in (_OWN | _PARENT)
-           else F.coalesce(F.col(f"ok_{r.rule_id}"), F.lit(False))).alias(f"b_{r.rule_id}")
-          for r in rules if r.required and r.key != "lead_subdomain_id"])
+        *[c.alias(f"b{k}") for k, c in filled.items()])
 
-    subs = heads.where("header_error IS NULL").select(
-        "submission_id", "request_id", "data_product_id", "pos", "block", "stage_id", "stage_number", "status_error")
+    subs = known.select("submission_id", "request_id", "data_product_id", "pos", "block", "stage_id", "stage_number", "status_error")
     subs = subs.join(per_submission, "submission_id", "left").join(base, "data_product_id")
+    subs = subs.fillna(0, [f"{c}{k}" for c in "ms" for k in form.words])
     subs = subs.withColumn("valid", F.col("answer_error").isNull() & F.col("status_error").isNull())
-    subs = cut_lineage(subs.withColumn("accepted", F.col("valid")))
+    decided = _settle(cut_lineage(subs.withColumn("accepted", F.col("valid"))), form, blocks)
+    moves = _advances(decided, v.products, stages)
+    return Applied(v, rules, stages, heads, writes, decided, moves, blocks)
 
-    unlocked = F.lit(True)
-    for stage_id, _, number in stages:
-        unlocked = unlocked & ((F.col("stage_number") <= number) | F.col(f"ok_{stage_id}"))
-    while True:
-        state = _complete_before(subs, rules, stages, blocks)
-        decided = cut_lineage(state.select(
-            *subs.columns, (F.col("valid") & unlocked).alias("_accepted"), unlocked.alias("unlocked"),
-            (F.col("valid") & unlocked & _pick("after", stages)).alias("completes"), "sub_before", "sub_after", "sub_cleared_at",
-            "sub_written_at"))
-        unstable = decided.where(F.col("_accepted") != F.col("accepted")).limit(1).count()
-        if not unstable:
-            break
-        subs = decided.select(*[F.col("_accepted").alias("accepted") if c == "accepted" else F.col(c) for c in subs.columns])
 
-    moves = _advances(decided, v.products, stages)
-    return _outcome(v, heads, writes, decided, moves, rules, stages, blocks)
+def rule_table(spark, form: Form) -> DataFrame:
+    """The rules with their bits, as a literal table."""
+    bits = {rule_id: (k, bit) for rule_id, k, bit in form.bits()}
+    rows = [(r.rule_id, r.stage_id, r.key, r.label, r.input_type, r.master_type, *bits.get(r.rule_id, (-1, 0))) for r in form.rules]
+    return model.literal_table(spark, rows, ["requirement_id", "stage_id", "requirement_key", "label", "input_type", "master_data_type", "_word", "_bit"])
+
+
+def checked_writes(v, writes: DataFrame) -> DataFrame:
+    """Answers with their rule's fields, checked, and the domain that a submitted subdomain is in."""
+    homes = v.subdomains.select(F.col("subdomain_id").alias("stored_value"), F.col("domain_id").alias("_sub_domain"))
+    return validate_answers(writes, label_table(v)).join(homes, "stored_value", "left")
 
 
 def _advances(decided: DataFrame, products: DataFrame, stages) -> DataFrame:
@@ -326,120 +344,140 @@ def _overlay(df: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Dat
     }).select(*df.columns, *[c for c in new.columns if c != key and not c.startswith("n_")])
 
 
-def _outcome(v, heads, writes, decided, moves, rules, stages, blocks) -> Applied:
-    last_stage = stages[-1][0]
-    accepted = decided.where("accepted").select(
-        "submission_id", "request_id", "data_product_id", "pos", "block", "stage_id", "completes", "sub_before", "sub_after",
-        "sub_cleared_at", "sub_written_at")
-    head_columns = heads.select("submission_id", "new_status_id", "new_status_name", "base_status_id", "base_stage_id",
-                                "actor", "stage_name", "submitted_at")
-    entered_last = moves.where(F.col("to_stage_id") == last_stage).select("data_product_id", F.col("pos").alias("_last_since"))
-    step = moves.select("submission_id", "from_stage_id", "to_stage_id")
-    acc = accepted.join(head_columns, "submission_id").join(step, "submission_id", "left").join(entered_last, "data_product_id", "left")
-    in_last = (F.col("base_stage_id") == last_stage) | (F.col("pos") > F.col("_last_since"))
-    finished = F.coalesce(F.col("completes") & (F.col("stage_id") == last_stage) & in_last, F.lit(False))
-    moved_status = F.when(F.col("to_stage_id").isNotNull(), F.when(F.col("to_stage_id") == "operate", "operating").otherwise("in_review"))
-    acc = acc.withColumn("finished", finished).withColumn(
-        "end_status", F.coalesce(moved_status, F.when(F.col("finished"), "operating"), F.col("new_status_id")))
-    acc = running_values(acc, _PRODUCT, {"_status": ("last", F.col("end_status"))}, blocks)
-    acc = cut_lineage(acc.withColumn("status_before", F.coalesce("_status", "base_status_id")))
-
-    # ---- changes: submitted value against what was shown before
-    done = writes.join(accepted.select("submission_id", "block", "sub_before"), "submission_id")
-    key_of = lambda parent: F.col("requirement_key").isin(list(_PARENT)) == parent
-    before = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-
-    def with_previous(rows, unit):
-        if blocks == 1:
-            w = before.partitionBy(unit, "requirement_id")
-            return rows.withColumn("_prev", F.last("shown_value").over(w))
-        group = [unit, "requirement_id"]
-        w = before.partitionBy(*group, "block")
-        ends = rows.groupBy(*group, "block").agg(F.max_by("shown_value", "pos").alias("_end"))
-        wb = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-        ends = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(wb)).drop("_end")
-        return rows.withColumn("_prev", F.last("shown_value").over(w)).join(ends, [*group, "block"]).withColumn(
-            "_prev", F.coalesce("_prev", "_carry")).drop("_carry")
-
-    touched = accepted.select("data_product_id").distinct()
-    base_values = wf.rules_of_products(
-        v.products.join(touched, "data_product_id", "left_semi"), v.requests,
-        v.answers.join(touched, "data_product_id", "left_semi"), rules,
-    ).select("data_product_id", "requirement_id", F.col("answer_value").alias("_base"))
-    compared = with_previous(done.where(key_of(True)), "request_id").unionByName(
-        with_previous(done.where(key_of(False)), "data_product_id")).join(base_values, ["data_product_id", "requirement_id"], "left")
-    old = F.when(F.col("requirement_key") == "lead_subdomain_id", F.col("sub_before")).otherwise(
-        F.coalesce("_prev", "_base", F.lit("")))
-    changed = compared.withColumns({"old": strip(old), "new": strip("clean_value")}).where(F.col("old") != F.col("new"))
-    lines = ch.change_lines(changed.select("submission_id", "position", "requirement_id", "requirement_key", "label",
-                                           "input_type", "master_data_type", "old", "new"), display_label_table(v))
-    described = ch.describe_changes(acc.select("submission_id"), lines, ["submission_id"], ["position", "requirement_id"])
-
-    # ---- events
-    names = v.statuses.select(F.col("status_id").alias("status_before"), F.col("status_name").alias("_old_name"))
-    ev = acc.join(described, "submission_id").join(names, "status_before", "left")
-    old_status = F.when(strip("status_before") == "", F.lit("empty")).otherwise(F.coalesce("_old_name", log_text("status_before")))
-    common = {"entity_type": F.lit("product"), "request_id": F.col("request_id"), "data_product_id": F.col("data_product_id")}
-    at = F.col("submitted_at")
-
-    def seq(n):
-        return F.concat("submission_id", F.lit(f".{n}"))
-
-    status_events = ch.timeline_events(
-        ev.where(F.col("new_status_id").isNotNull() & ~F.col("new_status_id").eqNullSafe(F.col("status_before"))),
-        {**common, "event_type": F.lit("status_changed"), "event_label": F.lit("Status updated"),
-         "event_detail": F.concat(F.lit("Status changed from "), old_status, F.lit(" to "), F.col("new_status_name"), F.lit(".")),
-         "stage_id": F.col("stage_id"), "status_id": F.col("new_status_id"), "created_by": F.col("actor")}, at, seq(1))
-    saved = ch.timeline_events(
-        ev, {**common, "event_type": F.lit("answers_saved"), "event_label": F.concat("stage_name", F.lit(" saved")),
-             "event_detail": F.col("event_detail"), "stage_id": F.col("stage_id"), "status_id": F.col("new_status_id"),
-             "created_by": F.col("actor")}, at, seq(2))
-    advanced = ch.timeline_events(
-        ev.where("to_stage_id IS NOT NULL"),
-        {**common, "event_type": F.lit("stage_advanced"), "event_label": F.lit("Stage advanced"),
-         "event_detail": F.concat(F.lit("Advanced from "), F.col("from_stage_id"), F.lit(" to "), F.col("to_stage_id"), F.lit(".")),
-         "stage_id": F.col("to_stage_id"), "from_stage_id": F.col("from_stage_id"), "to_stage_id": F.col("to_stage_id"),
-         "status_id": F.col("end_status"), "created_by": F.lit("system")}, at, seq(3))
-    completed = ch.timeline_events(
-        ev.where("finished"),
-        {**common, "event_type": F.lit("completed"), "event_label": F.lit("Workflow completed"),
-         "event_detail": F.lit("All stages are complete."), "stage_id": F.col("stage_id"), "status_id": F.lit("operating"),
-         "created_by": F.lit("admin")}, at, seq(4))
-    events = union_all([status_events, saved, advanced, completed])
-
-    # ---- new states
-    ends = acc.groupBy("data_product_id").agg(
-        F.max_by("end_status", F.when(F.col("end_status").isNotNull(), F.col("pos"))).alias("_status"),
-        F.max_by("to_stage_id", F.when(F.col("to_stage_id").isNotNull(), F.col("pos"))).alias("_stage"),
-        F.max_by("submitted_at", "pos").alias("_at"), F.max_by("sub_after", "pos").alias("_sub"))
-    products = _overlay(v.products, _last_written(done, "data_product_id", PRODUCT_WRITE_KEYS), "data_product_id", PRODUCT_WRITE_KEYS)
-    products = products.join(ends, "data_product_id", "left").withColumns({
-        "lead_subdomain_id": F.when(F.col("_at").isNotNull(), F.nullif("_sub", F.lit(""))).otherwise(F.col("lead_subdomain_id")),
-        "status_id": F.coalesce("_status", "status_id"),
-        "current_stage_id": F.coalesce("_stage", "current_stage_id"),
-        "note": F.when(F.col("_stage").isNotNull(), F.lit(ADVANCE_NOTE)).otherwise(F.col("note")),
-        "updated_at": F.coalesce("_at", "updated_at"),
-    }).select(*v.products.columns)
-    requests = _overlay(v.requests, _last_written(done, "request_id", model.PARENT_VALUE_KEYS), "request_id", model.PARENT_VALUE_KEYS)
-
-    latest = latest_per_key(
-        done.select("data_product_id", "requirement_id", "clean_value", "submitted_at", "pos"), ["data_product_id", "requirement_id"], ["pos"])
-    upserts = latest.select(
-        F.md5(F.concat_ws("|", "data_product_id", "requirement_id")).alias("answer_id"), "data_product_id", "requirement_id",
-        F.col("clean_value").alias("answer_value"), F.col("submitted_at").alias("updated_at"))
-    answers = merge(v.answers, upserts, ["data_product_id", "requirement_id"], update=["answer_value", "updated_at"])
-    dropped = acc.groupBy("data_product_id").agg(
-        F.max("sub_cleared_at").alias("_cleared"), F.max("sub_written_at").alias("_written")).where("_cleared >= _written").select(
-        "data_product_id", F.lit(model.SUBDOMAIN_RULE_ID).alias("requirement_id"))
-    answers = answers.join(dropped, ["data_product_id", "requirement_id"], "left_anti").select(*v.answers.columns)
-
-    flags = decided.select("submission_id", "accepted", "unlocked", "answer_error")
-    results = heads.select("submission_id", "data_product_id", "stage_id", "header_error", "status_error").join(
-        flags, "submission_id", "left").join(step, "submission_id", "left").select(
-        "submission_id", "data_product_id", "stage_id", F.coalesce("accepted", F.lit(False)).alias("accepted"),
-        F.col("to_stage_id").isNotNull().alias("advanced"),
-        F.coalesce("header_error", F.when(~F.col("unlocked"), F.lit(LOCKED)), "answer_error", "status_error").alias("error"))
-    return Applied(products, requests, answers, events, results)
+class Applied:
+    """New states and what happened; each part is planned when it is asked for. results: one row per submission with accepted, advanced and error."""
+
+    def __init__(self, v, rules, stages, heads, writes, decided, moves, blocks):
+        self.v, self.rules, self.stages = v, rules, stages
+        self.heads, self.writes, self.decided, self.moves, self.blocks = heads, writes, decided, moves, blocks
+
+    @property
+    def steps(self) -> DataFrame:
+        return self.moves.select("submission_id", "from_stage_id", "to_stage_id")
+
+    @cached_property
+    def accepted(self) -> DataFrame:
+        """One row per accepted submission with what it did to its product: stage, status and subdomain before and after."""
+        last_stage = self.stages[-1][0]
+        accepted = self.decided.where("accepted").select(
+            "submission_id", "request_id", "data_product_id", "pos", "block", "stage_id", "completes", "sub_before", "sub_after",
+            "sub_cleared_at", "sub_written_at")
+        head_columns = self.heads.select("submission_id", "new_status_id", "new_status_name", "base_status_id", "base_stage_id",
+                                         "actor", "stage_name", "submitted_at")
+        entered_last = self.moves.where(F.col("to_stage_id") == last_stage).select("data_product_id", F.col("pos").alias("_last_since"))
+        acc = accepted.join(head_columns, "submission_id").join(self.steps, "submission_id", "left").join(entered_last, "data_product_id", "left")
+        in_last = (F.col("base_stage_id") == last_stage) | (F.col("pos") > F.col("_last_since"))
+        finished = F.coalesce(F.col("completes") & (F.col("stage_id") == last_stage) & in_last, F.lit(False))
+        moved_status = F.when(F.col("to_stage_id").isNotNull(), F.when(F.col("to_stage_id") == "operate", "operating").otherwise("in_review"))
+        acc = acc.withColumn("finished", finished).withColumn(
+            "end_status", F.coalesce(moved_status, F.when(F.col("finished"), "operating"), F.col("new_status_id")))
+        acc = running_values(acc, _PRODUCT, {"_status": ("last", F.col("end_status"))}, self.blocks)
+        return cut_lineage(acc.withColumn("status_before", F.coalesce("_status", "base_status_id")))
+
+    @cached_property
+    def done(self) -> DataFrame:
+        """The answers of the accepted submissions."""
+        return self.writes.join(self.decided.where("accepted").select("submission_id", "block", "sub_before"), "submission_id")
+
+    @cached_property
+    def changed(self) -> DataFrame:
+        """The answers that differ from what was shown before: old and new."""
+        key_of = lambda parent: F.col("requirement_key").isin(list(_PARENT)) == parent
+        before = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+
+        def with_previous(rows, unit):
+            if self.blocks == 1:
+                return rows.withColumn("_prev", F.last("shown_value").over(before.partitionBy(unit, "requirement_id")))
+            group = [unit, "requirement_id"]
+            w = before.partitionBy(*group, "block")
+            ends = rows.groupBy(*group, "block").agg(F.max_by("shown_value", "pos").alias("_end"))
+            wb = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+            ends = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(wb)).drop("_end")
+            return rows.withColumn("_prev", F.last("shown_value").over(w)).join(ends, [*group, "block"]).withColumn(
+                "_prev", F.coalesce("_prev", "_carry")).drop("_carry")
+
+        v, touched = self.v, self.decided.where("accepted").select("data_product_id").distinct()
+        base_values = wf.rules_of_products(
+            v.products.join(touched, "data_product_id", "left_semi"), v.requests,
+            v.answers.join(touched, "data_product_id", "left_semi"), self.rules,
+        ).select("data_product_id", "requirement_id", F.col("answer_value").alias("_base"))
+        compared = with_previous(self.done.where(key_of(True)), "request_id").unionByName(
+            with_previous(self.done.where(key_of(False)), "data_product_id")).join(base_values, ["data_product_id", "requirement_id"], "left")
+        old = F.when(F.col("requirement_key") == "lead_subdomain_id", F.col("sub_before")).otherwise(
+            F.coalesce("_prev", "_base", F.lit("")))
+        return compared.withColumns({"old": strip(old), "new": strip("clean_value")}).where(F.col("old") != F.col("new"))
+
+    @cached_property
+    def events(self) -> DataFrame:
+        lines = ch.change_lines(self.changed.select("submission_id", "position", "requirement_id", "requirement_key", "label",
+                                                    "input_type", "master_data_type", "old", "new"), display_label_table(self.v))
+        described = ch.describe_changes(self.accepted.select("submission_id"), lines, ["submission_id"], ["position", "requirement_id"])
+        names = self.v.statuses.select(F.col("status_id").alias("status_before"), F.col("status_name").alias("_old_name"))
+        ev = self.accepted.join(described, "submission_id").join(names, "status_before", "left")
+        old_status = F.when(strip("status_before") == "", F.lit("empty")).otherwise(F.coalesce("_old_name", log_text("status_before")))
+        common = {"entity_type": F.lit("product"), "request_id": F.col("request_id"), "data_product_id": F.col("data_product_id")}
+
+        def event(n, condition, **columns):
+            entry = ch.timeline_event(common | columns, F.col("submitted_at"), F.concat("submission_id", F.lit(f".{n}")))
+            return F.when(condition, entry)
+
+        stage, status = {"stage_id": F.col("stage_id")}, {"status_id": F.col("new_status_id"), "created_by": F.col("actor")}
+        entries = [
+            event(1, F.col("new_status_id").isNotNull() & ~F.col("new_status_id").eqNullSafe(F.col("status_before")), event_type=F.lit("status_changed"),
+                  event_label=F.lit("Status updated"), event_detail=F.concat(F.lit("Status changed from "), old_status, F.lit(" to "), F.col("new_status_name"), F.lit(".")),
+                  **stage, **status),
+            event(2, F.lit(True), event_type=F.lit("answers_saved"), event_label=F.concat("stage_name", F.lit(" saved")), event_detail=F.col("event_detail"),
+                  **stage, **status),
+            event(3, F.col("to_stage_id").isNotNull(), event_type=F.lit("stage_advanced"), event_label=F.lit("Stage advanced"),
+                  event_detail=F.concat(F.lit("Advanced from "), F.col("from_stage_id"), F.lit(" to "), F.col("to_stage_id"), F.lit(".")),
+                  stage_id=F.col("to_stage_id"), from_stage_id=F.col("from_stage_id"), to_stage_id=F.col("to_stage_id"), status_id=F.col("end_status"),
+                  created_by=F.lit("system")),
+            event(4, F.col("finished"), event_type=F.lit("completed"), event_label=F.lit("Workflow completed"), event_detail=F.lit("All stages are complete."),
+                  status_id=F.lit("operating"), created_by=F.lit("admin"), **stage),
+        ]
+        return ev.select(F.inline(F.array_compact(F.array(*entries))))
+
+    @cached_property
+    def products(self) -> DataFrame:
+        v = self.v
+        ends = self.accepted.groupBy("data_product_id").agg(
+            F.max_by("end_status", F.when(F.col("end_status").isNotNull(), F.col("pos"))).alias("_status"),
+            F.max_by("to_stage_id", F.when(F.col("to_stage_id").isNotNull(), F.col("pos"))).alias("_stage"),
+            F.max_by("submitted_at", "pos").alias("_at"), F.max_by("sub_after", "pos").alias("_sub"))
+        products = _overlay(v.products, _last_written(self.done, "data_product_id", PRODUCT_WRITE_KEYS), "data_product_id", PRODUCT_WRITE_KEYS)
+        return products.join(ends, "data_product_id", "left").withColumns({
+            "lead_subdomain_id": F.when(F.col("_at").isNotNull(), F.nullif("_sub", F.lit(""))).otherwise(F.col("lead_subdomain_id")),
+            "status_id": F.coalesce("_status", "status_id"),
+            "current_stage_id": F.coalesce("_stage", "current_stage_id"),
+            "note": F.when(F.col("_stage").isNotNull(), F.lit(ADVANCE_NOTE)).otherwise(F.col("note")),
+            "updated_at": F.coalesce("_at", "updated_at"),
+        }).select(*v.products.columns)
+
+    @cached_property
+    def requests(self) -> DataFrame:
+        written = _last_written(self.done, "request_id", model.PARENT_VALUE_KEYS)
+        return _overlay(self.v.requests, written, "request_id", model.PARENT_VALUE_KEYS)
+
+    @cached_property
+    def answers(self) -> DataFrame:
+        keys, stored = ["data_product_id", "requirement_id"], self.v.answers
+        latest = latest_per_key(self.done.select(*keys, "clean_value", "submitted_at", "pos"), keys, ["pos"])
+        upserts = latest.select(
+            F.md5(F.concat_ws("|", *keys)).alias("answer_id"), *keys, F.col("clean_value").alias("answer_value"), F.col("submitted_at").alias("updated_at"))
+        answers = merge(stored, upserts, keys, update=["answer_value", "updated_at"])
+        dropped = self.accepted.groupBy("data_product_id").agg(
+            F.max("sub_cleared_at").alias("_cleared"), F.max("sub_written_at").alias("_written")).where("_cleared >= _written").select(
+            "data_product_id", F.lit(model.SUBDOMAIN_RULE_ID).alias("requirement_id"))
+        return answers.join(dropped, keys, "left_anti").select(*stored.columns)
+
+    @cached_property
+    def results(self) -> DataFrame:
+        flags = self.decided.select("submission_id", "accepted", "unlocked", "answer_error")
+        return self.heads.select("submission_id", "data_product_id", "stage_id", "header_error", "status_error").join(
+            flags, "submission_id", "left").join(self.steps, "submission_id", "left").select(
+            "submission_id", "data_product_id", "stage_id", F.coalesce("accepted", F.lit(False)).alias("accepted"),
+            F.col("to_stage_id").isNotNull().alias("advanced"),
+            F.coalesce("header_error", F.when(~F.col("unlocked"), F.lit(LOCKED)), "answer_error", "status_error").alias("error"))
 
 
 # --------------------------------------------------------------------------------------------- single steps
@@ -473,12 +511,13 @@ def advance_if_complete(v, saved: DataFrame, rules=None, stages=None) -> tuple[D
     A product moves one stage if the saved stage is its current one and complete. In the last stage it is marked
     operating and the completion is logged each time.
     """
-    rules, stages = rules or model.RULES, sorted(stages or model.STAGES, key=lambda s: s[2])
+    rules, stages = wf.form_of(v, rules, stages)
     nexts = dict(zip([s[0] for s in stages], [s[0] for s in stages[1:]] + [None]))
     next_of = F.create_map(*[F.lit(x) for a, b in nexts.items() if b for x in (a, b)])
     flags = wf.stage_flags(v.products, v.requests, v.answers, rules, stages)
     due = saved.join(flags, "data_product_id").where(F.col("stage_id") == F.col("current_stage_id"))
-    due = due.where(_pick("complete", stages)).select(
+    complete = F.expr("CASE stage_id " + " ".join(f"WHEN {model.sql_literal(s)} THEN `complete_{s}`" for s, _, _ in stages) + " ELSE false END")
+    due = due.where(complete).select(
         "data_product_id", "request_id", "stage_id", "saved_at", next_of[F.col("stage_id")].alias("to_stage_id"))
     to = F.col("to_stage_id")
     due = due.withColumn("new_status", F.when(to.isNull() | (to == "operate"), "operating").otherwise("in_review"))

@@ -53,8 +53,8 @@ def change_lines(changes: DataFrame, display_labels: DataFrame, out: str = "line
     """'label: old -> new' per change; ids are shown by name, long texts are shortened."""
     key, kind = F.col("requirement_key"), F.col("input_type")
     collection = shown_master_type(key, F.col("master_data_type"))
-    df = with_label(changes, display_labels, collection, F.col("old"), "_old_name")
-    df = with_label(df, display_labels, collection, F.col("new"), "_new_name")
+    df = with_label(changes, display_labels, collection, F.col("old"), "_old_name", ["submission_id"])
+    df = with_label(df, display_labels, collection, F.col("new"), "_new_name", ["submission_id"])
     line = F.concat(
         shown_label(key, F.col("label")), F.lit(": "), log_value(kind, F.col("old"), F.col("_old_name")),
         F.lit(" -> "), log_value(kind, F.col("new"), F.col("_new_name")))
@@ -70,12 +70,17 @@ def describe_changes(
         "event_detail", F.coalesce("event_detail", F.lit(NO_CHANGES)))
 
 
-def timeline_events(df: DataFrame, columns: dict[str, Column], created_at: Column, sequence: Column) -> DataFrame:
-    """Rows of the event log in its fixed layout, with ids that are the same on every run."""
+def timeline_event(columns: dict[str, Column], created_at: Column, sequence: Column) -> Column:
+    """One entry of the event log in its fixed layout, with an id that is the same on every run."""
     filled = {c: columns.get(c, F.lit(None)).cast("string") for c in model.TIMELINE_COLUMNS if c != "timeline_id"}
     filled["created_by"] = F.coalesce(filled["created_by"], F.lit("system"))
     filled["event_detail"] = F.coalesce(filled["event_detail"], F.lit(""))
     filled["created_at"] = created_at.cast("string")
     identity = F.md5(F.concat_ws("|", F.coalesce(filled["data_product_id"], filled["request_id"]),
                                  filled["event_type"], filled["created_at"], sequence.cast("string")))
-    return df.select(identity.alias("timeline_id"), *[filled[c].alias(c) for c in model.TIMELINE_COLUMNS[1:]])
+    return F.struct(identity.alias("timeline_id"), *[filled[c].alias(c) for c in model.TIMELINE_COLUMNS[1:]])
+
+
+def timeline_events(df: DataFrame, columns: dict[str, Column], created_at: Column, sequence: Column) -> DataFrame:
+    """One entry of the event log per row."""
+    return df.select(timeline_event(columns, created_at, sequence).alias("_event")).select("_event.*")

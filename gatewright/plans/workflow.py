@@ -16,6 +16,13 @@ from gatewright.operators.numbering import number_within
 _COLUMN_KEYS = set(model.PRODUCT_VALUE_KEYS) | set(model.PARENT_VALUE_KEYS)
 
 
+def form_of(v, rules=None, stages=None) -> tuple[list[model.Rule], list[tuple[str, str, int]]]:
+    """The rules and the stages in order, as the deployment's own tables say unless they are given."""
+    rules = rules or model.load_rules(v.requirements)
+    stages = stages or [tuple(r) for r in v.stages.select("stage_id", "stage_name", "stage_number").collect()]
+    return rules, sorted(stages, key=lambda s: s[2])
+
+
 def shown_column(key: str) -> Column:
     """The column that shows a requirement key, as text, '' for NULL."""
     return or_empty(F.col(key).cast("string"))
