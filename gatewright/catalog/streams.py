@@ -4,12 +4,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from gatewright.catalog import applied
 from gatewright.catalog.registry import query
 from gatewright.catalog.validation import MAIL
 from gatewright.session import checkpoint_dir
-from gatewright.sources.adapter import submissions, submitted_answers
+from gatewright.sources.adapter import submission_rows
 from gatewright.sources.tables import SCHEMAS
-from gatewright.streaming import live
+from gatewright.streaming import live, machine
 
 
 def _events(t):
@@ -47,13 +48,7 @@ def _(t, v):
     return live.upserted(t.customer.select("c_custkey", "c_mktsegment"), f"{root}/deltas", ["c_custkey"])
 
 
-@query("l4_stream_stage_machine")
+@query("l4_stream_stage_machine", applied.RESULTS)
 def _(t, v):
     """Equals j8_apply_answers on the same events; compared in the tests with several micro-batches."""
-    root = _root(t, "machine")
-
-    def derive(batch):
-        return submissions(v, batch), submitted_answers(v, batch)
-
-    live.run_available(_events(t), root, live.stage_machine_sink(v, root, derive, MAIL))
-    return live.read_deltas(t.spark, f"{root}/results").drop("batch")
+    return machine.run_stage_machine(v, submission_rows(v, _events(t)), _root(t, "machine"), MAIL).results

@@ -420,10 +420,7 @@ SUBMITTED_VALUE = (
 
 
 def submissions(v: Views, events: DataFrame | None = None) -> DataFrame:
-    t = v.tables
-    owners = t.orders.groupBy(F.col("o_custkey").alias("user_id")).agg(
-        F.min("o_orderkey").alias("first_order"), F.max("o_orderkey").alias("last_order"))
-    return v._shape((t.events if events is None else events).join(owners, "user_id", "left"), SUBMISSION)
+    return v._shape((v.tables.events if events is None else events).join(_owners(v), "user_id", "left"), SUBMISSION)
 
 
 def submitted_answers(v: Views, events: DataFrame | None = None) -> DataFrame:
@@ -434,6 +431,20 @@ def submitted_answers(v: Views, events: DataFrame | None = None) -> DataFrame:
         "submission_id", "sort_order AS position", "requirement_id", f"{SUBMITTED_VALUE} AS answer_value")
 
 
+def submission_rows(v: Views, events: DataFrame) -> DataFrame:
+    """Submissions with their answers, one row per answer (one of null requirement, if there are none): for streams of events."""
+    heads = events.join(_owners(v), "user_id", "left")
+    heads = heads.select("event_id", *[F.expr(e).alias(a) for a, e in SUBMISSION.items()])
+    rows = heads.select("*", F.inline_outer(_rules_for(F.col("stage_id"))))
+    return rows.select(*SUBMISSION, F.col("sort_order").alias("position"), "requirement_id",
+                       F.when(F.col("requirement_id").isNotNull(), F.expr(SUBMITTED_VALUE)).alias("answer_value"))
+
+
+def _owners(v: Views) -> DataFrame:
+    return v.tables.orders.groupBy(F.col("o_custkey").alias("user_id")).agg(
+        F.min("o_orderkey").alias("first_order"), F.max("o_orderkey").alias("last_order"))
+
+
 def _rule_entry(r: model.Rule):
     number = {s: n for s, _, n in model.STAGES}
     return F.struct(

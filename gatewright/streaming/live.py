@@ -8,15 +8,12 @@ publishing a compacted base (sources.sinks.publish) keeps the number of deltas s
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.operators.merge import latest_per_key, merge
-from gatewright.plans.answers import apply_answers
-from gatewright.session import cut_lineage
 
 
 def read_table_stream(spark, folder: str, file_glob: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
@@ -95,70 +92,3 @@ def upserted(base: DataFrame, root: str, keys: list[str], update: list[str] | No
     if deltas is None:
         return base
     return merge(base, deltas, keys, update=update, order=["batch"]).select(*base.columns)
-
-
-# --------------------------------------------------------------------------------------------- the stage machine
-
-@dataclass
-class StateView:
-    """Frames as apply_answers expects them: current state tables over a deployment's dimensions."""
-
-    base: object
-    products: DataFrame
-    requests: DataFrame
-    answers: DataFrame
-
-    def __getattr__(self, name):
-        return getattr(self.base, name)
-
-
-def current_rows(base: DataFrame, root: str, key: str, before: int | None = None) -> DataFrame:
-    """Rows of the latest delta per key, base rows where there is none. A delta holds all rows of its keys."""
-    deltas = read_deltas(base.sparkSession, root, before)
-    if deltas is None:
-        return base
-    tagged = base.withColumn("batch", F.lit(-1).cast("bigint")).unionByName(deltas.select(*base.columns, "batch"))
-    newest = deltas.groupBy(key).agg(F.max("batch").alias("_newest"))
-    return tagged.join(newest, key, "left").where(
-        F.col("batch") == F.coalesce("_newest", F.lit(-1))).select(*base.columns)
-
-
-def current_state(base, root: str, before: int | None = None) -> StateView:
-    """Products, requests and answers after all batches (before a given one).
-
-    Answers are replaced per product; a product whose answers all disappeared cannot come up, since a batch that
-    clears an answer stores others.
-    """
-    return StateView(
-        base,
-        current_rows(base.products, f"{root}/products", "data_product_id", before),
-        current_rows(base.requests, f"{root}/requests", "request_id", before),
-        current_rows(base.answers, f"{root}/answers", "data_product_id", before),
-    )
-
-
-def stage_machine_sink(
-    base, root: str, derive: Callable[[DataFrame], tuple[DataFrame, DataFrame]], mail_domain: str
-) -> Callable[[DataFrame, int], None]:
-    """Apply each micro-batch of submissions to the state of the touched initiatives, and store what changed.
-
-    Initiatives are the unit: siblings share parent columns. Only their rows are read into the plan and written
-    back, so the work of a batch follows the batch, not the state. derive: batch rows -> (submissions, answers).
-    """
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        submissions, submitted = derive(cut_lineage(batch))
-        state = current_state(base, root, before=batch_id)
-        owners = state.products.select("data_product_id", "request_id")
-        touched = cut_lineage(owners.join(submissions.select("data_product_id").distinct(), "data_product_id", "left_semi")
-                              .select("request_id").distinct())
-        products = cut_lineage(state.products.join(touched, "request_id", "left_semi").select(*base.products.columns))
-        requests = cut_lineage(state.requests.join(touched, "request_id", "left_semi").select(*base.requests.columns))
-        own = products.select("data_product_id")
-        answers = cut_lineage(state.answers.join(own, "data_product_id", "left_semi").select(*base.answers.columns))
-        out = apply_answers(StateView(base, products, requests, answers), submissions, submitted, mail_domain=mail_domain)
-        for name, frame in (("products", out.products), ("requests", out.requests), ("answers", out.answers),
-                            ("events", out.events), ("results", out.results)):
-            frame.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
-
-    return apply

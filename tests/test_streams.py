@@ -1,5 +1,7 @@
 """Streams give what the batch gives, in several micro-batches and when a batch is replayed."""
 
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from gatewright.operators.merge import latest_per_key, merge
 from gatewright.plans.answers import apply_answers
 from gatewright.sources import adapter
 from gatewright.sources.tables import SCHEMAS
-from gatewright.streaming import live
+from gatewright.streaming import live, machine
 
 KEYS = ["data_product_id", "requirement_id"]
 
@@ -54,19 +56,36 @@ def test_answer_upserts_and_replay(spark, views, tmp_path):
     assert once == again == sorted(tuple(r) for r in want.collect())
 
 
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def same_outcome(got, want):
+    assert rows_of(got.results.select(want.results.columns)) == rows_of(want.results)
+    assert rows_of(got.events) == rows_of(want.events)
+    assert rows_of(got.products) == rows_of(want.products)
+    assert rows_of(got.requests) == rows_of(want.requests)
+    assert rows_of(got.answers) == rows_of(want.answers)
+
+
 def test_stage_machine_equals_batch(spark, views, event_files, tmp_path):
     root = str(tmp_path)
-
-    def derive(batch):
-        return adapter.submissions(views, batch), adapter.submitted_answers(views, batch)
-
-    live.run_available(stream(spark, event_files, 3), root, live.stage_machine_sink(views, root, derive, "example.com"))
-    out = apply_answers(views, adapter.submissions(views), adapter.submitted_answers(views), mail_domain="example.com")
-    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
-    assert live.read_deltas(spark, f"{root}/results").select("batch").distinct().count() == 3
-    assert rows(live.read_deltas(spark, f"{root}/results").drop("batch")) == rows(out.results)
-    assert rows(live.read_deltas(spark, f"{root}/events").drop("batch")) == rows(out.events)
-    state = live.current_state(views, root)
-    assert rows(state.products) == rows(out.products)
-    assert rows(state.requests) == rows(out.requests)
-    assert rows(state.answers.drop("answer_id")) == rows(out.answers.drop("answer_id"))
+    got = machine.run_stage_machine(views, adapter.submission_rows(views, stream(spark, event_files, 3)), root, "example.com")
+    assert live.read_deltas(spark, f"{root}/decisions").select("batch").distinct().count() == 3
+    want = apply_answers(views, adapter.submissions(views), adapter.submitted_answers(views), mail_domain="example.com")
+    same_outcome(got, want)
+
+
+def test_stage_machine_goes_on_from_its_state(spark, views, event_files, tmp_path):
+    """A second run finds what the first one left; decisions of the first are not made again."""
+    source, root = tmp_path / "in", str(tmp_path / "machine")
+    source.mkdir()
+    shutil.copytree(f"{event_files}/1", source / "1")
+    rows = lambda: adapter.submission_rows(views, stream(spark, str(source), 1))
+    first = rows_of(machine.run_stage_machine(views, rows(), root, "example.com").results)
+    for k in ("2", "3"):
+        shutil.copytree(f"{event_files}/{k}", source / k)
+    got = machine.run_stage_machine(views, rows(), root, "example.com")
+    want = apply_answers(views, adapter.submissions(views), adapter.submitted_answers(views), mail_domain="example.com")
+    assert rows_of(got.results.select(want.results.columns)) == rows_of(want.results)
+    assert set(first) < set(rows_of(got.results))
