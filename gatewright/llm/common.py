@@ -23,18 +23,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def set_aside(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """Renames the columns that an operator's own output columns would clash with to `<name>_input` (again until free)."""
+def names_aside(columns: list[str], names: Iterable[str]) -> list[str]:
+    """The columns, those that clash with an operator's own output columns as `<name>_input` (again until free)."""
     own = {n.lower() for n in names}
-    out, used = [], {c.lower() for c in df.columns} | own
-    for c in df.columns:
+    out, used = [], {c.lower() for c in columns} | own
+    for c in columns:
         new = c
         if c.lower() in own:
             while new.lower() in used:
                 new += "_input"
             used.add(new.lower())
         out.append(new)
-    return df.toDF(*out)
+    return out
+
+
+def set_aside(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """Renames the columns that an operator's own output columns would clash with."""
+    return df.toDF(*names_aside(df.columns, names))
+
+
+def put_back(df: DataFrame, columns: list[str], names: Iterable[str]) -> DataFrame:
+    """The given columns of what an operator returned, under the names that they had before it set some of them aside."""
+    return df.select(*[F.col(f"`{new}`").alias(c) for c, new in zip(columns, names_aside(columns, names))])
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:

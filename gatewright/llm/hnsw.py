@@ -212,6 +212,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, ef: int = 128, shard_rows
     asked = queries.withColumn("shard", F.explode(visits))
     held = graphs.withColumn("block", F.explode(F.lit(list(range(blocks)))))
 
+    def others(members, own):
+        """The k smallest of sorted ids but the query's own, which may be there many times."""
+        a, z = np.searchsorted(members, [own, own + 1]) if own < np.iinfo(np.int64).max else (np.searchsorted(members, own), len(members))
+        return [*members[: min(a, k)], *members[z : z + max(0, k - a)]]
+
     def search(key, asked, held):
         names = ["query_id", "vec_id", "score"]
         if not held.num_rows or not asked.num_rows:
@@ -227,6 +232,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, ef: int = 128, shard_rows
             at += len(x) * width
         g = Graph(lift(x), links)
         members = np.argsort(owners, kind="stable")  # by node, then by id
+        of_nodes = ids[members]
         begin = np.searchsorted(owners[members], np.arange(len(x) + 1))
         q_ids, q = asked["vec_id"].to_numpy(), _vectors(asked["vector"], dim)
         out = []
@@ -237,7 +243,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, ef: int = 128, shard_rows
             for q_id, v, nodes in zip(q_ids[a : a + 512], part, found):
                 nodes = nodes[nodes >= 0]
                 score = x[nodes] @ v
-                pairs = [(-s, int(i)) for s, node in zip(score, nodes) for i in ids[members[begin[node] : min(begin[node + 1], begin[node] + k + 1)]] if i != q_id]
+                pairs = [(-s, int(i)) for s, node in zip(score, nodes) for i in others(of_nodes[begin[node] : begin[node + 1]], q_id)]
                 out += [(int(q_id), i, -s) for s, i in sorted(pairs)[:k]]
         columns = list(zip(*out)) or [[], [], []]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names)

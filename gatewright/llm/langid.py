@@ -6,6 +6,7 @@ the losses of its bits, weighted by how reliable each bit's classifier is for th
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -58,18 +59,28 @@ class Model:
         return best, mass[np.arange(len(x)), best], lead
 
 
+#: Columns that identify() adds.
+OWN = ["lang_pred", "score", "ambiguous"]
+
+
 def codewords(n: int, bits: int, seed: int = 7) -> np.ndarray:
-    """n distinct codewords: the seeded random code of the largest smallest distance; every bit separates some languages."""
+    """n distinct codewords: the seeded random code of the largest smallest distance; every bit separates some languages.
+
+    Codewords have `bits` bits, and at least four for each time that n doubles, so that many languages stay apart too.
+    """
     if n == 1:
         return np.ones((1, 1))
-    rng, best, far = np.random.default_rng(seed), None, -1
-    for _ in range(300):
-        code = rng.choice([-1.0, 1.0], (n, bits))
-        flat = np.abs(code.sum(0)) == n
-        code[0, flat] *= -1
-        apart = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i)) if n <= 64 else int((code[0] != code[1:]).sum(1).min())
-        if apart > far:
-            best, far = code, apart
+    bits = max(bits, 4 * math.ceil(math.log2(n)))
+    rng, best, far = np.random.default_rng(seed), None, 0
+    while best is None:
+        for _ in range(300 if n <= 64 else 20):
+            code = rng.choice([-1.0, 1.0], (n, bits))
+            flat = np.abs(code.sum(0)) == n
+            code[0, flat] *= -1
+            apart = int(((bits - code @ code.T) / 2)[~np.eye(n, dtype=bool)].min())
+            if apart > far:
+                best, far = code, apart
+        bits += 1
     return best
 
 
@@ -137,7 +148,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", ambiguous
     `und` with score 0 where the text is null or has no letter, or nothing was learned. Repeated rows give repeated results; clashing
     input columns get the suffix _input.
     """
-    own = ["lang_pred", "score", "ambiguous"]
+    own = OWN
     bounded_batches(docs.sparkSession)
     docs = set_aside(docs, own)
     names = docs.columns

@@ -9,7 +9,7 @@ hands them their places.
 from __future__ import annotations
 
 import math
-import os
+import struct
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -21,35 +21,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gatewright.llm.bpe import REMEMBERED, split
+from gatewright.llm.bpe import REMEMBERED
 from gatewright.llm.common import bounded_batches, set_aside, slices
+from gatewright.llm.token_counts import ByteLevel
 
 #: Ranks are joined to the starts of their blocks by broadcast up to this number of small rows, beyond it by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
-class Tokens:
+class Tokens(ByteLevel):
     """Ids by the `tokenizers` library; texts are split as its byte-level pre-tokenizer does, each new pre-token is encoded once."""
 
-    def __init__(self, raw: str, pattern: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(raw)
-        self.tokenizer.encode_special_tokens = True
-        self.split, self.known = split(pattern), {}
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words, known = self.split(text), self.known
-        new = list(set(words).difference(known))
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, strings of added tokens as the library takes them by default."""
+        split, known = [self.words(t) if t else [] for t in texts], self.known
+        new = list(set().union(*split).difference(known))
         if new:
             if len(known) > REMEMBERED:
                 known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+                new = list(set().union(*split))
+            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                known[w] = struct.pack(f"<{len(e)}I", *e.ids)
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 @lru_cache(maxsize=1)
@@ -72,8 +65,8 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, pattern: str, capacity: i
         own = tokens(shared.value, pattern)
         for b in slices(batches, 256):
             at, piece, start, length, ids = [], [], [], [], []
-            for i, t in enumerate(b["text"].to_pylist()):
-                data = (own.encode(t) if t else b"") + end
+            for i, data in enumerate(own.encode_all(b["text"].to_pylist())):
+                data += end
                 n = len(data) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (x, y) in enumerate(zip(cuts, cuts[1:])):

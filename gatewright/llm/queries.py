@@ -116,7 +116,8 @@ def op8_repeat_removal(spark, sf_dir):
 
     cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select(
-        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.col("kept_text").alias("text"),
     )
 
 

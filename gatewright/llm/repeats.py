@@ -370,6 +370,10 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
+#: Columns that remove_repeats() adds, and those that it uses in between.
+OWN, INNER = ["n_bytes", "spans", "kept", "kept_text"], ["_key", "_size", "_bytes"]
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text") -> DataFrame:
     """All rows and columns of docs, with `n_bytes`, `spans` (array of start, end; maximal removed runs), `kept` (remaining bytes) and
     `kept_text` (the same as text, without characters of which a cut has left only a part).
@@ -378,9 +382,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text") -> Da
     whatever text; strings are judged on the input. Texts that occur twice and are long enough go whole. Clashing input columns get
     the suffix _input.
     """
-    own = ["n_bytes", "spans", "kept", "kept_text"]
+    own = OWN
     bounded_batches(docs.sparkSession)
-    docs = set_aside(docs, [*own, "_key", "_size", "_bytes"])
+    docs = set_aside(docs, [*own, *INNER])
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     texts = docs.select(F.xxhash64(data).alias("key"), F.octet_length(data).cast("long").alias("size"), data.alias("bytes"))
     spans = repeated_spans(texts, length)
