@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatewright.llm.common import stored, table
+from gatewright.llm import langid, repeats
+from gatewright.llm.common import put_back, stored, table
 from gatewright.llm.langid import fit, identify, with_letters
 from gatewright.llm.packing import pack, token_pieces
 from gatewright.llm.queries import published_pattern, tokenizer
@@ -30,12 +31,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     if model is None:
         return with_letters(docs)
     found = identify(docs, model).where("score > 0")  # 0 is for texts without a letter
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return put_back(found.withColumn("lang", F.coalesce("lang", "lang_pred")), docs.columns, langid.OWN)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one of the smallest id: five-word shingles, similarity 0.8 or more, linked through."""
-    return first_of_groups(docs, 5, 80, 100).select(*docs.columns)
+    return put_back(first_of_groups(docs, 5, 80, 100), docs.columns, ["_hash"])
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents of which nothing remains go.
     """
     cut = remove_repeats(docs).withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)})
-    return cut.where("text <> ''").select(*docs.columns)
+    return put_back(cut.where("text <> ''"), docs.columns, [*repeats.OWN, *repeats.INNER])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
