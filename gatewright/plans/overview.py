@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gatewright.functions import dates
 from gatewright.functions.text import first_filled, normalize_number, or_empty, search_tokens, strip
 from gatewright.operators.search import token_hits
+from gatewright.operators.text_index import TextIndex, build_index
 from gatewright.operators.textroll import text_pieces
 
 
@@ -208,15 +209,35 @@ _SINGLE_SEARCH = [
 ]
 
 
-def _product_hits(v, tokens: list[str]) -> DataFrame:
-    """(data_product_id, request_id, _hit0, ...): which words the product's fields, labels, answers and events have, all together."""
+def _product_texts(v) -> DataFrame:
+    """(data_product_id, _text): fields with labels, answers and events of the products, in lower case."""
     own = joined_products(v).select("data_product_id", F.lower(own_search_text()).alias("_text"))
     rules = v.requirements.select("requirement_id", "label", "requirement_key")
     answers = v.answers.join(rules, "requirement_id", "left").select("data_product_id", F.lower(F.concat_ws(" ", "label", "requirement_key", "answer_value")).alias("_text"))
     events = v.timeline.where("data_product_id IS NOT NULL").select("data_product_id", F.lower(F.concat_ws(" ", *_EVENT_FIELDS)).alias("_text"))
-    hits = token_hits(own.unionByName(answers).unionByName(events), ["data_product_id"], F.col("_text"), tokens)
-    products = v.products.select("data_product_id", "request_id").join(v.requests.select("request_id"), "request_id", "left_semi")
-    return products.join(hits, "data_product_id")
+    return own.unionByName(answers).unionByName(events)
+
+
+def _with_parent(v) -> DataFrame:
+    return v.products.select("data_product_id", "request_id").join(v.requests.select("request_id"), "request_id", "left_semi")
+
+
+def _product_hits(v, tokens: list[str]) -> DataFrame:
+    """(data_product_id, request_id, _hit0, ...): which words the product's fields, labels, answers and events have, all together."""
+    return _with_parent(v).join(token_hits(_product_texts(v), ["data_product_id"], F.col("_text"), tokens), "data_product_id")
+
+
+INDEX_KEYS = ["data_product_id", "request_id"]
+
+
+def index_texts(v, root: str) -> TextIndex:
+    """Index all texts of initiatives (of no product) and of their products under `root`, for many searches.
+
+    search(query, ["data_product_id"]) then equals search_products, search(query, ["request_id"]) search_initiatives.
+    """
+    products = _with_parent(v).join(_product_texts(v), "data_product_id").select(*INDEX_KEYS, F.col("_text").alias("text"))
+    own = initiative_overview(v).select(F.lit(None).cast("string").alias("data_product_id"), F.col("requestId").alias("request_id"), F.lower("searchText").alias("text"))
+    return build_index(products.unionByName(own), INDEX_KEYS, root)
 
 
 def search_products(v, query: str) -> DataFrame:
