@@ -144,8 +144,7 @@ CAMEL_NAMES = {
     "stageid": "stageId", "statusid": "statusId", "domainid": "domainId", "domainname": "domainName",
     "parentid": "parentId", "rolekey": "roleKey",
 }
-# ------------------------------------------------------------ end fixed values
-
+# Table names and column layouts of existing deployments.
 REQUIRED_TABLES = [
     "md_domains", "md_business_units", "md_product_types", "md_expected_outputs", "md_platforms",
     "md_priorities", "md_stages", "md_statuses", "md_subdomains", "md_users", "md_source_systems",
@@ -171,6 +170,7 @@ PRODUCT_COLUMNS = [
     "build_status_id", "current_stage_id", "status_id", "status_change_reason", "last_status_change_date",
     "last_status_changed_by", "note", "created_at", "updated_at",
 ]
+# ------------------------------------------------------------ end fixed values
 
 
 @dataclass(frozen=True)
