@@ -243,7 +243,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, ef: int = 128, shard_rows
             for q_id, v, nodes in zip(q_ids[a : a + 512], part, found):
                 nodes = nodes[nodes >= 0]
                 score = x[nodes] @ v
-                pairs = [(-s, int(i)) for s, node in zip(score, nodes) for i in others(of_nodes[begin[node] : begin[node + 1]], q_id)]
+                several = begin[nodes + 1] - begin[nodes] > 1
+                near = of_nodes[begin[nodes]]
+                alone = ~several & (near != q_id)
+                pairs = list(zip((-score[alone]).tolist(), near[alone].tolist()))
+                pairs += [(-s, int(i)) for s, node in zip(score[several].tolist(), nodes[several]) for i in others(of_nodes[begin[node] : begin[node + 1]], q_id)]
                 out += [(int(q_id), i, -s) for s, i in sorted(pairs)[:k]]
         columns = list(zip(*out)) or [[], [], []]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names)
