@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.llm.common import bounded_batches, set_aside, slices, stored
@@ -31,10 +31,12 @@ from gatewright.llm.components import components
 #: A token is frequent if more documents have it; at most so many tokens are, the most frequent ones.
 FREQUENT, FREQUENT_TOKENS = 64, 1 << 19
 CLASSES = 8
-#: Rows of ids, and of sketches, that may be broadcast; beyond, joins shuffle.
-BROADCAST_IDS, BROADCAST_SKETCHES = 1_000_000, 400_000
-#: Bits of a set's sketch: the parities of its tokens by residue. Sets differ in at least as many tokens as their sketches in bits.
+#: Rows of ids, and rows and bytes of sketches, that may be broadcast; beyond, joins shuffle.
+BROADCAST_IDS, BROADCAST_SKETCHES, BROADCAST_BYTES = 1_000_000, 400_000, 64 << 20
+#: Least bits of a set's sketch: the parities of its tokens by residue. Sets differ in at least as many tokens as their sketches in bits.
+#: A set has at least as many bits as tokens, so that sketches of large sets are not full of noise.
 SKETCH_BITS = 512
+SKETCH_WORDS = SKETCH_BITS // 64
 #: Members of a bucket that one task compares with each other.
 BLOCK = 4096
 _WORDS_KNOWN = 400_000
@@ -73,6 +75,54 @@ class Shingler:
         return np.unique(x)
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the tokens by their residue, as 64-bit words: a power of two times SKETCH_BITS bits, not fewer than tokens."""
+    bits = SKETCH_BITS
+    while bits < len(tokens):
+        bits *= 2
+    odd = np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Sketches, one per row, brought to the width of narrower ones: what a sketch of so few words would have been."""
+    return np.bitwise_xor.reduce(words.reshape(len(words), -1, width), axis=1)
+
+
+class Sketches:
+    """The sketches of a task's rows; widths may differ."""
+
+    def __init__(self, column: pa.ListArray):
+        self.words = column.flatten().to_numpy().view(np.uint64)
+        self.width = column.value_lengths().to_numpy().astype(np.int64)
+        self.start = np.append(0, np.cumsum(self.width)[:-1])
+
+    def rows(self, which: np.ndarray, width: int) -> np.ndarray:
+        """The sketches of some rows of one width, as words."""
+        return self.words[self.start[which][:, None] + np.arange(width)]
+
+    def narrow(self) -> np.ndarray:
+        """All sketches at the least width, column by column."""
+        out = np.zeros((len(self.width), SKETCH_WORDS), np.uint64, order="F")
+        for width in np.unique(self.width):
+            of_width = np.flatnonzero(self.width == width)
+            for some in np.array_split(of_width, 1 + len(of_width) * width // (1 << 20)):
+                out[some] = folded(self.rows(some, width), SKETCH_WORDS)
+        return out
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits in which the sketches of the pairs (i, j) differ, at the smaller of both widths."""
+        out = np.zeros(len(i), np.int64)
+        kinds = self.width[i] << 32 | self.width[j]
+        for kind in np.unique(kinds):
+            x, y = int(kind) >> 32, int(kind) & 0xFFFFFFFF
+            of_kind, least = np.flatnonzero(kinds == kind), min(x, y)
+            for some in np.array_split(of_kind, 1 + len(of_kind) * max(x, y) // (1 << 18)):
+                differing = folded(self.rows(i[some], x), least) ^ folded(self.rows(j[some], y), least)
+                out[some] = np.bitwise_count(differing).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def least_common(n: int, num: int, den: int) -> int:
     """Tokens of a set of n that any set as similar as num / den must have."""
     return -(-num * n // den)
@@ -163,16 +213,15 @@ def _sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
         for b in slices(batches):
-            count, print_, sketch, sigs = [], [], [], []
+            count, print_, sketches, sigs = [], [], [], []
             for t in b["text"].to_pylist():
                 x = shingler.tokens(t)
                 count.append(len(x))
                 print_.append(blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
-                odd = np.bincount((x % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-                sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
+                sketches.append(sketch(x))
                 sigs.append(signatures(x, head, shared.value, num, den).view(np.int64))
             flat = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sigs)]).astype(np.int32), pa.array(np.concatenate(sigs), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b["id"], b["hash"], b["row"], pa.array(count, pa.int64()), pa.array(print_, pa.binary()), pa.array(sketch, pa.list_(pa.int64())), flat], ["id", "hash", "row", "n", "print", "sketch", "sigs"])
+            yield pa.RecordBatch.from_arrays([b["id"], b["hash"], b["row"], pa.array(count, pa.int64()), pa.array(print_, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), flat], ["id", "hash", "row", "n", "print", "sketch", "sigs"])
 
     kind = docs.schema["id"].dataType.simpleString()
     own = docs.select("id", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"), "text")
@@ -184,6 +233,12 @@ def _shards(members: DataFrame) -> int:
     return max(1, (members.agg(F.sum("blocks")).first()[0] or 0) // 20_000)
 
 
+def _narrowed(sketch: str, width: Column) -> Column:
+    """A sketch column folded to so many words, as folded() does."""
+    word = lambda i: F.aggregate(F.sequence(i, F.size(sketch) - 1, width), F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(F.get(F.col(sketch), k)))
+    return F.when(F.size(sketch) == width, F.col(sketch)).otherwise(F.transform(F.sequence(F.lit(0), width - 1), word))
+
+
 def _across(members: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a < b) of one bucket (`sig`) and different components whose sizes and sketches let them be similar.
 
@@ -198,22 +253,24 @@ def _across(members: DataFrame, num: int, den: int) -> DataFrame:
     def compare(key, rows):
         rows = rows.sort_by([("sig", "ascending"), ("own", "ascending"), ("other", "ascending"), ("row", "ascending")])
         sig, own, other, row, component, n = (rows[c].to_numpy() for c in ("sig", "own", "other", "row", "component", "n"))
-        sketch = rows["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(row), -1)
+        sketches = Sketches(rows["sketch"].combine_chunks())
+        narrow = sketches.narrow()
         allowed = (den - num) * n
-        sketch = np.asfortranarray(sketch)
         first = np.flatnonzero(np.append(True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1]) | (other[1:] != other[:-1])))
         found = []
         for start, end in zip(first, np.append(first[1:], len(row))):
             for at in range(start, end, 64):
                 x, y = slice(at, min(at + 64, end)), slice(at, end)
                 apart = np.zeros((len(n[x]), len(n[y])), np.uint16)
-                for word in sketch.T:
+                for word in narrow.T:
                     apart += np.bitwise_count(word[x, None] ^ word[None, y])
                 i, j = np.nonzero((den + num) * apart.astype(np.int64) <= allowed[x, None] + allowed[None, y])
                 i, j = i + at, j + at
                 sizes = den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])
                 good = sizes & (component[i] != component[j]) & (row[i] < row[j])
-                found.append(np.stack([row[i[good]], row[j[good]]], 1))
+                i, j = i[good], j[good]
+                close = (den + num) * sketches.apart(i, j) <= allowed[i] + allowed[j]
+                found.append(np.stack([row[i[close]], row[j[close]]], 1))
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -275,7 +332,8 @@ def similar_groups(docs: DataFrame, n: int, num: int, den: int, id_col: str = "d
     known = stored(nodes.drop("sigs"), "nodes")
 
     sketches = known.select("row", "n", "sketch")
-    small = sketches.count() <= BROADCAST_SKETCHES
+    count, size = sketches.agg(F.count("*"), F.coalesce(F.sum(F.size("sketch") * 8), F.lit(0))).first()
+    small = count <= BROADCAST_SKETCHES and size <= BROADCAST_BYTES
 
     def close(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose sizes and sketches let them be similar."""
@@ -283,7 +341,8 @@ def similar_groups(docs: DataFrame, n: int, num: int, den: int, id_col: str = "d
             own = sketches.toDF(side, f"n_{side}", f"sketch_{side}")
             pairs = pairs.join(F.broadcast(own) if small else own, side)
         n_a, n_b = F.col("n_a"), F.col("n_b")
-        apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        width = F.least(F.size("sketch_a"), F.size("sketch_b"))
+        apart = F.aggregate(F.zip_with(_narrowed("sketch_a", width), _narrowed("sketch_b", width), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
         sizes = F.lit(den) * F.least(n_a, n_b) >= F.lit(num) * F.greatest(n_a, n_b)
         return pairs.where(sizes & (F.lit(den + num) * apart <= F.lit(den - num) * (n_a + n_b))).select("a", "b")
 
