@@ -10,7 +10,7 @@ from gatewright.catalog.validation import MAIL
 from gatewright.session import checkpoint_dir
 from gatewright.sources.adapter import submission_rows
 from gatewright.sources.tables import SCHEMAS
-from gatewright.streaming import live, machine
+from gatewright.streaming import compacted, live, machine
 
 
 def _events(t):
@@ -37,10 +37,13 @@ def _(t, v):
     return live.latest_of_deltas(t.spark, f"{root}/deltas", ["user_id"])
 
 
-@query("l3_stream_upsert", """
+_UPSERTED = """
 WITH s AS (SELECT user_id AS c_custkey, arg_max(event_type, (ts, event_id)) AS c_mktsegment FROM events GROUP BY 1)
 SELECT coalesce(s.c_custkey, c.c_custkey) AS c_custkey, coalesce(s.c_mktsegment, c.c_mktsegment) AS c_mktsegment
-FROM customer c FULL JOIN s ON s.c_custkey = c.c_custkey""")
+FROM customer c FULL JOIN s ON s.c_custkey = c.c_custkey"""
+
+
+@query("l3_stream_upsert", _UPSERTED)
 def _(t, v):
     root = _root(t, "upsert")
     rows = _events(t).select(F.col("user_id").alias("c_custkey"), F.col("event_type").alias("c_mktsegment"), "ts", "event_id")
@@ -48,6 +51,16 @@ def _(t, v):
     return live.upserted(t.customer.select("c_custkey", "c_mktsegment"), f"{root}/deltas", ["c_custkey"])
 
 
+@query("l3_stream_upsert_compacted", _UPSERTED)
+def _(t, v):
+    """The same through the compacted state; every batch is compacted here."""
+    root = _root(t, "compacted")
+    rows = _events(t).select(F.col("user_id").alias("c_custkey"), F.col("event_type").alias("c_mktsegment"), "ts", "event_id")
+    keys = ["c_custkey"]
+    live.run_available(rows, root, compacted.compacting_sink(root, keys, ["ts", "event_id"], every=1))
+    return compacted.upserted(t.customer.select("c_custkey", "c_mktsegment"), root, keys, rows.schema)
+
+
 @query("l4_stream_stage_machine", applied.RESULTS)
 def _(t, v):
     """Equals j8_apply_answers on the same events; compared in the tests with several micro-batches."""
