@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatewright.operators.clashes import accepted_in_order
 from gatewright.session import cut_lineage
 from gatewright.sizing import SMALL_ROWS, is_small
 
@@ -83,24 +84,14 @@ def insert_if_absent(
     """Add source rows that collide with no stored row on any unique key; among source rows the earlier one wins.
 
     NULL key values never collide. With one unique key this is a single aggregation. With several, a row that lost
-    on one key must not block others, so rows are accepted in rounds until none is left undecided.
+    on one key must not block others; `clashes.accepted_in_order` decides as insertion one by one would.
     """
     fresh = source.select(*target.columns)
     for key in unique_keys:
         fresh = fresh.join(target.select(*key), key, "left_anti").select(*target.columns)
     if len(unique_keys) == 1:
         return target.unionByName(_first_per_key(fresh, unique_keys, order))
-    result = target
-    while True:
-        fresh = cut_lineage(fresh)
-        accepted = cut_lineage(_first_per_key(fresh, unique_keys, order))
-        if accepted.isEmpty():
-            return result
-        result = result.unionByName(accepted)
-        for key in unique_keys:
-            fresh = fresh.join(accepted.select(*key), key, "left_anti").select(*target.columns)
-        # a row with NULL in every key collides with nothing, also not with itself
-        fresh = fresh.where(~reduce(lambda x, y: x & y, [_null_key(k) for k in unique_keys]))
+    return target.unionByName(accepted_in_order(fresh, unique_keys, order))
 
 
 def _null_key(key: list[str]) -> Column:
