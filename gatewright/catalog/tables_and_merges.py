@@ -1,13 +1,17 @@
 """A: scans, sources, sinks and merges."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gatewright import model
 from gatewright.catalog.registry import query
 from gatewright.operators import merge as m
 from gatewright.operators.rollup import count_by
+from gatewright.session import checkpoint_dir
 from gatewright.sources import documents, tables
 from gatewright.sources.adapter import with_views
+from gatewright.sources.keyed_table import KeyedTable
 
 ALL_TABLES = list(tables.SCHEMAS)
 
@@ -91,25 +95,46 @@ _MERGE_HEAD = f"WITH {_LAST_CHANGE_SQL} SELECT coalesce(t.c_custkey, s.c_custkey
 _MERGE_TAIL = " FROM customer t FULL JOIN s ON t.c_custkey = s.c_custkey"
 
 
-@query("a6_upsert_all_columns", _MERGE_HEAD + """
+_A6 = _MERGE_HEAD + """
   CASE WHEN s.rn = 1 THEN s.c_name ELSE t.c_name END AS c_name,
   CASE WHEN s.rn = 1 THEN '' ELSE CAST(t.c_nationkey AS VARCHAR) END AS nation,
   round(CASE WHEN s.rn = 1 THEN s.c_acctbal ELSE t.c_acctbal END, 2) AS c_acctbal,
-  coalesce(CASE WHEN s.rn = 1 THEN s.c_mktsegment ELSE t.c_mktsegment END, '') AS c_mktsegment""" + _MERGE_TAIL)
+  coalesce(CASE WHEN s.rn = 1 THEN s.c_mktsegment ELSE t.c_mktsegment END, '') AS c_mktsegment""" + _MERGE_TAIL
+
+
+@query("a6_upsert_all_columns", _A6)
 def _(t, v):
     return _show_customers(m.merge(t.customer, _changes(t), ["c_custkey"], order=["o_orderdate", "o_orderkey"]))
 
 
+def _keyed(t, name, keys, rows, order=None):
+    """A keyed table in a folder of its own that holds the rows."""
+    table = KeyedTable(t.spark, f"{checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex}", keys, rows.schema)
+    table.create(rows, order)
+    return table
+
+
+@query("a6_upsert_touched_buckets", _A6)
+def _(t, v):
+    """The same into a stored table of which only the buckets with changed keys are written anew."""
+    table = _keyed(t, "customer", ["c_custkey"], t.customer)
+    table.upsert(_changes(t), order=["o_orderdate", "o_orderkey"])
+    return _show_customers(table.read())
+
+
 _LINE_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_tax"]
 
 
-@query("a7_upsert_composite_key", """
+_A7 = """
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_returnflag = 'R'
     ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC, l_tax DESC) AS rn FROM lineitem),
   t AS (SELECT * FROM r WHERE rn = 1 AND l_returnflag <> 'R'), s AS (SELECT * FROM r WHERE rn = 1 AND l_returnflag = 'R')
 SELECT coalesce(s.l_orderkey, t.l_orderkey) AS l_orderkey, coalesce(s.l_linenumber, t.l_linenumber) AS l_linenumber,
   coalesce(s.l_partkey, t.l_partkey) AS l_partkey, coalesce(s.l_returnflag, t.l_returnflag) AS l_returnflag
-FROM t FULL JOIN s ON t.l_orderkey = s.l_orderkey AND t.l_linenumber = s.l_linenumber""")
+FROM t FULL JOIN s ON t.l_orderkey = s.l_orderkey AND t.l_linenumber = s.l_linenumber"""
+
+
+@query("a7_upsert_composite_key", _A7)
 def _(t, v):
     keys = ["l_orderkey", "l_linenumber"]
     is_new = F.col("l_returnflag") == "R"
@@ -118,6 +143,14 @@ def _(t, v):
     return merged.select(*keys, "l_partkey", "l_returnflag")
 
 
+@query("a7_upsert_touched_buckets", _A7)
+def _(t, v):
+    keys, is_new = ["l_orderkey", "l_linenumber"], F.col("l_returnflag") == "R"
+    table = _keyed(t, "lineitem", keys, t.lineitem.where(~is_new), _LINE_ORDER)
+    table.upsert(t.lineitem.where(is_new), order=_LINE_ORDER)
+    return table.read().select(*keys, "l_partkey", "l_returnflag")
+
+
 @query("a8_insert_if_absent", """
 WITH s AS (SELECT c_custkey + CASE WHEN c_nationkey < 5 THEN 1000000 ELSE 0 END AS s_suppkey,
     replace(c_name, 'Customer', 'Supplier') AS s_name FROM customer)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatewright.operators.clashes import accepted_in_order
+from gatewright.operators.clashes import accepted_in_order, total_order
 from gatewright.session import cut_lineage
 from gatewright.sizing import SMALL_ROWS, is_small
 
@@ -90,23 +90,18 @@ def insert_if_absent(
     for key in unique_keys:
         fresh = fresh.join(target.select(*key), key, "left_anti").select(*target.columns)
     if len(unique_keys) == 1:
-        return target.unionByName(_first_per_key(fresh, unique_keys, order))
+        return target.unionByName(_first_per_key(fresh, unique_keys[0], order))
     return target.unionByName(accepted_in_order(fresh, unique_keys, order))
 
 
-def _null_key(key: list[str]) -> Column:
-    return reduce(lambda x, y: x | y, [F.col(c).isNull() for c in key])
-
-
-def _first_per_key(df: DataFrame, unique_keys: list[list[str]], order: list[str]) -> DataFrame:
-    """Rows that come first, in `order`, on each of the keys."""
-    marked = df.withColumn("_order", F.struct(*order))
-    for i, key in enumerate(unique_keys):
-        firsts = df.groupBy(*key).agg(F.min(F.struct(*order)).alias(f"_first{i}"))
-        marked = marked.join(firsts, key, "left")
-    test = reduce(lambda x, y: x & y, [
-        _null_key(k) | (F.col("_order") == F.col(f"_first{i}")) for i, k in enumerate(unique_keys)])
-    return marked.where(test).select(*df.columns)
+def _first_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Of rows with the same key the first in `order`, ties by all other columns; rows with NULL in the key all stay, each on its own."""
+    rest = [c for c in df.columns if c not in key]
+    incomplete = reduce(lambda x, y: x | y, [F.col(c).isNull() for c in key])
+    own = F.when(incomplete, F.monotonically_increasing_id())
+    picked = df.withColumn("_own", own).groupBy(*key, "_own").agg(
+        F.min_by(F.struct(*rest, F.lit(0).alias("_")), F.struct(*total_order(df, order))).alias("_row"))
+    return picked.select(*key, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
 def update_where(df: DataFrame, condition: Column, assignments: dict[str, Column]) -> DataFrame:

@@ -12,54 +12,15 @@ already holds changes nothing when it is run again. remove_superseded() deletes
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewright.operators.merge import latest_per_key, merge
-
-_MANIFEST = "version bigint, upto bigint, buckets int, held map<int, bigint>"
-
-
-@dataclass(frozen=True)
-class Manifest:
-    """What one version consists of; version -1 is the empty state before the first compaction."""
-
-    buckets: int
-    version: int = -1
-    upto: int = -1
-    held: dict[int, int] = field(default_factory=dict)
-
-
-def _numbers(spark: SparkSession, folder: str, prefix: str, complete: bool = True) -> list[int]:
-    """The numbers of the subfolders `<prefix><number>`, in order; by default only of those whose writing job ended."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
-    names = [n for n in names if n.startswith(prefix)]
-    if complete:
-        names = [n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
-    return sorted(int(n.removeprefix(prefix)) for n in names)
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def read_manifest(spark: SparkSession, root: str, version: int) -> Manifest:
-    row = spark.read.schema(_MANIFEST).parquet(f"{root}/manifest/version={version}").first()
-    return Manifest(row.buckets, row.version, row.upto, dict(row.held))
-
-
-def newest(spark: SparkSession, root: str, buckets: int) -> Manifest:
-    versions = _numbers(spark, f"{root}/manifest", "version=")
-    return read_manifest(spark, root, versions[-1]) if versions else Manifest(buckets)
-
+from gatewright.sources.buckets import MANIFEST as _MANIFEST
+from gatewright.sources.buckets import Manifest, newest, remove_old_versions
+from gatewright.sources.buckets import numbers as _numbers
+from gatewright.sources.buckets import remove as _remove
 
 def _deltas(spark: SparkSession, root: str, schema, manifest: Manifest) -> DataFrame | None:
     """Rows of the batches that the base does not hold yet, with their batch number."""
@@ -72,7 +33,7 @@ def _deltas(spark: SparkSession, root: str, schema, manifest: Manifest) -> DataF
 
 def _base(spark: SparkSession, root: str, schema, manifest: Manifest, wanted: set[int] | None = None) -> DataFrame | None:
     """Rows of the base, or of the wanted buckets only; their batch number is below that of all deltas."""
-    paths = [f"{root}/base/version={v}/_bucket={b}" for b, v in sorted(manifest.held.items()) if wanted is None or b in wanted]
+    paths = manifest.folders(root, wanted)
     return spark.read.schema(schema).parquet(*paths).withColumn("_batch", F.lit(-1).cast("bigint")) if paths else None
 
 
@@ -141,17 +102,9 @@ def remove_superseded(spark: SparkSession, root: str, keep: int = 2) -> None:
 
     Readers that opened one of these versions are not disturbed; older readers have to begin again.
     """
-    versions = _numbers(spark, f"{root}/manifest", "version=")
-    kept = [read_manifest(spark, root, v) for v in versions[-max(1, keep):]]
+    kept = remove_old_versions(spark, root, keep)
     if not kept:
         return
-    for v in versions[: -len(kept)]:
-        _remove(spark, f"{root}/manifest/version={v}")
-    named = {(v, b) for m in kept for b, v in m.held.items()}
-    for v in [v for v in _numbers(spark, f"{root}/base", "version=", complete=False) if v <= kept[-1].version]:
-        for b in _numbers(spark, f"{root}/base/version={v}", "_bucket=", complete=False):
-            if (v, b) not in named:
-                _remove(spark, f"{root}/base/version={v}/_bucket={b}")
     for i in _numbers(spark, f"{root}/delta", "batch=", complete=False):
         if i <= kept[0].upto:
             _remove(spark, f"{root}/delta/batch={i}")

@@ -54,6 +54,13 @@ def test_insert_if_absent_with_two_unique_keys(spark, source):
     assert rows(out) == greedy(target, source)
 
 
+def test_insert_if_absent_with_one_key_ties_and_nulls(spark):
+    target = spark.createDataFrame([(1, "x", None)], SCHEMA)
+    source = spark.createDataFrame([(1, "n", "n"), (2, "b", "q"), (2, "b", "p"), (2, "b", "p"), (None, "u", None), (None, "u", None)], SCHEMA)
+    assert rows(m.insert_if_absent(target, source, [["k"]], ["a"])) == [
+        (1, "x", None), (2, "b", "p"), (None, "u", None), (None, "u", None)]
+
+
 def test_predicates_with_null_leave_rows_alone(spark):
     df = spark.createDataFrame([(1, None, "b"), (2, "x", "b")], SCHEMA)
     assert rows(m.update_where(df, F.col("a") == "x", {"b": F.lit("hit")})) == [(1, None, "b"), (2, "x", "hit")]
