@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gatewright.catalog.registry import query
+from gatewright.operators.hot_keys import join_children
 from gatewright.functions.text import first_filled, slug
 from gatewright.operators.labels import COLLECTIONS, label_table, with_label
 from gatewright.operators.textroll import text_pieces
@@ -79,7 +80,7 @@ def _(t, v):
     counts = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
     parents = t.customer.select("c_custkey", "c_name").join(counts, "c_custkey", "left")
     children = t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
-    return parents.join(children, "c_custkey", "left").select(
+    return join_children(parents, children, "c_custkey", "left", by=["o_orderkey"]).select(
         "c_custkey", "c_name", F.coalesce("o_orderkey", F.lit(-1)).alias("o_orderkey"),
         F.coalesce("o_orderstatus", F.lit("")).alias("o_orderstatus"), F.coalesce("n", F.lit(0)).alias("children"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gatewright.functions.dates import days_label
 from gatewright.functions.text import contains_all, search_blob, search_tokens
+from gatewright.operators.hot_keys import join_children
 
 
 def search(df: DataFrame, query: str, columns: list[str] | None = None) -> DataFrame:
@@ -42,10 +43,10 @@ def search_parents(
 
 
 def matching_or_all(children: DataFrame, parent_key: str, match: Column) -> DataFrame:
-    """The matching children of each parent, or all of them where none matches."""
+    """The matching children of each parent, or all of them where none matches; children without a parent have no place."""
     marked = children.withColumn("_match", F.coalesce(match, F.lit(False)))
     any_match = marked.groupBy(parent_key).agg(F.max("_match").alias("_any"))
-    return marked.join(any_match, parent_key).where(F.col("_match") | ~F.col("_any")).select(*children.columns)
+    return join_children(any_match, marked, parent_key).where(F.col("_match") | ~F.col("_any")).select(*children.columns)
 
 
 def in_stage(df: DataFrame, stage: str, stages: list[tuple], id_column: str, name_column: str) -> DataFrame:
