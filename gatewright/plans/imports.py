@@ -156,16 +156,25 @@ def copy_to_flat(app: DataFrame) -> DataFrame:
     }).select(*FLAT_COLUMNS)
 
 
+def copied_rows(flat: DataFrame, app_rows: DataFrame) -> DataFrame:
+    """The flat table after the application's rows: stored values win in the four undelivered columns."""
+    update = [c for c in FLAT_COLUMNS if c not in ("request_id", "created_at", *COPY_ABSENT)]
+    return merge(flat, copy_to_flat(app_rows), ["request_id"], update=update, keep=COPY_ABSENT, order=["updated_at", "request_number"])
+
+
+def copied_answers(answers: DataFrame, app_answers: DataFrame) -> DataFrame:
+    return merge(answers, app_answers, ["data_product_id", "requirement_id"], update=["answer_value", "updated_at"],
+                 order=["updated_at", "answer_id"])
+
+
+def copied_timeline(timeline: DataFrame, app_timeline: DataFrame) -> DataFrame:
+    return insert_if_absent(timeline, app_timeline, [["timeline_id"]], ["created_at", "event_type", "event_detail"])
+
+
 def import_app_copy(flat: DataFrame, answers: DataFrame, timeline: DataFrame, app_rows: DataFrame, app_answers: DataFrame,
                     app_timeline: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Merge a copy of the application's tables: stored values win in the four undelivered columns."""
-    update = [c for c in FLAT_COLUMNS if c not in ("request_id", "created_at", *COPY_ABSENT)]
-    return (
-        merge(flat, copy_to_flat(app_rows), ["request_id"], update=update, keep=COPY_ABSENT, order=["updated_at", "request_number"]),
-        merge(answers, app_answers, ["data_product_id", "requirement_id"], update=["answer_value", "updated_at"],
-              order=["updated_at", "answer_id"]),
-        insert_if_absent(timeline, app_timeline, [["timeline_id"]], ["created_at", "event_type", "event_detail"]),
-    )
+    """Merge a copy of the application's tables. The three parts do not depend on each other and can be had one by one."""
+    return copied_rows(flat, app_rows), copied_answers(answers, app_answers), copied_timeline(timeline, app_timeline)
 
 
 def flat_to_parents(df: DataFrame, as_of: str) -> DataFrame:
@@ -206,7 +215,12 @@ def flat_to_parents(df: DataFrame, as_of: str) -> DataFrame:
 
 def import_parents(requests: DataFrame, flat: DataFrame, as_of: str) -> DataFrame:
     """New state of the requests; a repeated import keeps stored numbers and creation times."""
-    return merge(requests, flat_to_parents(flat, as_of), ["request_id"], update=PARENT_UPDATED, order=["updated_at", "request_number"])
+    return merge_parents(requests, flat_to_parents(flat, as_of))
+
+
+def merge_parents(requests: DataFrame, parents: DataFrame) -> DataFrame:
+    """As import_parents, of rows that flat_to_parents has already numbered."""
+    return merge(requests, parents, ["request_id"], update=PARENT_UPDATED, order=["updated_at", "request_number"])
 
 
 def backfill_created(timeline: DataFrame, rows: DataFrame, *, id_prefix: str, event_prefix: str, label: str, detail: str,
