@@ -38,3 +38,16 @@ def test_a_search_reads_the_buckets_of_its_grams(index):
 def test_index_of_nothing(spark, tmp_path):
     index = build_index(spark.createDataFrame([(1, None), (2, " ")], "k long, text string"), ["k"], str(tmp_path / "i"))
     assert index.search("abc").count() == index.search("a").count() == index.search("").count() == 0
+
+
+def test_rows_do_not_grow_with_texts_times_words(spark, tmp_path):
+    texts = spark.range(3000).selectExpr("id AS k", "concat(concat_ws(' ', transform(sequence(1, 60), i -> concat('word', i))), ' own', id) AS text")
+    index = build_index(texts.repartition(3), ["k"], str(tmp_path / "i"))
+    rows = sum(spark.read.parquet(str(folder)).count() for folder in (tmp_path / "i").iterdir())
+    assert rows < 5 * 3000  # 183,000 pairs of a text and a word
+    assert [r.k for r in index.search("word7 own2999").collect()] == [2999] and index.search("WORD60").count() == 3000
+
+
+def test_many_blocks_are_joined(index, monkeypatch):
+    monkeypatch.setattr("gatewright.operators.text_index.NAMED_BLOCKS", 0)
+    assert sorted(r.k for r in index.search("alpha gamma").collect()) == plain("alpha gamma")
