@@ -89,3 +89,11 @@ def test_stage_machine_goes_on_from_its_state(spark, views, event_files, tmp_pat
     want = apply_answers(views, adapter.submissions(views), adapter.submitted_answers(views), mail_domain="example.com")
     assert rows_of(got.results.select(want.results.columns)) == rows_of(want.results)
     assert set(first) < set(rows_of(got.results))
+
+
+def test_stage_machine_keeps_states_of_what_is_submitted_for_only(spark, views, event_files, tmp_path):
+    rows = adapter.submission_rows(views, stream(spark, f"{event_files}", 1)).where("submission_id < '000000000040'")
+    got = machine.run_stage_machine(views, rows, str(tmp_path), "example.com")
+    decided = got.decisions.where("pos IS NOT NULL").select("request_id", "data_product_id").distinct().collect()
+    states = spark.read.format("statestore").option("stateVarName", "states").load(f"{tmp_path}/_checkpoint").count()
+    assert 0 < len(decided) < states <= 2 * len(decided) < views.requests.count()
