@@ -19,6 +19,8 @@ from gatewright.llm.repeats import remove_repeats
 from gatewright.llm.shingles import first_of_groups
 
 CAPACITY = 2048
+#: Strings of so many words that start twice are repeated passages: those of over 50 words.
+PASSAGE_WORDS = 51
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +42,11 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in 400-byte strings that start anywhere else too are cut out of `text`, and `n_chars` is the new length.
+    """Bytes in 400-byte strings, and in strings of 51 words, that start anywhere else too are cut out of `text`; `n_chars` is the new length.
 
     Documents of which nothing remains go.
     """
-    cut = remove_repeats(docs).withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)})
+    cut = remove_repeats(docs, words=PASSAGE_WORDS).withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)})
     return put_back(cut.where("text <> ''"), docs.columns, [*repeats.OWN, *repeats.INNER])
 
 

@@ -64,3 +64,37 @@ def test_planted_passages_go_and_clean_texts_stay(spark):
     for r in rows:
         assert (r["n_removed"] >= len(passage)) == (r["doc_id"] >= 20) and ("planted9 passage" in r["kept_text"]) is False
         assert r["doc_id"] >= 20 or r["n_removed"] == 0
+
+
+def test_short_passages_of_over_fifty_words_go(spark, small):
+    import random
+    import re
+
+    from corpus_pipeline import without_repeats
+
+    draw = random.Random(8)
+
+    def noise(n):
+        return " ".join("".join(draw.choice("abcdefghé") for _ in range(draw.randint(2, 5))) for _ in range(n))
+
+    passage = noise(55)
+    assert len(passage.encode()) < 400
+    texts = [noise(60), *(f"{noise(20 + i)} {passage}\n{noise(30)}" for i in range(3)), f"{noise(9)}\t{passage.replace(' ', '  ')} {noise(9)}",
+             f"{noise(70)} {' '.join(passage.split()[:50])} {noise(5)}", "on and " * 30 + noise(60)]
+    docs = docs_of(spark, texts, 50_000).unionByName(small.where("doc_id < 60"))
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
+    words = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for _, t in rows]
+    at = {}
+    for d, (_, t) in enumerate(rows):
+        for size, places in (("w", [(tuple(t[a:z] for a, z in words[d][i : i + 51]), words[d][i][0], words[d][i + 50][1]) for i in range(len(words[d]) - 50)]),
+                             ("b", [(t[i : i + 400], i, i + 400) for i in range(len(t) - 399)])):
+            for string, a, z in places:
+                at.setdefault((size, string), []).append((d, a, z))
+    gone = [np.zeros(len(t), bool) for _, t in rows]
+    for places in at.values():
+        for d, a, z in places if len(places) > 1 else []:
+            gone[d][a:z] = True
+    want = {i: bytes(np.frombuffer(t, np.uint8)[~g]).decode("utf-8", "ignore") for (i, t), g in zip(rows, gone)}
+    got = {r["doc_id"]: r["text"] for r in without_repeats(spark, docs, "").collect()}
+    assert got == {i: t for i, t in want.items() if t}
+    assert not any(" ".join(passage.split()[:51]) in got[50_000 + i] for i in range(1, 4)) and got[50_000] == texts[0] and got[50_005] == texts[5]
