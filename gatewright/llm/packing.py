@@ -12,8 +12,9 @@ import math
 import struct
 from bisect import bisect_left, insort
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +30,54 @@ from gatewright.llm.token_counts import ByteLevel
 BROADCAST_ROWS = 1_000_000
 
 
+#: Pre-tokens of these characters only are split alike by all versions of Unicode, so the vocabulary's model takes them as they are.
+PLAIN = "".join(map(chr, [9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x250)]))
+
+
 class Tokens(ByteLevel):
     """Ids by the `tokenizers` library; texts are split as its byte-level pre-tokenizer does, each new pre-token is encoded once."""
 
+    def __init__(self, raw: str, pattern: str):
+        super().__init__(raw, pattern)
+        self.piece = self.tokenizer.model.tokenize
+        self.special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.packers = [struct.Struct(f"<{n}I").pack for n in range(32)]
+        # the letters that stand for the bytes, as byte-level vocabularies have them: printable ones for themselves, the others from 256 on
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = sorted(set(range(256)).difference(shown))
+        letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.letters = {c: "".join(map(letter.__getitem__, c.encode("utf-8"))) for c in PLAIN}
+
+    def packed(self, ids: list[int]) -> bytes:
+        return self.packers[len(ids)](*ids) if len(ids) < len(self.packers) else struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(self, new: Iterable[str]) -> None:
+        """Encodes pre-tokens: plain ones by the library's model alone, the others and added tokens by all its steps."""
+        known, piece, letter, packed, special, id_ = self.known, self.piece, self.letters.__getitem__, self.packed, self.special, attrgetter("id")
+        other = []
+        for w in new:
+            try:
+                letters = "".join(map(letter, w))
+            except KeyError:
+                other.append(w)
+                continue
+            if w in special:
+                other.append(w)
+            else:
+                known[w] = packed([*map(id_, piece(letters))])
+        if other:
+            for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+                known[w] = packed(e.ids)
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, strings of added tokens as the library takes them by default."""
         split, known = [self.words(t) if t else [] for t in texts], self.known
-        new = list(set().union(*split).difference(known))
+        new = set().union(*split).difference(known)
         if new:
             if len(known) > REMEMBERED:
                 known.clear()
-                new = list(set().union(*split))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = struct.pack(f"<{len(e)}I", *e.ids)
+                new = set().union(*split)
+            self.learn(new)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 

@@ -98,3 +98,23 @@ def test_short_passages_of_over_fifty_words_go(spark, small):
     got = {r["doc_id"]: r["text"] for r in without_repeats(spark, docs, "").collect()}
     assert got == {i: t for i, t in want.items() if t}
     assert not any(" ".join(passage.split()[:51]) in got[50_000 + i] for i in range(1, 4)) and got[50_000] == texts[0] and got[50_005] == texts[5]
+
+
+def test_plain_words_are_encoded_by_the_vocabulary_alone():
+    from tokenizers import Tokenizer
+
+    from gatewright.llm.packing import Tokens
+
+    path = tokenizer("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        own = Tokens(f.read(), published_pattern())
+    library, rng = Tokenizer.from_file(path), np.random.default_rng(8)
+    ids = lambda texts: [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)]
+    alphabets = ["ab 's", "\t\n\r  x.", "aßñ Éžɏ¡­²ª", "a  \u0085\u001c\u0000\u007f1", "é €😀ำ٣́", "wort Ǆ12.,-"]
+    texts = ["".join(rng.choice(list(a), int(n))) for a in alphabets for n in rng.integers(0, 60, 60)]
+    texts += ["".join(map(chr, range(0x250))), "x" * 5000, "a<|endoftext|>b <|endoftext|>", "<|endoftext|>", None, ""]
+    assert ids(texts) == [library.encode(t, add_special_tokens=False).ids if t else [] for t in texts]
+    own.known.clear()
+    own.tokenizer = None  # plain words do not pass the library's other steps
+    plain = ["Ein großer Wald, el niño; it's 12 words\n\tand more"]
+    assert ids(plain) == [library.encode(t, add_special_tokens=False).ids for t in plain]
