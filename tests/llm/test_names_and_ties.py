@@ -118,3 +118,25 @@ def test_plain_words_are_encoded_by_the_vocabulary_alone():
     own.tokenizer = None  # plain words do not pass the library's other steps
     plain = ["Ein großer Wald, el niño; it's 12 words\n\tand more"]
     assert ids(plain) == [library.encode(t, add_special_tokens=False).ids for t in plain]
+
+
+def test_no_task_of_the_pipeline_needs_two_python_workers(spark, monkeypatch):
+    import corpus_pipeline as c
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    passage = " ".join(f"shared{i}" for i in range(60))
+    texts = [f"{' '.join(f'own{k}x{i}' for i in range(40))} {passage} tail{k}" for k in range(4)]
+    below, plain = [], DataFrame.mapInArrow
+
+    def watched(self, *args, **kwargs):
+        below.append(self._jdf.queryExecution().analyzed().toString())
+        return plain(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", watched)
+    docs = docs_of(spark, texts)
+    for _, stage in c.STAGES[:-1]:
+        docs = c.stored(stage(spark, docs, ""), "stage")
+    kept = [r["text"] for r in docs.collect()]
+    assert len(kept) == 4 and not any("shared" in t for t in kept)
+    assert c.STAGES[-1][1](spark, docs, "").count() == 4
+    assert len(below) > 10 and not [x for x in below if "MapInArrow" in x]
