@@ -108,3 +108,13 @@ def test_the_two_scope_ladders_differ(value, raw, flat, parent):
 
     assert value(tx.ladder(im.on(C, im.SCOPE_STEPS_FLAT), "global"), raw) == flat
     assert value(tx.ladder(im.on(C, im.SCOPE_STEPS_PARENT), "global"), raw) == parent
+
+
+def test_strip_leaves_visible_ends_alone_and_takes_all_white_space(spark):
+    strip, white = tx.strip, tx.WS_CHARS
+    ends = ["", "!", "~", "a", "\x7f", "\x00", "é", " ", " ", "😀", *white]
+    texts = [None, *[a + m + z for a in ends for m in ("", "x y", "\tü ") for z in ends]]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", strip("t").alias("by_name"), strip(F.col("t")).alias("by_column")).collect()
+    want = [(r.t or "").strip(white) for r in rows]
+    assert [r.by_name for r in rows] == want and [r.by_column for r in rows] == want
+    assert "CASE WHEN" in str(strip("t"))  # columns with visible ends are not trimmed
