@@ -22,6 +22,7 @@ from gatewright import model
 from gatewright.functions import checks
 from gatewright.functions.dates import calendar_date
 from gatewright.functions.text import log_text, or_empty, slug, strip
+from gatewright.operators.key_sieve import KeySieve
 from gatewright.operators.labels import display_label_table, label_table, spread
 from gatewright.operators.merge import latest_per_key, merge, union_all
 from gatewright.operators.running import BLOCK_ROWS, in_blocks, running_values
@@ -246,11 +247,12 @@ def apply_answers(
     heads, blocks = in_blocks(heads, ["request_id"], [F.col("submitted_at"), F.col("submission_id")], block_rows)
     known = heads.where("header_error IS NULL")
 
-    # every answer of a known rule of the submitted stage, checked
-    writes = latest_per_key(submitted.select("submission_id", "requirement_id", "position", "answer_value"),
+    # every answer of a known rule of the submitted stage, checked; dealt by submission once, for the last answer to a rule and for the join
+    writes = latest_per_key(submitted.select("submission_id", "requirement_id", "position", "answer_value").repartition("submission_id"),
                             ["submission_id", "requirement_id"], ["position"])
     writes = writes.join(rule_table(v.spark, form), "requirement_id").join(
-        known.select("submission_id", "stage_id", "data_product_id", "request_id", "pos", "submitted_at"), ["submission_id", "stage_id"])
+        known.select("submission_id", F.col("stage_id").alias("_stage")), "submission_id")
+    writes = writes.where("stage_id >= _stage AND stage_id <= _stage").drop("_stage", "stage_id")  # = would be a join key and deal them again
     writes = cut_lineage(checked_writes(v, writes))
 
     # one narrow row per submission: what it writes, as bits
@@ -265,8 +267,9 @@ def apply_answers(
 
     # the stored state of the products that are submitted for, likewise
     touched = cut_lineage(known.select("data_product_id").distinct())
-    own = v.products.join(touched, "data_product_id", "left_semi")
-    answers = v.answers.join(touched, "data_product_id", "left_semi")
+    sieve = KeySieve(touched, ["data_product_id"])
+    own = sieve.through(v.products).join(touched, "data_product_id", "left_semi")
+    answers = sieve.through(v.answers).join(touched, "data_product_id", "left_semi")
     stored = wf.with_parent_values(own, v.requests).join(wf.answered_flags(answers, rules), "data_product_id", "left")
     base_sub = v.subdomains.select(F.col("subdomain_id").alias("lead_subdomain_id"), F.col("domain_id").alias("b_sub_domain"))
     filled = {k: F.lit(0).cast("bigint") for k in form.words}
@@ -284,7 +287,7 @@ def apply_answers(
     subs = subs.withColumn("valid", F.col("answer_error").isNull() & F.col("status_error").isNull())
     decided = _settle(cut_lineage(subs.withColumn("accepted", F.col("valid"))), form, blocks)
     moves = _advances(decided, v.products, stages)
-    return Applied(v, rules, stages, heads, writes, decided, moves, blocks)
+    return Applied(v, rules, stages, heads, writes, decided, moves, blocks, sieve)
 
 
 def rule_table(spark, form: Form) -> DataFrame:
@@ -347,9 +350,10 @@ def _overlay(df: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Dat
 class Applied:
     """New states and what happened; each part is planned when it is asked for. results: one row per submission with accepted, advanced and error."""
 
-    def __init__(self, v, rules, stages, heads, writes, decided, moves, blocks):
+    def __init__(self, v, rules, stages, heads, writes, decided, moves, blocks, sieve):
         self.v, self.rules, self.stages = v, rules, stages
         self.heads, self.writes, self.decided, self.moves, self.blocks = heads, writes, decided, moves, blocks
+        self.sieve = sieve  # tells stored rows of products that no submission names
 
     @property
     def steps(self) -> DataFrame:
@@ -377,7 +381,8 @@ class Applied:
     @cached_property
     def done(self) -> DataFrame:
         """The answers of the accepted submissions."""
-        return self.writes.join(self.decided.where("accepted").select("submission_id", "block", "sub_before"), "submission_id")
+        heads = self.decided.where("accepted").select("submission_id", "data_product_id", "request_id", "pos", "block", "sub_before")
+        return self.writes.join(heads, "submission_id")
 
     @cached_property
     def changed(self) -> DataFrame:
@@ -461,7 +466,8 @@ class Applied:
     @cached_property
     def answers(self) -> DataFrame:
         keys, stored = ["data_product_id", "requirement_id"], self.v.answers
-        latest = latest_per_key(self.done.select(*keys, "clean_value", "submitted_at", "pos"), keys, ["pos"])
+        dated = self.done.join(self.heads.select("submission_id", "submitted_at"), "submission_id")
+        latest = latest_per_key(dated.select(*keys, "clean_value", "submitted_at", "pos"), keys, ["pos"])
         upserts = latest.select(
             F.md5(F.concat_ws("|", *keys)).alias("answer_id"), *keys, F.col("clean_value").alias("answer_value"), F.col("submitted_at").alias("updated_at"))
         answers = merge(stored, upserts, keys, update=["answer_value", "updated_at"])
