@@ -384,6 +384,11 @@ class Applied:
         heads = self.decided.where("accepted").select("submission_id", "data_product_id", "request_id", "pos", "block", "sub_before")
         return self.writes.join(heads, "submission_id")
 
+    @property
+    def dated(self) -> DataFrame:
+        """The same with the time of their submission."""
+        return self.done.join(self.heads.select("submission_id", "submitted_at"), "submission_id")
+
     @cached_property
     def changed(self) -> DataFrame:
         """The answers that differ from what was shown before: old and new."""
@@ -466,15 +471,14 @@ class Applied:
     @cached_property
     def answers(self) -> DataFrame:
         keys, stored = ["data_product_id", "requirement_id"], self.v.answers
-        dated = self.done.join(self.heads.select("submission_id", "submitted_at"), "submission_id")
-        latest = latest_per_key(dated.select(*keys, "clean_value", "submitted_at", "pos"), keys, ["pos"])
+        latest = latest_per_key(self.dated.select(*keys, "clean_value", "submitted_at", "pos"), keys, ["pos"])
         upserts = latest.select(
             F.md5(F.concat_ws("|", *keys)).alias("answer_id"), *keys, F.col("clean_value").alias("answer_value"), F.col("submitted_at").alias("updated_at"))
-        answers = merge(stored, upserts, keys, update=["answer_value", "updated_at"])
+        answers = merge(self.sieve.through(stored), upserts, keys, update=["answer_value", "updated_at"])
         dropped = self.accepted.groupBy("data_product_id").agg(
             F.max("sub_cleared_at").alias("_cleared"), F.max("sub_written_at").alias("_written")).where("_cleared >= _written").select(
             "data_product_id", F.lit(model.SUBDOMAIN_RULE_ID).alias("requirement_id"))
-        return answers.join(dropped, keys, "left_anti").select(*stored.columns)
+        return answers.join(dropped, keys, "left_anti").select(*stored.columns).unionByName(self.sieve.rest(stored))
 
     @cached_property
     def results(self) -> DataFrame:

@@ -60,3 +60,11 @@ def test_rows_are_kept_by_columns(spark):
 
 def test_answers_of_submissions_move_without_their_heads(applied):
     assert not {"submitted_at", "data_product_id", "request_id", "pos"} & set(applied.writes.columns)
+
+
+def test_stored_answers_of_other_products_are_not_merged(small, applied, monkeypatch):
+    merged = []
+    monkeypatch.setattr(an, "merge", lambda target, *a, m=an.merge, **k: merged.append(target.count()) or m(target, *a, **k))
+    out, stored = applied.answers, small.answers.count()
+    assert merged[0] < stored / 4
+    assert out.count() >= stored and out.columns == small.answers.columns
