@@ -408,8 +408,8 @@ class Applied:
 
         v, touched = self.v, self.decided.where("accepted").select("data_product_id").distinct()
         base_values = wf.rules_of_products(
-            v.products.join(touched, "data_product_id", "left_semi"), v.requests,
-            v.answers.join(touched, "data_product_id", "left_semi"), self.rules,
+            self.sieve.through(v.products).join(touched, "data_product_id", "left_semi"), v.requests,
+            self.sieve.through(v.answers).join(touched, "data_product_id", "left_semi"), self.rules,
         ).select("data_product_id", "requirement_id", F.col("answer_value").alias("_base"))
         compared = with_previous(self.done.where(key_of(True)), "request_id").unionByName(
             with_previous(self.done.where(key_of(False)), "data_product_id")).join(base_values, ["data_product_id", "requirement_id"], "left")

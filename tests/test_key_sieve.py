@@ -68,3 +68,10 @@ def test_stored_answers_of_other_products_are_not_merged(small, applied, monkeyp
     out, stored = applied.answers, small.answers.count()
     assert merged[0] < stored / 4
     assert out.count() >= stored and out.columns == small.answers.columns
+
+
+def test_only_rows_that_may_be_submitted_for_are_compared(small, applied, monkeypatch):
+    sieved = []
+    monkeypatch.setattr(KeySieve, "through", lambda self, rows, m=KeySieve.through: sieved.append(rows.columns) or m(self, rows))
+    applied.__dict__.pop("changed", None)
+    assert applied.changed.count() > 0 and len(sieved) == 2
