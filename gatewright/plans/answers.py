@@ -333,8 +333,8 @@ def _advances(decided: DataFrame, products: DataFrame, stages) -> DataFrame:
 
 
 def _last_written(rows: DataFrame, key: str, value_keys: list[str]) -> DataFrame:
-    """Per key the last accepted stored value of each value key as a struct, NULL where never written."""
-    return rows.groupBy(key).agg(*[
+    """Per key the last accepted stored value of each value key as a struct, NULL where never written; keys without any are left out."""
+    return rows.where(F.col("requirement_key").isin(list(value_keys))).groupBy(key).agg(*[
         F.max_by(F.struct(F.col("stored_value").alias("v")), F.when(F.col("requirement_key") == k, F.col("pos"))).alias(f"n_{k}")
         for k in value_keys])
 

@@ -75,3 +75,8 @@ def test_only_rows_that_may_be_submitted_for_are_compared(small, applied, monkey
     monkeypatch.setattr(KeySieve, "through", lambda self, rows, m=KeySieve.through: sieved.append(rows.columns) or m(self, rows))
     applied.__dict__.pop("changed", None)
     assert applied.changed.count() > 0 and len(sieved) == 2
+
+
+def test_only_values_that_the_parent_shows_are_grouped(spark):
+    rows = spark.createDataFrame([("a", "initiative", "x", 1), ("b", "jira_link", "y", 1)], "k string, requirement_key string, stored_value string, pos int")
+    assert [r.k for r in an._last_written(rows, "k", ["initiative"]).collect()] == ["a"]
