@@ -454,14 +454,15 @@ class Applied:
             F.max_by("end_status", F.when(F.col("end_status").isNotNull(), F.col("pos"))).alias("_status"),
             F.max_by("to_stage_id", F.when(F.col("to_stage_id").isNotNull(), F.col("pos"))).alias("_stage"),
             F.max_by("submitted_at", "pos").alias("_at"), F.max_by("sub_after", "pos").alias("_sub"))
-        products = _overlay(v.products, _last_written(self.done, "data_product_id", PRODUCT_WRITE_KEYS), "data_product_id", PRODUCT_WRITE_KEYS)
+        stored = v.products
+        products = _overlay(self.sieve.through(stored), _last_written(self.done, "data_product_id", PRODUCT_WRITE_KEYS), "data_product_id", PRODUCT_WRITE_KEYS)
         return products.join(ends, "data_product_id", "left").withColumns({
             "lead_subdomain_id": F.when(F.col("_at").isNotNull(), F.nullif("_sub", F.lit(""))).otherwise(F.col("lead_subdomain_id")),
             "status_id": F.coalesce("_status", "status_id"),
             "current_stage_id": F.coalesce("_stage", "current_stage_id"),
             "note": F.when(F.col("_stage").isNotNull(), F.lit(ADVANCE_NOTE)).otherwise(F.col("note")),
             "updated_at": F.coalesce("_at", "updated_at"),
-        }).select(*v.products.columns)
+        }).select(*stored.columns).unionByName(self.sieve.rest(stored))
 
     @cached_property
     def requests(self) -> DataFrame:

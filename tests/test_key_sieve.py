@@ -80,3 +80,10 @@ def test_only_rows_that_may_be_submitted_for_are_compared(small, applied, monkey
 def test_only_values_that_the_parent_shows_are_grouped(spark):
     rows = spark.createDataFrame([("a", "initiative", "x", 1), ("b", "jira_link", "y", 1)], "k string, requirement_key string, stored_value string, pos int")
     assert [r.k for r in an._last_written(rows, "k", ["initiative"]).collect()] == ["a"]
+
+
+def test_other_products_are_not_joined(small, applied, monkeypatch):
+    joined = []
+    monkeypatch.setattr(an, "_overlay", lambda df, *a, m=an._overlay: joined.append(df.count()) or m(df, *a))
+    out = applied.products
+    assert joined[0] < 100 and out.count() == 400 and out.columns == small.products.columns
