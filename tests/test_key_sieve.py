@@ -87,3 +87,12 @@ def test_other_products_are_not_joined(small, applied, monkeypatch):
     monkeypatch.setattr(an, "_overlay", lambda df, *a, m=an._overlay: joined.append(df.count()) or m(df, *a))
     out = applied.products
     assert joined[0] < 100 and out.count() == 400 and out.columns == small.products.columns
+
+
+def test_keys_are_counted_before_they_are_dealt(spark):
+    rows = spark.range(60).select((F.col("id") % 2).alias("k"), "id")
+    kept = rows.where("k = 0").repartition("k")
+    counted = rows.where("k IS NOT NULL")
+    got = {(r.k, r.piece): r.text.split() for r in text_pieces(
+        kept, ["k"], F.col("id").cast("string"), ["id"], piece_rows=20, dealt=True, counted=counted).collect()}
+    assert got == {(0, 0): [str(i) for i in range(0, 40, 2)], (0, 1): [str(i) for i in range(40, 60, 2)]}
