@@ -58,10 +58,6 @@ def test_rows_are_kept_by_columns(spark):
     assert cut_lineage(spark.range(2).selectExpr("id a", "id + 1 A")).count() == 2
 
 
-def test_answers_of_submissions_move_without_their_heads(applied):
-    assert not {"submitted_at", "data_product_id", "request_id", "pos"} & set(applied.writes.columns)
-
-
 def test_stored_answers_of_other_products_are_not_merged(small, applied, monkeypatch):
     merged = []
     monkeypatch.setattr(an, "merge", lambda target, *a, m=an.merge, **k: merged.append(target.count()) or m(target, *a, **k))
@@ -70,11 +66,11 @@ def test_stored_answers_of_other_products_are_not_merged(small, applied, monkeyp
     assert out.count() >= stored and out.columns == small.answers.columns
 
 
-def test_only_rows_that_may_be_submitted_for_are_compared(small, applied, monkeypatch):
-    sieved = []
-    monkeypatch.setattr(KeySieve, "through", lambda self, rows, m=KeySieve.through: sieved.append(rows.columns) or m(self, rows))
-    applied.__dict__.pop("changed", None)
-    assert applied.changed.count() > 0 and len(sieved) == 2
+def test_other_products_are_not_joined(small, applied, monkeypatch):
+    joined = []
+    monkeypatch.setattr(an, "_overlay", lambda df, *a, m=an._overlay: joined.append(df.count()) or m(df, *a))
+    out = applied.products
+    assert joined[0] < 100 and out.count() == 400 and out.columns == small.products.columns
 
 
 def test_only_values_that_the_parent_shows_are_grouped(spark):
@@ -82,11 +78,18 @@ def test_only_values_that_the_parent_shows_are_grouped(spark):
     assert [r.k for r in an._last_written(rows, "k", ["initiative"]).collect()] == ["a"]
 
 
-def test_other_products_are_not_joined(small, applied, monkeypatch):
-    joined = []
-    monkeypatch.setattr(an, "_overlay", lambda df, *a, m=an._overlay: joined.append(df.count()) or m(df, *a))
-    out = applied.products
-    assert joined[0] < 100 and out.count() == 400 and out.columns == small.products.columns
+def test_answers_of_submissions_move_without_their_heads(applied):
+    assert not {"submitted_at", "data_product_id", "request_id", "pos"} & set(applied.writes.columns)
+
+
+def test_only_rows_that_may_be_submitted_for_are_compared(small, applied, monkeypatch):
+    from gatewright.catalog.workflow import _differences
+
+    sieved = []
+    monkeypatch.setattr(KeySieve, "through", lambda self, rows, m=KeySieve.through: sieved.append(rows.columns) or m(self, rows))
+    applied.__dict__.pop("changed", None)
+    assert applied.changed.count() > 0 and len(sieved) == 2
+    assert _differences(small).count() > 0 and len(sieved) == 4
 
 
 def test_keys_are_counted_before_they_are_dealt(spark):
